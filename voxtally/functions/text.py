@@ -9,9 +9,10 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxtally import fixed_values as fixed
-from voxtally.functions.common import squeeze, strip, text_or_empty
+from voxtally.functions.common import let, squeeze, strip, text_or_empty
 from voxtally.rules import phrase_regex
 
 
@@ -25,9 +26,12 @@ def clean_boilerplate(column: Column, phrases: Sequence[str] = fixed.AGENT_REQUE
     text = text_or_empty(column)
     if phrases:
         text = F.regexp_replace(text, "(?iU)" + phrase_regex(phrases), "")
-    text = squeeze(text)
-    too_short = (F.length(text) < 5) | ~F.contains(text, F.lit(" "))
-    return F.when(too_short, F.lit("")).otherwise(text)
+
+
+    def long_enough(squeezed: Column) -> Column:
+        return (F.length(squeezed) >= 5) & F.contains(squeezed, F.lit(" "))
+
+    return let(squeeze(text), lambda t: F.when(long_enough(t), t).otherwise(F.lit("")))
 
 
 def strip_names(column: Column, names: Sequence[str]) -> Column:
@@ -52,9 +56,12 @@ def unescape_common(column: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
-def _unescape_and_compose(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", html.unescape(t)), na_action="ignore")
+def _unescape_and_compose():
+    # a nested function travels to the executors by value, so they need no copy of this package
+    def compose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", html.unescape(t)), na_action="ignore")
+
+    return F.pandas_udf(compose, T.StringType())
 
 
 def unescape_full(column: Column) -> Column:
@@ -64,7 +71,7 @@ def unescape_full(column: Column) -> Column:
     Python; the others are sent as null and keep their value.
     """
     needs = column.rlike(r"[^\x00-\x7f]|&")
-    return F.coalesce(_unescape_and_compose(F.when(needs, column)), column)
+    return F.coalesce(_unescape_and_compose()(F.when(needs, column)), column)
 
 
 def strip_markup(column: Column) -> Column:

@@ -31,14 +31,15 @@ def lookup_join(
     max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Left join of a narrow table that is unique by ``key``; rows of ``left`` stay as they are."""
+    columns = [*left.columns, *[c for c in right.columns if c != key]]
     if measured_bytes(right) <= max_bytes:
-        return left.join(F.broadcast(right), key, "left")
+        return left.join(F.broadcast(right), key, "left").select(*columns)
     if not hot_keys:
-        return left.join(right, key, "left")
+        return left.join(right, key, "left").select(*columns)
 
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
-    return left.withColumn("_salt", spread).join(salted, [key, "_salt"], "left").drop("_salt")
+    return left.withColumn("_salt", spread).join(salted, [key, "_salt"], "left").select(*columns)
 
 
 def last_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
