@@ -233,15 +233,15 @@ def sentence_chunks_query(spark, folder):
 
 
 _POLARITY_SQL = f"""WITH {q.polarity("documents", "doc_id", "text")}
-  SELECT doc_id, round(polarity, 6) AS polarity,
-    CASE WHEN abs(round(polarity, 6)) < 0.05::DOUBLE THEN 0.0::DOUBLE ELSE round(polarity, 6) END AS clamped
+  SELECT doc_id, round(polarity, 10) AS polarity,
+    CASE WHEN abs(round(polarity, 10)) < 0.05::DOUBLE THEN 0.0::DOUBLE ELSE round(polarity, 10) END AS clamped
   FROM documents LEFT JOIN polarity USING (doc_id)"""
 
 
 @registered("lexicon_polarity", _POLARITY_SQL)
 def lexicon_polarity(spark, folder):
     scored = documents(spark, folder).select(
-        "doc_id", F.round(polarity(F.col("text"), fx.SCORER), 6).alias("polarity")
+        "doc_id", F.round(polarity(F.col("text"), fx.SCORER), 10).alias("polarity")
     )
     return scored.select("doc_id", "polarity", lab.dead_zone(F.col("polarity")).alias("clamped"))
 
@@ -251,14 +251,14 @@ def lexicon_polarity_by_join(spark, folder):
     lexicon = spark.createDataFrame(list(fx.LEXICON.items()), "token string, valence_tenths int")
     scored = polarity_by_join(
         documents(spark, folder).select("doc_id", "text"), "doc_id", "text", lexicon, fx.SCORER
-    ).select("doc_id", F.round("polarity", 6).alias("polarity"))
+    ).select("doc_id", F.round("polarity", 10).alias("polarity"))
     return scored.select("doc_id", "polarity", lab.dead_zone(F.col("polarity")).alias("clamped"))
 
 
 def _blend_sql(threshold: float) -> str:
     return f"""WITH {q.result(threshold)}
       SELECT doc_id, consumer_score, consumer_sentiment, confidence, source AS validation_source, rule AS _rule_fired,
-        round(raw, 6) AS _raw_vader, array_to_string(keywords, '; ') AS "Negative_Keywords" FROM result"""
+        round(raw, 10) AS _raw_vader, array_to_string(keywords, '; ') AS "Negative_Keywords" FROM result"""
 
 
 def _blend(spark, folder, threshold):
@@ -269,7 +269,7 @@ def _blend(spark, folder, threshold):
         "confidence",
         "validation_source",
         "_rule_fired",
-        F.round("_raw_vader", 6).alias("_raw_vader"),
+        F.round("_raw_vader", 10).alias("_raw_vader"),
         "Negative_Keywords",
     )
 
@@ -327,7 +327,7 @@ _SIGNED_SQL = f"""WITH {_PREDICTIONS},
       WHEN {q.has("body", q.NEUTRAL)} THEN 'trigger:neutral' ELSE 'vader' END AS rule FROM d),
   open_rows AS (SELECT doc_id, body FROM r WHERE rule = 'vader'),
   {q.polarity("open_rows", "doc_id", "body")},
-  s AS (SELECT r.*, round(CASE WHEN abs(polarity) < 0.05::DOUBLE THEN 0.0::DOUBLE ELSE polarity END, 3) AS raw,
+  s AS (SELECT r.*, {q.rounded("CASE WHEN abs(polarity) < 0.05::DOUBLE THEN 0.0::DOUBLE ELSE polarity END", 3)} AS raw,
           CASE WHEN rule IN ('blank', 'non_english') THEN 0.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence
         FROM r LEFT JOIN polarity USING (doc_id)),
   b AS (SELECT *, CASE rule WHEN 'trigger:negative' THEN -0.6::DOUBLE WHEN 'trigger:neutral' THEN 0.0::DOUBLE
@@ -540,7 +540,7 @@ _CUT = "substring({0}, 1, 300) || CASE WHEN length({0}) > 300 THEN '…' ELSE ''
         CASE WHEN spoken <> '' AND spoken <> text THEN {{'step': 'CustomerOnly', 'value': {_CUT.format("spoken")}}}
              WHEN body <> '' AND body <> text THEN {{'step': 'Text For Analysis', 'value': {_CUT.format("body")}}} END,
         {_step(2, "'Classification method'", "rule")},
-        {_step(3, "'VADER raw score'", "printf('%+.4f', round(raw, 4))", "raw IS NOT NULL")},
+        {_step(3, "'VADER raw score'", "printf('%+.4f', " + q.rounded("raw", 4) + ")", "raw IS NOT NULL")},
         {_step(4, "'Final score'", "printf('%+.4f', consumer_score)")},
         {_step(5, "'Sentiment · Confidence'", "consumer_sentiment || ' · ' || printf('%.2f', confidence)")},
         {_step(6, "'Override'", "'Validation file — model output replaced'", "source = 'Validation'")},
@@ -773,7 +773,7 @@ def strip_markup(spark, folder):
     )
 
 
-@registered("clean_review", _markup_sql(_UNESCAPED.replace("' '", "' '")))
+@registered("clean_review", _markup_sql(f"replace(replace({_UNESCAPED}, '&copy;', '©'), '&middot;', '·')"))
 def clean_review(spark, folder):
     """Review cleaning with all entities and compatibility forms."""
     return fx.table(spark, folder, "pages").select("page_id", txt.clean_review(F.col("html")).alias("cleaned"))

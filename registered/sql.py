@@ -37,8 +37,14 @@ def alternation(phrases) -> str:
     return quoted("(?i)" + "|".join(sorted(phrases, key=lambda p: (-len(p), p))))
 
 
+def rounded(x: str, digits: int) -> str:
+    """Half up on the printed decimals of a double, as Spark rounds."""
+    return f"round((({x})::DOUBLE)::VARCHAR::DECIMAL(38, 24), {digits})::DOUBLE"
+
+
 def pct(part: str, whole: str) -> str:
-    return f"CASE WHEN {whole} > 0 THEN round({part} / ({whole})::DOUBLE * 100.0, 1) ELSE 0.0::DOUBLE END"
+    share = rounded(f"{part} / ({whole})::DOUBLE * 100.0::DOUBLE", 1)
+    return f"CASE WHEN {whole} > 0 THEN {share} ELSE 0.0::DOUBLE END"
 
 
 VERY_NEGATIVE, VERY_POSITIVE = "'(?i)schst'", "'(?i)ononst'"
@@ -154,6 +160,8 @@ def chunks(source: str, key: str, text: str) -> str:
 def compounds(source: str, key: str, part: str, text: str) -> str:
     """CTEs ending in ``compounds(key, part, compound, strongest)`` for texts ``(key, part, text)``."""
     low = "lower(word)"
+    pos, neg = "(p + CASE WHEN p > n THEN e ELSE 0 END)", "(n + CASE WHEN p < n THEN e ELSE 0 END)"
+    strongest = f"greatest({pos}, {neg}, z) / ({pos} + {neg} + z)"
     return f"""split_words AS (
       SELECT {key}, {part}, unnest(ws) AS raw, unnest(range(1, len(ws) + 1)) AS pos
       FROM (SELECT {key}, {part}, list_filter(string_split_regex({text}, {WS_RUN}), lambda w: w <> '') AS ws
@@ -204,10 +212,8 @@ def compounds(source: str, key: str, part: str, text: str) -> str:
       FROM {source} src LEFT JOIN sums USING ({key}, {part})),
     marked AS (SELECT *, t0 + sign(t0) * e AS t FROM emphasised),
     compounds AS (
-      SELECT {key}, {part}, round(t / sqrt(t * t + 15.0::DOUBLE), 4) AS compound,
-        CASE WHEN p IS NULL THEN 0.0::DOUBLE ELSE
-          round(greatest(p + CASE WHEN p > n THEN e ELSE 0 END, n + CASE WHEN p < n THEN e ELSE 0 END, z)
-          / (p + CASE WHEN p > n THEN e ELSE 0 END + n + CASE WHEN p < n THEN e ELSE 0 END + z), 3) END AS strongest
+      SELECT {key}, {part}, {rounded("t / sqrt(t * t + 15.0::DOUBLE)", 4)} AS compound,
+        CASE WHEN p IS NULL THEN 0.0::DOUBLE ELSE {rounded(strongest, 3)} END AS strongest
       FROM marked)"""
 
 
@@ -253,6 +259,11 @@ def keywords(t: str) -> str:
 
 def result(threshold: float = 0.7) -> str:
     """CTEs ending in ``result``: one row per document as ``analyze`` gives it."""
+    blended = f"""CASE WHEN override_label IS NOT NULL THEN {label_score("override_label")}
+          WHEN text_rule = 'blank' THEN 0.0::DOUBLE
+          WHEN rule_score IS NOT NULL AND rule_confidence > {threshold}::DOUBLE THEN rule_score
+          WHEN rule_score IS NOT NULL THEN rule_score * rule_confidence + lex * (1.0::DOUBLE - rule_confidence)
+          ELSE lex END"""
     return f"""{OVERRIDES},
     bodies AS (SELECT documents.*, {BODY} AS body FROM documents),
     judged AS (
@@ -268,11 +279,7 @@ def result(threshold: float = 0.7) -> str:
       SELECT ruled.*, polarity AS raw, CASE WHEN abs(polarity) < 0.05::DOUBLE THEN 0.0::DOUBLE ELSE polarity END AS lex
       FROM ruled LEFT JOIN polarity USING (doc_id)),
     scored AS (
-      SELECT *, round(CASE WHEN override_label IS NOT NULL THEN {label_score("override_label")}
-          WHEN text_rule = 'blank' THEN 0.0::DOUBLE
-          WHEN rule_score IS NOT NULL AND rule_confidence > {threshold}::DOUBLE THEN rule_score
-          WHEN rule_score IS NOT NULL THEN rule_score * rule_confidence + lex * (1.0::DOUBLE - rule_confidence)
-          ELSE lex END, 3) AS consumer_score,
+      SELECT *, {rounded(blended, 3)} AS consumer_score,
         CASE WHEN override_label IS NOT NULL THEN 1.0::DOUBLE WHEN text_rule = 'blank' THEN 0.0::DOUBLE
           WHEN rule_score IS NOT NULL AND rule_confidence > {threshold}::DOUBLE THEN rule_confidence
           ELSE 0.5::DOUBLE END AS confidence
