@@ -22,6 +22,8 @@ from voxtally.rules import (
     no_positive_cascade,
     trigger_cascade,
 )
+from voxtally.session import cut_lineage
+from voxtally.sources.readers import spread
 
 VERY_NEGATIVE = Phrases.of(["schst"])
 VERY_POSITIVE = Phrases.of(["ononst"])
@@ -83,6 +85,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows are expensive to score, spread over the cores."""
+    df = table(spark, folder, name)
+    return spread(df.select(*columns) if columns else df)
+
+
 def overrides(spark: SparkSession, folder: str) -> DataFrame:
     """Labels of reviewers, derived from the quality marks; one of them is no known label."""
     label = (
@@ -108,7 +116,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 def result(spark: SparkSession, folder: str, threshold: float = 0.7, with_overrides: bool = True) -> DataFrame:
     """The analysis of all documents; reports run on it."""
     return analyze(
-        table(spark, folder, "documents"),
+        texts(spark, folder, "documents"),
         PROFILE,
         "doc_id",
         "text",
@@ -118,6 +126,15 @@ def result(spark: SparkSession, folder: str, threshold: float = 0.7, with_overri
     )
 
 
+def stored_result(spark: SparkSession, folder: str) -> DataFrame:
+    """The analysis as a stored table.
+
+    Filters over a result belong on the stored table: pushed into the lazy plan
+    they would repeat the analysis inside the filter.
+    """
+    return cut_lineage(result(spark, folder))
+
+
 # ---------------------------------------------------------------------------
 # Transcripts derived from documents, inside each row: one turn per line
 # ---------------------------------------------------------------------------
@@ -157,6 +174,6 @@ def transcripts(spark: SparkSession, folder: str, form: str) -> DataFrame:
     turn, glue = {
         "tagged": (tagged, ""), "sms": (sms, " "), "bracket": (bracket, " "), "pipe": (pipe, " | "),
     }[form]
-    return table(spark, folder, "documents").select(
+    return texts(spark, folder, "documents", "doc_id", "text").select(
         "doc_id", F.array_join(F.transform(_lines(), turn), glue).alias("transcript")
     )

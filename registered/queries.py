@@ -53,6 +53,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return fx.table(spark, folder, "documents")
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents for work that is heavy per row."""
+    return fx.texts(spark, folder, "documents")
+
+
 # ---------------------------------------------------------------------------
 # Classification
 # ---------------------------------------------------------------------------
@@ -67,7 +72,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def tier_masks(spark, folder):
     text = F.col("text")
     masks = cascade.tier_masks(text, fx.FIVE_TIER)
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         "doc_id", *[m.alias(n) for n, m in masks.items()], cascade.is_blank(text).alias("blank")
     )
 
@@ -79,13 +84,13 @@ def tier_masks(spark, folder):
 )
 def word_count(spark, folder):
     counted = Phrases.of(words=["the", "die", "que"])
-    return documents(spark, folder).select("doc_id", counted.count_in(F.col("text")).alias("words"))
+    return texts(spark, folder).select("doc_id", counted.count_in(F.col("text")).alias("words"))
 
 
 def _verdicts(spark, folder, rules):
     verdict = cascade.cascade_verdict(F.col("text"), rules)
     return (
-        documents(spark, folder)
+        texts(spark, folder)
         .select("doc_id", verdict.alias("v"))
         .select(
             "doc_id",
@@ -130,7 +135,7 @@ def cascade_no_positive(spark, folder):
         CASE WHEN rule IN ('blank', 'non_english') THEN 0.0::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM j""",
 )
 def cascade_gated(spark, folder):
-    gated = documents(spark, folder).select(
+    gated = texts(spark, folder).select(
         "doc_id", "text", english_gate(F.col("text"), F.col("lang")).alias("language")
     )
     verdict = cascade.cascade_verdict(F.col("text"), fx.TRIGGERS, english=F.col("language") == "en")
@@ -227,8 +232,8 @@ def override_join_hot_ids(spark, folder):
     f"WITH {q.chunks('documents', 'doc_id', 'text')} SELECT doc_id, chunk_no::INT AS chunk_no, chunk FROM chunked",
 )
 def sentence_chunks_query(spark, folder):
-    return documents(spark, folder).select(
-        "doc_id", F.posexplode(sentence_chunks(F.col("text"))).alias("p", "chunk")
+    return texts(spark, folder).select(
+        "doc_id", F.posexplode_outer(sentence_chunks(F.col("text"))).alias("p", "chunk")
     ).select("doc_id", (F.col("p") + 1).alias("chunk_no"), "chunk")
 
 
@@ -240,7 +245,7 @@ _POLARITY_SQL = f"""WITH {q.polarity("documents", "doc_id", "text")}
 
 @registered("lexicon_polarity", _POLARITY_SQL)
 def lexicon_polarity(spark, folder):
-    scored = documents(spark, folder).select(
+    scored = texts(spark, folder).select(
         "doc_id", F.round(polarity(F.col("text"), fx.SCORER), 10).alias("polarity")
     )
     return scored.select("doc_id", "polarity", lab.dead_zone(F.col("polarity")).alias("clamped"))
@@ -250,7 +255,7 @@ def lexicon_polarity(spark, folder):
 def lexicon_polarity_by_join(spark, folder):
     lexicon = spark.createDataFrame(list(fx.LEXICON.items()), "token string, valence_tenths int")
     scored = polarity_by_join(
-        documents(spark, folder).select("doc_id", "text"), "doc_id", "text", lexicon, fx.SCORER
+        texts(spark, folder).select("doc_id", "text"), "doc_id", "text", lexicon, fx.SCORER
     ).select("doc_id", F.round("polarity", 10).alias("polarity"))
     return scored.select("doc_id", "polarity", lab.dead_zone(F.col("polarity")).alias("clamped"))
 
@@ -312,7 +317,7 @@ _PREDICTIONS = """predictions AS (
 def model_correction(spark, folder):
     some = fx.overrides(spark, folder).where(F.col("_id_norm").cast("long") % 2 == 0)
     result = analyze(
-        documents(spark, folder), fx.PROFILE, "doc_id", "text", overrides=some, scorer=fx.SCORER
+        texts(spark, folder), fx.PROFILE, "doc_id", "text", overrides=some, scorer=fx.SCORER
     )
     return correct_with_model(result, fx.predictions(spark, folder), "doc_id").select(
         "doc_id", "consumer_score", "consumer_sentiment", "confidence", "_rule_fired"
@@ -355,7 +360,7 @@ _SIGNED_SQL = f"""WITH {_PREDICTIONS},
 def signed_correction(spark, folder):
     """The whole pipe profile with predictions: gate, triggers, lexicon, correction, re-enforcement."""
     said = F.concat(F.lit("2024-01-01 Consumer:"), F.replace(F.col("text"), F.lit("|"), F.lit("/")))
-    chats = documents(spark, folder).select("doc_id", "lang", said.alias("chat"))
+    chats = texts(spark, folder).select("doc_id", "lang", said.alias("chat"))
     return analyze(
         chats,
         fx.PIPE_PROFILE,
@@ -503,7 +508,7 @@ def triage_counts(spark, folder):
       WHERE starts_with(rule, 'rule:') AND consumer_sentiment = 'Negative' AND confidence > 0.7::DOUBLE""",
 )
 def triage_filter(spark, folder):
-    found = audit.triage_filter(fx.result(spark, folder), "rule", "Negative", "High")
+    found = audit.triage_filter(fx.stored_result(spark, folder), "rule", "Negative", "High")
     return found.select("doc_id", "consumer_score", "_rule_fired")
 
 
@@ -517,7 +522,7 @@ def triage_filter(spark, folder):
 )
 def evidence_search(spark, folder):
     found = audit.evidence(
-        fx.result(spark, folder), ["Negative", "Neutral"], ["Model"], "OF the",
+        fx.stored_result(spark, folder), ["Negative", "Neutral"], ["Model"], "OF the",
         ["Negative_Keywords", "Text_For_Analysis", "text"],
     )
     return found.select(
@@ -551,7 +556,7 @@ _CUT = "substring({0}, 1, 300) || CASE WHEN length({0}) > 300 THEN '…' ELSE ''
 )
 def lineage(spark, folder):
     result = fx.result(spark, folder)
-    return result.select("doc_id", F.posexplode(audit.lineage(result, "text")).alias("p", "s")).select(
+    return result.select("doc_id", F.posexplode_outer(audit.lineage(result, "text")).alias("p", "s")).select(
         "doc_id", (F.col("p") + 1).alias("step_no"), F.col("s.step").alias("step"), F.col("s.value").alias("value")
     )
 
@@ -564,7 +569,7 @@ def lineage(spark, folder):
     f"SELECT doc_id, array_to_string({q.keywords('text')}, '; ') AS keywords FROM documents",
 )
 def keyword_extract(spark, folder):
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         "doc_id", joined(keywords_in(F.col("text"), fx.DICTIONARY)).alias("keywords")
     )
 
@@ -574,7 +579,7 @@ _COUNTED = f"""counted AS (SELECT lower(k) AS keyword, count(*) AS records
 
 
 def _with_keywords(spark, folder):
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         "doc_id", joined(keywords_in(F.col("text"), fx.DICTIONARY)).alias("Negative_Keywords")
     )
 
@@ -600,19 +605,19 @@ def _summary_sql(dictionary) -> str:
 
 @registered("category_summary", _summary_sql(fx.DICTIONARY))
 def category_summary(spark, folder):
-    return keyword_reports.category_summary(documents(spark, folder), fx.DICTIONARY, "text")
+    return keyword_reports.category_summary(texts(spark, folder), fx.DICTIONARY, "text")
 
 
 @registered("dictionary_merge_replace", _summary_sql(fx.DICTIONARY.replaced_by(fx.REPLACING)))
 def dictionary_merge_replace(spark, folder):
     merged = fx.DICTIONARY.replaced_by(fx.REPLACING)
-    return keyword_reports.category_summary(documents(spark, folder), merged, "text")
+    return keyword_reports.category_summary(texts(spark, folder), merged, "text")
 
 
 @registered("dictionary_merge_append", _summary_sql(fx.DICTIONARY.extended_by(fx.APPENDING)))
 def dictionary_merge_append(spark, folder):
     merged = fx.DICTIONARY.extended_by(fx.APPENDING)
-    return keyword_reports.category_summary(documents(spark, folder), merged, "text")
+    return keyword_reports.category_summary(texts(spark, folder), merged, "text")
 
 
 @registered(
@@ -645,7 +650,7 @@ _OWN = "(VALUES " + ", ".join(
       SELECT category, rank, keyword, records FROM r WHERE rank <= 15""",
 )
 def category_top15(spark, folder):
-    return keyword_reports.category_keywords(documents(spark, folder), fx.DICTIONARY, "text")
+    return keyword_reports.category_keywords(texts(spark, folder), fx.DICTIONARY, "text")
 
 
 def _marked_sql(text: str) -> str:
@@ -666,7 +671,7 @@ _SHORT = "CASE WHEN length(text) > 220 THEN substring(text, 1, 220) || '…' ELS
       SELECT category, rank, doc_id, {_marked_sql(_SHORT)} AS sample FROM r WHERE rank <= 3""",
 )
 def category_samples(spark, folder):
-    return keyword_reports.category_samples(documents(spark, folder), fx.DICTIONARY, "doc_id", "text", mark="**")
+    return keyword_reports.category_samples(texts(spark, folder), fx.DICTIONARY, "doc_id", "text", mark="**")
 
 
 # ---------------------------------------------------------------------------
@@ -689,12 +694,12 @@ def _redact_sql(order) -> str:
 
 @registered("redact_pii", _redact_sql(["EMAIL", "CARD", "PHONE", "SSN"]))
 def redact_pii(spark, folder):
-    return documents(spark, folder).select("doc_id", txt.redact(F.col("text")).alias("redacted"))
+    return texts(spark, folder).select("doc_id", txt.redact(F.col("text")).alias("redacted"))
 
 
 @registered("redact_pii_legacy_order", _redact_sql(["EMAIL", "PHONE", "SSN", "CARD"]))
 def redact_pii_legacy_order(spark, folder):
-    return documents(spark, folder).select("doc_id", txt.redact(F.col("text"), legacy_order=True).alias("redacted"))
+    return texts(spark, folder).select("doc_id", txt.redact(F.col("text"), legacy_order=True).alias("redacted"))
 
 
 _BOILERPLATE = ["and the", "with that", "of the"]
@@ -707,7 +712,7 @@ _GONE = "regexp_replace(text, '(?i)with that|and the|of the', '', 'g')"
       FROM (SELECT doc_id, {q.squeeze(_GONE)} AS c FROM documents)""",
 )
 def clean_boilerplate(spark, folder):
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         "doc_id", txt.clean_boilerplate(F.col("text"), _BOILERPLATE).alias("cleaned")
     )
 
@@ -721,7 +726,7 @@ _NAMES = ["hehely", "ononst", "the", "thatin", "that", "de la"]
       FROM documents""",
 )
 def strip_content_names(spark, folder):
-    return documents(spark, folder).select("doc_id", txt.strip_names(F.col("text"), _NAMES).alias("stripped"))
+    return texts(spark, folder).select("doc_id", txt.strip_names(F.col("text"), _NAMES).alias("stripped"))
 
 
 @registered(
@@ -741,7 +746,7 @@ def truncate(spark, folder):
     f"SELECT doc_id, regexp_replace(text, {q.alternation(fx.DICTIONARY.phrases)}, '**\\0**', 'g') AS marked FROM documents",
 )
 def highlight(spark, folder):
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         "doc_id", txt.highlight(F.col("text"), fx.DICTIONARY.phrases).alias("marked")
     )
 
@@ -765,18 +770,22 @@ def _markup_sql(unescaped: str) -> str:
     return f"SELECT page_id, trim({t}, {q.WS}) AS cleaned FROM pages"
 
 
+_ALL_UNESCAPED = _UNESCAPED.replace("'&amp;', '&')", "'&copy;', '©')")
+_ALL_UNESCAPED = f"regexp_replace(replace({_ALL_UNESCAPED}, '&middot;', '·'), '&amp;?', '&', 'g')"
+
+
 @registered("strip_markup", _markup_sql(_UNESCAPED))
 def strip_markup(spark, folder):
     """Review cleaning with the common entities only, which stays in the JVM."""
-    return fx.table(spark, folder, "pages").select(
+    return fx.texts(spark, folder, "pages").select(
         "page_id", txt.clean_review(F.col("html"), full_unicode=False).alias("cleaned")
     )
 
 
-@registered("clean_review", _markup_sql(f"replace(replace({_UNESCAPED}, '&copy;', '©'), '&middot;', '·')"))
+@registered("clean_review", _markup_sql(_ALL_UNESCAPED))
 def clean_review(spark, folder):
     """Review cleaning with all entities and compatibility forms."""
-    return fx.table(spark, folder, "pages").select("page_id", txt.clean_review(F.col("html")).alias("cleaned"))
+    return fx.texts(spark, folder, "pages").select("page_id", txt.clean_review(F.col("html")).alias("cleaned"))
 
 
 _SHORT_TEXTS = """short_texts AS (
@@ -821,7 +830,7 @@ _P = fixed.MEANINGLESS_PATTERNS
 )
 def meaningless_flag(spark, folder):
     lang, doc = F.col("lang"), F.col("doc_id")
-    texts = {
+    forms = {
         "text": F.col("text"),
         "lang": lang,
         "source": F.col("source"),
@@ -831,9 +840,9 @@ def meaningless_flag(spark, folder):
         "twice": F.concat(lang, F.lit(" "), lang),
         "mixed": F.concat(lang, doc.cast("string"), F.lit("00000 x")),
     }
-    rows = F.array(*[F.struct(F.lit(n).alias("source"), c.alias("t")) for n, c in texts.items()])
+    rows = F.array(*[F.struct(F.lit(n).alias("source"), c.alias("t")) for n, c in forms.items()])
     return (
-        documents(spark, folder)
+        texts(spark, folder)
         .select("doc_id", F.inline(rows))
         .select("source", "doc_id", txt.meaningless_reason(F.col("t")).alias("reason"))
     )
@@ -861,7 +870,7 @@ def _group_score_sql(groups, weights, overrides, t: str) -> str:
 )
 def keyword_group_score_query(spark, folder):
     score = keyword_group_score(F.col("text"), fx.GROUPS, overrides=fx.OVERRIDE_PATTERNS)
-    return documents(spark, folder).select("doc_id", score.alias("k")).select(
+    return texts(spark, folder).select("doc_id", score.alias("k")).select(
         "doc_id", F.col("k.kw_total").alias("kw_total"), F.round("k.kw_score", 6).alias("kw_score")
     )
 
@@ -908,7 +917,7 @@ def _hybrid_ctes(source: str) -> str:
 )
 def hybrid_score_query(spark, folder):
     text = F.col("text")
-    scored = documents(spark, folder).select(
+    scored = texts(spark, folder).select(
         "doc_id", "text", polarity_parts(text, fx.SCORER).alias("p"), keyword_group_score(text, fx.GROUPS).alias("k")
     ).select("doc_id", hybrid_score(text, F.col("p"), F.col("k")).alias("h"))
     return scored.select(
@@ -933,7 +942,7 @@ _TAG = """tagged AS (
 
 @registered("language_tag", f"WITH {_TAG} SELECT doc_id, true_lang, lang, lang_confidence FROM tags")
 def language_tag_query(spark, folder):
-    return documents(spark, folder).select(
+    return texts(spark, folder).select(
         "doc_id", F.col("lang").alias("true_lang"), language_tag(F.col("text")).alias("t")
     ).select("doc_id", "true_lang", "t.lang", "t.lang_confidence")
 
@@ -954,15 +963,12 @@ def translation_route(spark, folder):
 @registered("review_analysis")
 def review_analysis(spark, folder):
     """The whole review profile over pages, with the default phrase groups."""
-    pages = fx.table(spark, folder, "pages")
+    pages = fx.texts(spark, folder, "pages")
     return analyze(pages, "review", "page_id", "html").select(
         "page_id", "consumer_score", "confidence", "consumer_sentiment", "_rule_fired", "Negative_Keywords"
     )
 
 
-_REVIEW_BODY = q.squeeze("text")
-
-
 # ---------------------------------------------------------------------------
 # Transcripts
 # ---------------------------------------------------------------------------

@@ -16,13 +16,13 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxtally.functions.common import WHITE_SPACE, let, string_array, strip, text_or_empty
+from voxtally.functions.common import WHITE_SPACE, let, strip, text_or_empty
 
 MAX_LITERAL_LEXICON = 50_000
 
@@ -90,15 +90,27 @@ class Scorer:
             )
 
 
-def valence_lookup(lexicon: Mapping[str, int]):
-    """A function from a lower-case word to its valence in tenths, or null."""
+def word_lookup(scorer: Scorer) -> Callable[[Column], Column]:
+    """A function from a lower-case word to ``struct<tenths, boost, negates>``, null for other words.
+
+    Valences and modifiers share one table, so a word is looked up once.
+    """
+    entries: dict[str, dict] = {w: {"tenths": int(t)} for w, t in scorer.lexicon.items()}
+    for word in scorer.boosters:
+        entries.setdefault(word, {})["boost"] = BOOST
+    for word in scorer.dampeners:
+        entries.setdefault(word, {})["boost"] = -BOOST
+    for word in scorer.negations:
+        entries.setdefault(word, {})["negates"] = True
     size = 1
-    while size * 4 < len(lexicon):
+    while size * 4 < len(entries):
         size *= 2
-    buckets: list[dict[str, int]] = [{} for _ in range(size)]
-    for word, tenths in lexicon.items():
-        buckets[zlib.crc32(word.encode()) % size][word] = int(tenths)
-    table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    buckets: list[dict[str, dict]] = [{} for _ in range(size)]
+    for word, entry in entries.items():
+        buckets[zlib.crc32(word.encode()) % size][word] = entry
+    table = F.from_json(
+        F.lit(json.dumps(buckets)), "array<map<string,struct<tenths:int,boost:double,negates:boolean>>>"
+    )
     return lambda word: F.get(table, F.pmod(F.crc32(word.cast("binary")), F.lit(size)).cast("int"))[word]
 
 
@@ -147,19 +159,14 @@ def _emphasis(chunk: Column) -> Column:
 
 def _valences(words: Column, scorer: Scorer, lookup) -> Column:
     """The valence of each word after its neighbours have had their say."""
-    boosters, dampeners = string_array(scorer.boosters), string_array(scorer.dampeners)
-    negations = string_array(scorer.negations)
 
     def profile(word: Column) -> Column:
         return let(
             F.lower(word),
             lambda low: F.struct(
-                lookup(low).alias("tenths"),
-                F.when(F.array_contains(boosters, low), F.lit(BOOST))
-                .when(F.array_contains(dampeners, low), F.lit(-BOOST))
-                .alias("boost"),
-                (F.array_contains(negations, low) | F.contains(low, F.lit("n't"))).alias("negates"),
-                ((F.upper(word) == word) & (low != word)).alias("capital"),
+                lookup(low).alias("known"),
+                F.contains(low, F.lit("n't")).alias("contracted"),
+                ((low != word) & (F.upper(word) == word)).alias("capital"),
                 (low == scorer.contrast).alias("contrast"),
             ),
         )
@@ -181,20 +188,21 @@ def _valences(words: Column, scorer: Scorer, lookup) -> Column:
                             .when(back == 2, F.lit(DAMPING[1]))
                             .otherwise(F.lit(DAMPING[2]))
                         )
-                        boosted = valence + F.coalesce((before["boost"] * sign + loud) * damping, F.lit(0.0))
-                        return F.when(before["negates"], boosted * NEGATION).otherwise(boosted)
+                        boosted = valence + F.coalesce((before["known"]["boost"] * sign + loud) * damping, F.lit(0.0))
+                        negates = before["contracted"] | F.coalesce(before["known"]["negates"], F.lit(False))
+                        return F.when(negates, boosted * NEGATION).otherwise(boosted)
 
                     before = F.get(facts, position - back)
-                    return F.when(before.isNull() | before["tenths"].isNotNull(), valence).otherwise(
+                    return F.when(before.isNull() | before["known"]["tenths"].isNotNull(), valence).otherwise(
                         let(before, apply)
                     )
 
-                plain = fact["tenths"] / 10.0
+                plain = fact["known"]["tenths"] / 10.0
                 loud = F.when(
                     fact["capital"] & setting["mixed"],
                     F.when(plain > 0, plain + CAPITALS).otherwise(plain - CAPITALS),
                 ).otherwise(plain)
-                silent = fact["tenths"].isNull() | fact["boost"].isNotNull()
+                silent = fact["known"]["tenths"].isNull() | fact["known"]["boost"].isNotNull()
                 value = F.when(silent, F.lit(0.0)).otherwise(
                     F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), loud, step)
                 )
@@ -240,7 +248,7 @@ def mean_of(values: Column) -> Column:
 
 def polarity(column: Column, scorer: Scorer) -> Column:
     """Mean compound score over the chunks of a text; null for a blank one."""
-    lookup = valence_lookup(scorer.lexicon)
+    lookup = word_lookup(scorer)
     scores = F.transform(sentence_chunks(column), lambda c: chunk_compound(c, scorer, lookup))
     return F.when(strip(text_or_empty(column)) != "", let(scores, mean_of))
 
@@ -250,7 +258,7 @@ def polarity_parts(column: Column, scorer: Scorer) -> Column:
 
     ``strongest`` is the largest of the positive, negative and neutral shares.
     """
-    lookup = valence_lookup(scorer.lexicon)
+    lookup = word_lookup(scorer)
     text = text_or_empty(column)
 
     def parts(valences: Column) -> Column:

@@ -52,7 +52,8 @@ def infer_id_column(df: DataFrame, text_column: str, names: Sequence[str] = fixe
     for name in names:
         if name in df.columns:
             return name
-    others = [c for c in df.columns if c != text_column]
+    countable = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    others = [c for c in countable if c != text_column]
     if not others:
         return None
     counts = df.agg(

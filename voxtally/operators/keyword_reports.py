@@ -22,7 +22,8 @@ def keyword_frequency(df: DataFrame, keywords: Column | None = None) -> DataFram
     """
     listed = split_joined(F.col("Negative_Keywords")) if keywords is None else keywords
     return (
-        df.select(F.explode(listed).alias("keyword"))
+        df.select(F.explode_outer(listed).alias("keyword"))
+        .where(F.col("keyword").isNotNull())
         .groupBy(F.lower("keyword").alias("keyword"))
         .agg(F.count("*").alias("records"))
     )
@@ -56,8 +57,16 @@ def category_summary(df: DataFrame, dictionary: Dictionary, text: str = "Text_Fo
 
 
 def by_category(df: DataFrame, dictionary: Dictionary, text: str, *keep: Column | str) -> DataFrame:
-    """One narrow row per record and matched category."""
-    return df.select(F.explode(categories_in(F.col(text), dictionary)).alias("category"), *keep)
+    """One narrow row per record and matched category.
+
+    What is kept is computed before the records are multiplied.  The outer explode
+    keeps the optimizer from deriving a filter on the array, which would search
+    the text a second and third time.
+    """
+    matched = df.select(categories_in(F.col(text), dictionary).alias("_categories"), *keep)
+    others = [c for c in matched.columns if c != "_categories"]
+    exploded = matched.select(F.explode_outer("_categories").alias("category"), *others)
+    return exploded.where(F.col("category").isNotNull())
 
 
 def category_mix(
@@ -97,7 +106,8 @@ def category_keywords(
     )
     counts = (
         by_category(df, dictionary, text, keywords_in(F.col(text), dictionary).alias("_k"))
-        .select("category", F.explode("_k").alias("keyword"))
+        .select("category", F.explode_outer("_k").alias("keyword"))
+        .where(F.col("keyword").isNotNull())
         .groupBy("category", F.lower("keyword").alias("keyword"))
         .agg(F.count("*").alias("records"))
     )

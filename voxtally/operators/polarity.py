@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from voxtally.functions.lexicon import (
     mean_of,
     polarity,
     sentence_chunks,
+    word_lookup,
     words_of,
 )
 from voxtally.operators.lookups import SALTS
@@ -28,8 +31,8 @@ def polarity_by_join(
     never larger than the text itself.
     """
     words = df.select(
-        row_key, F.explode(F.array_distinct(F.transform(words_of(text_or_empty(F.col(text))), F.lower))).alias("token")
-    ).withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(SALTS)).cast("int"))
+        row_key, F.explode_outer(F.array_distinct(F.transform(words_of(text_or_empty(F.col(text))), F.lower))).alias("token")
+    ).where(F.col("token").isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(SALTS)).cast("int"))
     salted = lexicon.select("token", "valence_tenths").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
@@ -40,10 +43,19 @@ def polarity_by_join(
     )
     found = F.coalesce(F.col("_hits"), F.create_map().cast("map<string,int>"))
 
+    # the modifiers are few and stay in the plan; only the valences come from the join
+    modifiers = word_lookup(replace(scorer, lexicon={}))
+
     def score(hit):
-        return F.transform(
-            sentence_chunks(F.col(text)), lambda c: chunk_compound(c, scorer, lambda word: hit[word])
-        )
+        def lookup(word):
+            return let(
+                modifiers(word),
+                lambda m: F.struct(
+                    hit[word].alias("tenths"), m["boost"].alias("boost"), m["negates"].alias("negates")
+                ),
+            )
+
+        return F.transform(sentence_chunks(F.col(text)), lambda c: chunk_compound(c, scorer, lookup))
 
     value = F.when(strip(text_or_empty(F.col(text))) != "", let(let(found, score), mean_of))
     return df.join(hits, row_key, "left").withColumn(name, value).drop("_hits")
@@ -56,11 +68,5 @@ def score_polarity(
     rows = lexicon.select("token", "valence_tenths").limit(MAX_LITERAL_LEXICON + 1).collect()
     if len(rows) > MAX_LITERAL_LEXICON:
         return polarity_by_join(df, row_key, text, lexicon, scorer, name)
-    loaded = Scorer(
-        lexicon={r.token: r.valence_tenths for r in rows},
-        boosters=scorer.boosters,
-        dampeners=scorer.dampeners,
-        negations=scorer.negations,
-        contrast=scorer.contrast,
-    )
+    loaded = replace(scorer, lexicon={r.token: r.valence_tenths for r in rows})
     return df.withColumn(name, polarity(F.col(text), loaded))

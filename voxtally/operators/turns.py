@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxtally.functions.common import squeeze
 from voxtally.functions.transcripts import looks_like_agent
+from voxtally.operators.lookups import SALTS
 
 SEGMENT = 1000
 
@@ -23,39 +24,49 @@ def speaker_counts(turns: DataFrame, conversation: str, speaker: str, position:
     )
 
 
-def pick_customer(
-    turns: DataFrame, conversation: str, speaker: str, position: str, digits_first: bool = False
-) -> DataFrame:
-    """The customer of each conversation: ``system`` never, then the rank of the one-cell form."""
+def _picked(turns: DataFrame, conversation: str, speaker: str, position: str, digits_first: bool) -> DataFrame:
+    """One row per conversation: the customer, with the number and span of their messages."""
     name = F.col(speaker)
-    people = turns.where(F.lower(name) != "system")
-    digits = F.when(name.rlike(r"(?U)^\d+$"), 0).otherwise(1) if digits_first else F.lit(0)
-    if digits_first:
-        agent = F.when(digits == 0, 0).otherwise(looks_like_agent(name).cast("int"))
-        messages = F.when(digits == 0, F.lit(0).cast("long")).otherwise(F.col("messages"))
-    else:
-        agent, messages = looks_like_agent(name).cast("int"), F.col("messages")
+    people = (
+        turns.where(F.lower(name) != "system")
+        .groupBy(conversation, speaker)
+        .agg(
+            F.count("*").alias("messages"),
+            F.min(position).alias("first_position"),
+            F.max(position).alias("last_position"),
+        )
+    )
+    number = F.coalesce(name.rlike(r"(?U)^\d+$"), F.lit(False)) if digits_first else F.lit(False)
+    # among numbers the earliest wins, whatever their counts
     rank = F.struct(
-        digits.alias("digits"),
-        agent.alias("agent"),
-        messages.alias("rank_messages"),
+        F.when(number, 0).otherwise(1).alias("no_number"),
+        F.when(number, 0).otherwise(looks_like_agent(name).cast("int")).alias("agent"),
+        F.when(number, 0).otherwise(F.col("messages")).alias("rank_messages"),
         F.col("first_position"),
+        F.col("last_position"),
         F.col("messages"),
         name.alias("speaker"),
     )
     return (
-        speaker_counts(people, conversation, speaker, position)
-        .groupBy(conversation)
+        people.groupBy(conversation)
         .agg(F.min(rank).alias("_pick"))
         .select(
             conversation,
             F.col("_pick.speaker").alias(speaker),
             F.col("_pick.messages").alias("messages"),
             F.col("_pick.first_position").alias("first_position"),
+            F.col("_pick.last_position").alias("last_position"),
         )
     )
 
 
+def pick_customer(
+    turns: DataFrame, conversation: str, speaker: str, position: str, digits_first: bool = False
+) -> DataFrame:
+    """The customer of each conversation: ``system`` never, then the rank of the one-cell form."""
+    return _picked(turns, conversation, speaker, position, digits_first).drop("last_position")
+
+
 def customer_text(
     turns: DataFrame, conversation: str, speaker: str, position: str, message: str, digits_first: bool = False
 ) -> DataFrame:
@@ -63,7 +74,11 @@ def customer_text(
 
     Conversations up to ``SEGMENT`` turns give one row with segment 0.  Longer
     ones give one row per segment; put together in order they are the whole text.
-    The pieces are gathered before the join, which then moves one row per segment.
+
+    Messages are gathered per speaker and segment before the join, which then
+    moves one row per segment and is salted by segment.  The pick is repeated only
+    for conversations that have several segments.  (An inner join, because a semi
+    join would be pushed below the gathering and meet the single turns.)
     """
     said = F.transform(
         F.filter(
@@ -72,12 +87,19 @@ def customer_text(
         ),
         lambda t: t["m"],
     )
+    segment = F.floor(F.col(position) / SEGMENT)
     pieces = (
         turns.where(F.lower(speaker) != "system")
-        .groupBy(conversation, speaker, F.floor(F.col(position) / SEGMENT).alias("segment"))
+        .groupBy(conversation, speaker, segment.alias("segment"))
         .agg(F.array_join(said, " ").alias("customer_text"))
+        .withColumn("_salt", F.pmod("segment", F.lit(SALTS)))
     )
-    chosen = pick_customer(turns, conversation, speaker, position, digits_first).select(conversation, speaker)
-    return pieces.join(chosen, [conversation, speaker], "left_semi").select(
+    last = F.floor(F.col("last_position") / SEGMENT)
+    first = F.floor(F.col("first_position") / SEGMENT)
+    span = F.least(last, first + SALTS - 1)
+    chosen = _picked(turns, conversation, speaker, position, digits_first).select(
+        conversation, speaker, F.explode(F.sequence(first, span)).alias("_segment")
+    ).select(conversation, speaker, F.pmod("_segment", F.lit(SALTS)).alias("_salt"))
+    return pieces.join(chosen, [conversation, speaker, "_salt"]).select(
         conversation, "segment", speaker, "customer_text"
     )

@@ -14,6 +14,22 @@ from voxtally.functions.text import normalise_id
 from voxtally.operators.lookups import last_wins
 
 
+TASKS_PER_CORE = 4
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a table that was scanned in too few pieces.
+
+    Scoring costs far more than moving the raw text once, and a small file is
+    one piece however many cores there are.  A scan that already has a piece per
+    core, as any large table does, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= TASKS_PER_CORE * cores:
+        return df
+    return df.repartition(TASKS_PER_CORE * cores)
+
+
 def read_conversations(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, file_format: str | None = None
 ) -> DataFrame:
