@@ -31,7 +31,7 @@ from voxtally.operators.correction import correct_with_model
 from voxtally.operators.lookups import last_wins, lookup_join
 from voxtally.operators.polarity import polarity_by_join
 from voxtally.plans.analyze import analyze
-from voxtally.rules import Phrases
+from voxtally.rules import Phrases, default_profile
 from voxtally.sources.readers import load_overrides, preview
 from voxtally.sources.sinks import report_tables
 
@@ -148,6 +148,92 @@ def cascade_gated(spark, folder):
     )
 
 
+def _default_rules_sql() -> str:
+    """The built-in cascades over the documents, from the plain phrase lists."""
+
+    def found(phrases):
+        return f"regexp_matches(text, {q.alternation(phrases)})"
+
+    def whole(words):
+        return f"regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])({'|'.join(words)})($|[^\\p{{L}}\\p{{N}}\\p{{M}}_])')"
+
+    def count(words):
+        return (
+            "len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+'), "
+            f"lambda w: w IN {q.in_list(words)}))"
+        )
+
+    def negatives(negative, strong, resolution):
+        return [
+            (f"{found(negative)} AND {found(strong)}", "rule:strong_negative"),
+            (f"{found(negative)} AND ({found(resolution)} OR {whole(fixed.RESOLUTION_WORDS)})", "rule:neutral_resolved"),
+            (found(negative), "rule:negative"),
+        ]
+
+    cascades = {
+        "tagged_chat": [
+            (found(fixed.TAGGED_VERY_NEGATIVE), "rule:very_negative"),
+            (found(fixed.TAGGED_VERY_POSITIVE), "rule:very_positive"),
+            (f"{found(fixed.TAGGED_POSITIVE)} AND {count(fixed.TAGGED_POSITIVE_WORDS)} >= 2", "rule:positive_strong"),
+            (found(fixed.TAGGED_POSITIVE), "rule:positive"),
+            *negatives(fixed.TAGGED_NEGATIVE, fixed.TAGGED_STRONG, fixed.TAGGED_RESOLUTION_PHRASES),
+            (found(fixed.TAGGED_NEUTRAL), "rule:neutral"),
+        ],
+        "bracket_chat": [
+            (found(fixed.BRACKET_VERY_POSITIVE), "rule:very_positive"),
+            (f"{found(fixed.BRACKET_POSITIVE)} AND {count(fixed.BRACKET_POSITIVE_WORDS)} >= 2", "rule:very_positive"),
+            (found(fixed.BRACKET_POSITIVE), "rule:positive"),
+            *negatives(fixed.BRACKET_NEGATIVE, fixed.BRACKET_STRONG, fixed.RESOLUTION_PHRASES),
+            (found(fixed.BRACKET_NEUTRAL), "rule:neutral"),
+        ],
+        "pipe_chat": [
+            (found(fixed.PIPE_NEGATIVE), "trigger:negative"),
+            (found([p for p in fixed.PIPE_NEUTRAL if "{" not in p]), "trigger:neutral"),
+        ],
+        "pipe_or_plain": [
+            *negatives(fixed.PLAIN_NEGATIVE, fixed.PLAIN_STRONG, fixed.RESOLUTION_PHRASES),
+            (found(fixed.PLAIN_NEUTRAL), "rule:neutral"),
+        ],
+    }
+    columns = [
+        "CASE " + " ".join(f"WHEN {c} THEN '{rule}'" for c, rule in tiers) + f" ELSE 'vader' END AS {name}"
+        for name, tiers in cascades.items()
+    ]
+    source = "SELECT doc_id, text || CASE doc_id % 6 WHEN 0 THEN ' Thanks, GREAT help' WHEN 1 THEN ' no help, ok' " \
+        "WHEN 2 THEN ' what is a good plan' WHEN 3 THEN ' angry and rude' WHEN 4 THEN ' perfect' ELSE '' END AS text FROM documents"
+    return f"SELECT doc_id, {', '.join(columns)} FROM ({source})"
+
+
+@registered("default_rules", _default_rules_sql())
+def default_rules(spark, folder):
+    """The built-in cascades; a customer's sentence is added, because the documents hold few of the phrases."""
+    kind = F.col("doc_id") % 6
+    added = [" Thanks, GREAT help", " no help, ok", " what is a good plan", " angry and rude", " perfect"]
+    ending = F.lit("")
+    for i, sentence in enumerate(added):
+        ending = F.when(kind == i, F.lit(sentence)).otherwise(ending)
+    said = texts(spark, folder).select("doc_id", F.concat("text", ending).alias("text"))
+    names = ("tagged_chat", "bracket_chat", "pipe_chat", "pipe_or_plain")
+    verdicts = [cascade.cascade_verdict(F.col("text"), default_profile(n).cascade).alias(n) for n in names]
+    return said.select("doc_id", *verdicts).select("doc_id", *[F.col(n + ".rule").alias(n) for n in names])
+
+
+@registered(
+    "correction_gates",
+    f"""WITH {q.result()} SELECT doc_id,
+      confidence < 0.6::DOUBLE AND source = 'Model' AND trim(body, {q.WS}) <> '' AS low_confidence,
+      consumer_score BETWEEN -0.1::DOUBLE AND 0.1::DOUBLE AND lang = 'en' AND source = 'Model' AS borderline
+      FROM result JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)""",
+)
+def correction_gates(spark, folder):
+    source = F.col("validation_source")
+    return fx.result(spark, folder).select(
+        "doc_id",
+        cascade.correction_gate(F.col("confidence"), source, F.col("Text_For_Analysis")).alias("low_confidence"),
+        cascade.signed_correction_gate(F.col("consumer_score"), source, F.col("lang")).alias("borderline"),
+    )
+
+
 @registered(
     "label_scales",
     f"""SELECT doc_id, n_chars / 1000.0::DOUBLE - 3 AS score, {q.wide_label("(n_chars / 1000.0::DOUBLE - 3)")} AS wide_label,
@@ -756,7 +842,7 @@ for _entity, _char in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;",
     _UNESCAPED = f"replace({_UNESCAPED}, '{_entity}', '{_char}')"
 
 
-def _markup_sql(unescaped: str) -> str:
+def _markup(unescaped: str) -> str:
     t = f"trim({unescaped}, {q.WS})"
     t = f"regexp_replace({t}, 'https?://[^{{w}}]+|www\\.[^{{w}}]+', ' ', 'g')"
     t = f"regexp_replace({t}, '[^{{w}}]+@[^{{w}}]+\\.[^{{w}}]+', ' ', 'g')"
@@ -767,7 +853,11 @@ def _markup_sql(unescaped: str) -> str:
     t = t.format(w=" \\t\\n\\x0b\\f\\r")
     t = q.squeeze(t)
     t = f"regexp_replace({t}, '^[^\\p{{L}}\\p{{M}}\\p{{N}}_'']+|[^\\p{{L}}\\p{{M}}\\p{{N}}_'']+$', '', 'g')"
-    return f"SELECT page_id, trim({t}, {q.WS}) AS cleaned FROM pages"
+    return f"trim({t}, {q.WS})"
+
+
+def _markup_sql(unescaped: str) -> str:
+    return f"SELECT page_id, {_markup(unescaped)} AS cleaned FROM pages"
 
 
 _ALL_UNESCAPED = _UNESCAPED.replace("'&amp;', '&')", "'&copy;', '©')")
@@ -805,15 +895,14 @@ def _pattern_case(p: str, sql: str) -> str:
 _P = fixed.MEANINGLESS_PATTERNS
 
 
-@registered(
-    "meaningless_flag",
-    f"""WITH {_SHORT_TEXTS},
-      c AS (SELECT *, lower(trim(t, {q.WS})) AS l, regexp_extract_all(t, '\\p{{L}}[\\p{{L}}\\p{{N}}_]*') AS ws FROM short_texts),
-      d AS (SELECT *, regexp_replace(l, '[/\\\\|.\\-?_ ]', '', 'g') AS b,
-            regexp_extract_all(t, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS tokens FROM c),
-      e AS (SELECT *, list_filter(tokens, lambda w: regexp_full_match(w, '[a-zA-Z]+')) AS words,
-            length(t) - length(regexp_replace(t, '\\p{{Nd}}', '', 'g')) AS digits FROM d)
-      SELECT source, doc_id, CASE WHEN l = '' THEN 'empty'
+def _meaningless_ctes(source: str) -> str:
+    """CTEs ending in ``reasons``: the rows of ``source``, which has a text ``t``, with ``reason``."""
+    return f"""trimmed AS (SELECT *, lower(trim(t, {q.WS})) AS l FROM {source}),
+      worded AS (SELECT *, regexp_replace(l, '[/\\\\|.\\-?_ ]', '', 'g') AS b,
+            list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'),
+                        lambda w: regexp_full_match(w, '[a-zA-Z]+')) AS words,
+            length(t) - length(regexp_replace(t, '\\p{{Nd}}', '', 'g')) AS digits FROM trimmed),
+      reasons AS (SELECT *, CASE WHEN l = '' THEN 'empty'
         WHEN b IN ('na', 'ma', 'nil', 'none', 'non', 'ok', 'yes', 'no') THEN 'normalised=' || b
         {_pattern_case(_P[0], "regexp_full_match(l, '[a-z]')")}
         {_pattern_case(_P[1], "regexp_full_match(l, '[0-9]+')")}
@@ -826,7 +915,12 @@ _P = fixed.MEANINGLESS_PATTERNS
         WHEN NOT regexp_matches(t, '[\\p{{L}}\\p{{N}}]') THEN 'no_alnum'
         WHEN len(words) = 0 THEN 'no_words'
         WHEN len(words) > 1 AND len(list_distinct(words)) = 1 THEN 'repeated_word'
-        WHEN digits / length(t)::DOUBLE > 0.5::DOUBLE THEN 'mostly_numbers' ELSE 'ok' END AS reason FROM e""",
+        WHEN digits / length(t)::DOUBLE > 0.5::DOUBLE THEN 'mostly_numbers' ELSE 'ok' END AS reason FROM worded)"""
+
+
+@registered(
+    "meaningless_flag",
+    f"WITH {_SHORT_TEXTS}, {_meaningless_ctes('short_texts')} SELECT source, doc_id, reason FROM reasons",
 )
 def meaningless_flag(spark, folder):
     lang, doc = F.col("lang"), F.col("doc_id")
@@ -960,11 +1054,47 @@ def translation_route(spark, folder):
     )
 
 
-@registered("review_analysis")
+def _keywords_sql(t: str) -> str:
+    return f"array_to_string({q.keywords(t)}, '; ')"
+
+
+_REVIEW_SQL = f"""WITH {q.OVERRIDES},
+  comments AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'N/A' WHEN 1 THEN lang || ' ' || lang ELSE {_markup("text")} END AS t
+               FROM documents),
+  {_meaningless_ctes("comments")},
+  scorable AS (SELECT doc_id, 1 AS part, t AS text FROM reasons LEFT JOIN overrides USING (doc_id)
+               WHERE reason = 'ok' AND override_label IS NULL),
+  {_hybrid_ctes("scorable")}
+  SELECT comments.doc_id AS doc_id, t AS "Cleaned_Comments",
+    CASE WHEN override_label IS NOT NULL THEN {q.label_score("override_label")} * 10
+         WHEN score IS NOT NULL THEN {q.rounded("score", 3)} ELSE 0.0::DOUBLE END AS consumer_score,
+    CASE WHEN override_label IS NOT NULL THEN 1.0::DOUBLE
+         WHEN score IS NOT NULL THEN {q.rounded("conf", 3)} ELSE 0.0::DOUBLE END AS confidence,
+    CASE WHEN override_label IS NOT NULL THEN override_label
+         WHEN score IS NOT NULL THEN {q.wide_label("score")} ELSE 'Neutral' END AS consumer_sentiment,
+    CASE WHEN override_label IS NOT NULL THEN 'validation' WHEN score IS NOT NULL THEN 'hybrid' ELSE 'blank' END AS _rule_fired,
+    {_keywords_sql("t")} AS "Negative_Keywords"
+  FROM comments LEFT JOIN overrides USING (doc_id) LEFT JOIN hybrid USING (doc_id)"""
+
+
+@registered("review_analysis", _REVIEW_SQL)
 def review_analysis(spark, folder):
-    """The whole review profile over pages, with the default phrase groups."""
-    pages = fx.texts(spark, folder, "pages")
-    return analyze(pages, "review", "page_id", "html").select(
+    """The whole review profile: cleaning, overrides, meaningless texts, hybrid score, keywords."""
+    lang, kind = F.col("lang"), F.col("doc_id") % 9
+    comment = F.when(kind == 0, F.lit("N/A")).when(kind == 1, F.concat(lang, F.lit(" "), lang)).otherwise(F.col("text"))
+    comments = texts(spark, folder).select("doc_id", comment.alias("comment"))
+    return analyze(
+        comments, fx.REVIEW_PROFILE, "doc_id", "comment", overrides=fx.overrides(spark, folder), scorer=fx.SCORER
+    ).select(
+        "doc_id", "Cleaned_Comments", "consumer_score", "confidence", "consumer_sentiment", "_rule_fired",
+        "Negative_Keywords",
+    )
+
+
+@registered("review_of_pages")
+def review_of_pages(spark, folder):
+    """The review profile over web pages, with the default phrase groups."""
+    return analyze(fx.texts(spark, folder, "pages"), "review", "page_id", "html").select(
         "page_id", "consumer_score", "confidence", "consumer_sentiment", "_rule_fired", "Negative_Keywords"
     )
 
