@@ -13,6 +13,8 @@ WHITE_SPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
+# the same characters as a pattern; the class of Unicode white space is much faster than a list
+WHITE_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,7 +36,7 @@ def strip(column: Column) -> Column:
 
 def squeeze(column: Column) -> Column:
     """Runs of white space become one space; none is left at the ends."""
-    return strip(F.regexp_replace(column, f"[{WHITE_SPACE}]+", " "))
+    return strip(F.regexp_replace(column, WHITE_SPACE_RUN, " "))
 
 
 def is_blank(column: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxtally import fixed_values as fixed
-from voxtally.functions.common import WHITE_SPACE, let, string_array, strip, text_or_empty
+from voxtally.functions.common import WHITE_SPACE_RUN, let, string_array, strip, text_or_empty
 
 
 def _hits(lowered: Column, phrases: Sequence[str]) -> Column:
@@ -60,7 +60,7 @@ def hybrid_score(text: Column, parts: Column, keyword: Column) -> Column:
     ``keyword_group_score``.  Two of the four scorers are half the lexicon score,
     which is what they are when no further scorer is at hand.
     """
-    words = F.size(F.filter(F.split(text, f"[{WHITE_SPACE}]+"), lambda w: w != ""))
+    words = F.size(F.filter(F.split(text, WHITE_SPACE_RUN), lambda w: w != ""))
 
     # Base weights and their adjustments, (lexicon, second, third, keywords)
     base = (0.40, 0.20, 0.20, 0.20)

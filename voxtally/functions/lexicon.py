@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxtally.functions.common import WHITE_SPACE, let, strip, text_or_empty
+from voxtally.functions.common import WHITE_SPACE_RUN, let, strip, text_or_empty
 
 MAX_LITERAL_LEXICON = 50_000
 
@@ -136,15 +136,13 @@ def sentence_chunks(column: Column, size: int = CHUNK_SIZE) -> Column:
 
 def words_of(chunk: Column) -> Column:
     """Words split at white space; marks around a word of more than two characters go."""
-    raw = F.filter(F.split(chunk, f"[{WHITE_SPACE}]+"), lambda w: w != "")
+    raw = F.filter(F.split(chunk, WHITE_SPACE_RUN), lambda w: w != "")
 
-    def bare(word: Column) -> Column:
-        return let(
-            F.btrim(word, F.lit(PUNCTUATION)),
-            lambda s: F.when(F.length(s) <= 2, word).otherwise(s),
-        )
+    def bare(words: Column) -> Column:
+        trimmed = F.transform(words, lambda w: F.btrim(w, F.lit(PUNCTUATION)))
+        return F.zip_with(words, trimmed, lambda w, s: F.when(F.length(s) <= 2, w).otherwise(s))
 
-    return F.transform(raw, bare)
+    return let(raw, bare)
 
 
 def _emphasis(chunk: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxtally.functions.common import text_or_empty
+from voxtally.functions.common import or_all, text_or_empty
 from voxtally.functions.keywords import categories_in, keywords_in, split_joined
 from voxtally.functions.text import highlight
 from voxtally.operators.audit import sample_text
@@ -99,10 +99,11 @@ def category_keywords(
     (longer phrases of other categories took their place), all keywords of its
     records do.  Ranking happens on counts, which the dictionary bounds.
     """
-    spark = df.sparkSession
-    own = spark.createDataFrame(
-        sorted({(c, p.lower()) for c, ps in dictionary.categories.items() for p in ps}),
-        "category string, keyword string",
+    own = or_all(
+        [
+            (F.col("category") == category) & F.col("keyword").isin([p.lower() for p in phrases])
+            for category, phrases in dictionary.categories.items()
+        ]
     )
     counts = (
         by_category(df, dictionary, text, keywords_in(F.col(text), dictionary).alias("_k"))
@@ -111,13 +112,11 @@ def category_keywords(
         .groupBy("category", F.lower("keyword").alias("keyword"))
         .agg(F.count("*").alias("records"))
     )
-    marked = counts.join(
-        F.broadcast(own.withColumn("own", F.lit(True))), ["category", "keyword"], "left"
-    ).withColumn("own", F.coalesce("own", F.lit(False)))
     has_own = F.max("own").over(Window.partitionBy("category"))
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("records"), "keyword"))
     return (
-        marked.withColumn("_any", has_own)
+        counts.withColumn("own", own)
+        .withColumn("_any", has_own)
         .where(F.col("own") | ~F.col("_any"))
         .withColumn("rank", rank)
         .where(F.col("rank") <= size)

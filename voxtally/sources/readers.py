@@ -31,16 +31,22 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def read_conversations(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, file_format: str | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    file_format: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A table of conversations from CSV, Parquet or JSON lines.
 
-    CSV fields may hold line breaks inside quotes.  Give a schema for large CSV
-    or JSON input: without one the files are read twice, once to infer it.
+    CSV fields may hold line breaks inside quotes; a file is then read by one
+    task, so large CSV input comes in many files or without such breaks
+    (``multi_line=False``).  Give a schema for large CSV or JSON input: without
+    one the files are read twice, once to infer it.
     """
     kind = file_format or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
-        reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+        reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
         return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     if kind in ("json", "jsonl"):
         return (spark.read.schema(schema) if schema else spark.read).json(path)
