@@ -17,7 +17,7 @@ from voxtally import fixed_values as fixed
 from voxtally.functions import labels as lab
 from voxtally.functions import text as txt
 from voxtally.functions.hybrid import hybrid_score, keyword_group_score
-from voxtally.functions.keywords import joined, keywords_in
+from voxtally.functions.keywords import categories_in, joined, keywords_in
 from voxtally.functions.language import english_gate, language_tag, needs_translation
 from voxtally.functions.lexicon import polarity, polarity_parts, sentence_chunks
 from voxtally.functions.transcripts import (
@@ -760,6 +760,69 @@ def category_samples(spark, folder):
     return keyword_reports.category_samples(texts(spark, folder), fx.DICTIONARY, "doc_id", "text", mark="**")
 
 
+# What customers write, added to the documents, which hold few of the built-in phrases
+_COMPLAINTS = [
+    " It is Not Working Properly, I was charged double: not working",
+    " DNS locked again; the SSL error and email not working",
+    " New patient with back pain, no one called, RUDE staff",
+    " my student plan: cancel premium, refund not there",
+    " Wrong room type, points missing, a terrible nightmare",
+    " please change plan, otp not received, region locked",
+    "",
+]
+_PROFILES = ("tagged_chat", "bracket_chat", "pipe_chat", "pipe_or_plain", "review")
+_COMPLAINT_SQL = (
+    "text || CASE doc_id % 7 "
+    + " ".join(f"WHEN {i} THEN {q.quoted(c)}" for i, c in enumerate(_COMPLAINTS))
+    + " END"
+)
+
+
+def _complaints(spark, folder) -> DataFrame:
+    ending = F.element_at(F.array(*[F.lit(c) for c in _COMPLAINTS]), (F.col("doc_id") % 7 + 1).cast("int"))
+    return texts(spark, folder).select("doc_id", F.concat("text", ending).alias("text"))
+
+
+@registered(
+    "default_keywords",
+    "SELECT doc_id, "
+    + ", ".join(f"array_to_string({q.keywords('text', default_profile(n).dictionary)}, '; ') AS {n}" for n in _PROFILES)
+    + f" FROM (SELECT doc_id, {_COMPLAINT_SQL} AS text FROM documents)",
+)
+def default_keywords(spark, folder):
+    """Keywords by the built-in dictionaries of all profiles."""
+    return _complaints(spark, folder).select(
+        "doc_id", *[joined(keywords_in(F.col("text"), default_profile(n).dictionary)).alias(n) for n in _PROFILES]
+    )
+
+
+@registered(
+    "default_categories",
+    f"WITH complaints AS (SELECT doc_id, {_COMPLAINT_SQL} AS text FROM documents) "
+    + " UNION ALL ".join(
+        f"SELECT '{n}' AS profile, category, count(*) AS records FROM "
+        f"({q.category_rows('complaints', 'text', default_profile(n).dictionary)}) GROUP BY category"
+        for n in _PROFILES
+    ),
+)
+def default_categories(spark, folder):
+    """Records per category of the built-in dictionaries, all profiles in one pass."""
+
+    def of_profile(name):
+        return F.transform(
+            categories_in(F.col("text"), default_profile(name).dictionary),
+            lambda c: F.struct(F.lit(name).alias("profile"), c.alias("category")),
+        )
+
+    matched = _complaints(spark, folder).select(F.concat(*[of_profile(n) for n in _PROFILES]).alias("m"))
+    return (
+        matched.select(F.explode_outer("m").alias("m"))
+        .where(F.col("m").isNotNull())
+        .groupBy("m.profile", "m.category")
+        .agg(F.count("*").alias("records"))
+    )
+
+
 # ---------------------------------------------------------------------------
 # Text
 # ---------------------------------------------------------------------------

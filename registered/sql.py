@@ -250,9 +250,9 @@ BODY = f"""CASE WHEN length({squeeze("text")}) < 5 OR NOT contains({squeeze("tex
       ELSE {squeeze("text")} END"""
 
 
-def keywords(t: str) -> str:
+def keywords(t: str, dictionary=None) -> str:
     """Distinct phrases in order, each in its first spelling, as a list."""
-    found = f"regexp_extract_all({t}, {alternation(fx.DICTIONARY.phrases)})"
+    found = f"regexp_extract_all({t}, {alternation((dictionary or fx.DICTIONARY).phrases)})"
     lowered = f"list_transform({found}, lambda k: lower(k))"
     return f"list_filter({found}, lambda k, i: list_position({lowered}, lower(k)) = i)"
 

@@ -91,6 +91,8 @@ def polarity_of(text: str):
 def texts():
     rng = random.Random(7)
     out = ["", "   ", "Good.", "NOT GOOD", "!!!", "a. b. c."]
+    # more sentences than one slab of the chunk packer holds
+    out.append(" ".join(rng.choice(WORDS) + rng.choice([".", "", "!"]) for _ in range(6000)))
     for _ in range(200):
         out.append(" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 150))))
     return out

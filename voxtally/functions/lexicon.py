@@ -37,6 +37,7 @@ QUESTION = 0.18
 MANY_QUESTIONS = 0.96
 BEFORE_CONTRAST, AFTER_CONTRAST = 0.5, 1.5
 CHUNK_SIZE = 300
+CHUNK_SLAB = 32
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BOOSTERS = [
     "absolutely", "amazingly", "awfully", "completely", "considerably", "decidedly", "deeply",
@@ -115,23 +116,42 @@ def word_lookup(scorer: Scorer) -> Callable[[Column], Column]:
 
 
 def sentence_chunks(column: Column, size: int = CHUNK_SIZE) -> Column:
-    """Sentences packed into chunks of about ``size`` characters; a longer sentence stands alone."""
-    sentences = F.split(text_or_empty(column), r"(?<=[.!?]) +")
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    """Sentences packed into chunks of about ``size`` characters; a longer sentence stands alone.
 
-    def flushed(state: Column) -> Column:
-        return F.when(state["open"] == "", state["done"]).otherwise(
-            F.concat(state["done"], F.array(strip(state["open"])))
+    A fold copies its state at every step, so the sentences are folded in slabs
+    of about the square root of their number: the closed chunks of a slab join
+    the result once per slab.
+    """
+    none = F.array().cast("array<string>")
+
+    def state(done: Column, current: Column) -> Column:
+        return F.struct(done.alias("done"), current.alias("open"))
+
+    def closed(s: Column) -> Column:
+        return F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(strip(s["open"]))))
+
+    def pack(s: Column, sentence: Column) -> Column:
+        fits = F.length(s["open"]) + F.length(sentence) <= size
+        longer = F.concat(s["open"], F.lit(" "), sentence)
+        return F.when(fits, state(s["done"], longer)).otherwise(state(closed(s), sentence))
+
+    def pack_slab(s: Column, slab: Column) -> Column:
+        return let(
+            F.aggregate(slab, state(none, s["open"]), pack),
+            lambda inner: state(F.concat(s["done"], inner["done"]), inner["open"]),
         )
 
-    def pack(state: Column, sentence: Column) -> Column:
-        fits = F.length(state["open"]) + F.length(sentence) <= size
-        return F.when(
-            fits,
-            F.struct(state["done"].alias("done"), F.concat(state["open"], F.lit(" "), sentence).alias("open")),
-        ).otherwise(F.struct(flushed(state).alias("done"), sentence.alias("open")))
+    def folded(sentences: Column) -> Column:
+        def in_slabs(width: Column) -> Column:
+            last = ((F.size(sentences) - 1) / width).cast("int")
+            slabs = F.transform(
+                F.sequence(F.lit(0), last), lambda i: F.slice(sentences, i * width + 1, width)
+            )
+            return F.aggregate(slabs, state(none, F.lit("")), pack_slab, closed)
+
+        return let(F.greatest(F.lit(CHUNK_SLAB), F.ceil(F.sqrt(F.size(sentences))).cast("int")), in_slabs)
 
-    return F.aggregate(sentences, empty, pack, flushed)
+    return let(F.split(text_or_empty(column), r"(?<=[.!?]) +"), folded)
 
 
 def words_of(chunk: Column) -> Column:
