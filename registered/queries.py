@@ -1032,10 +1032,10 @@ def keyword_group_score_query(spark, folder):
     )
 
 
-def _hybrid_ctes(source: str) -> str:
+def _hybrid_ctes(source: str, groups=fx.GROUPS) -> str:
     """CTEs ending in ``hybrid(doc_id, score, conf)`` for the texts of ``source(doc_id, part, text)``."""
     return f"""{q.compounds(source, "doc_id", "part", "text")},
-      kw AS (SELECT doc_id, text, {_group_score_sql(fx.GROUPS, fixed.REVIEW_GROUP_WEIGHTS, fixed.POSITIVE_OVERRIDES,
+      kw AS (SELECT doc_id, text, {_group_score_sql(groups, fixed.REVIEW_GROUP_WEIGHTS, fixed.POSITIVE_OVERRIDES,
                                              f"lower(trim(text, {q.WS}))")} FROM {source}),
       f AS (SELECT kw.*, compound * 10 AS v, strongest,
           len(list_filter(string_split_regex(text, {q.WS_RUN}), lambda w: w <> '')) AS n,
@@ -1154,10 +1154,24 @@ def review_analysis(spark, folder):
     )
 
 
-@registered("review_of_pages")
+@registered(
+    "review_of_pages",
+    f"""WITH comments AS (SELECT page_id AS doc_id, {_markup(_ALL_UNESCAPED)} AS t FROM pages),
+      {_meaningless_ctes("comments")},
+      scorable AS (SELECT doc_id, 1 AS part, t AS text FROM reasons WHERE reason = 'ok'),
+      {_hybrid_ctes("scorable", fixed.REVIEW_GROUPS)}
+      SELECT comments.doc_id AS page_id,
+        CASE WHEN score IS NOT NULL THEN {q.rounded("score", 3)} ELSE 0.0::DOUBLE END AS consumer_score,
+        CASE WHEN score IS NOT NULL THEN {q.rounded("conf", 3)} ELSE 0.0::DOUBLE END AS confidence,
+        CASE WHEN score IS NOT NULL THEN {q.wide_label("score")} ELSE 'Neutral' END AS consumer_sentiment,
+        CASE WHEN score IS NOT NULL THEN 'hybrid' ELSE 'blank' END AS _rule_fired,
+        array_to_string({q.keywords("t", default_profile("review").dictionary)}, '; ') AS "Negative_Keywords"
+      FROM comments LEFT JOIN hybrid USING (doc_id)""",
+)
 def review_of_pages(spark, folder):
-    """The review profile over web pages, with the default phrase groups."""
-    return analyze(fx.texts(spark, folder, "pages"), "review", "page_id", "html").select(
+    """The review profile over web pages, with the built-in phrase groups and dictionary."""
+    pages = fx.texts(spark, folder, "pages")
+    return analyze(pages, "review", "page_id", "html", scorer=fx.SCORER).select(
         "page_id", "consumer_score", "confidence", "consumer_sentiment", "_rule_fired", "Negative_Keywords"
     )
 
