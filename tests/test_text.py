@@ -151,3 +151,16 @@ def test_keywords_keep_the_first_spelling(value):
     got = value(lambda t: kw.joined(kw.keywords_in(t, dictionary)), "ANGRY: Not Working properly, not working, angry")
     assert got == "ANGRY; Not Working properly; not working"
     assert value(lambda t: kw.categories_in(t, dictionary), "so angry", "fine") == [["b"], []]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet="abABck ", max_size=25), min_size=20, max_size=20))
+def test_categories_against_one_search_per_category(value, texts):
+    dictionary = Dictionary.of(
+        {"one": ["ab", "k a"], "two": ["aba", "bc"], "three": ["ba"], "four": ["ab", "abac"], "five": []}
+    )
+    want = [
+        [c for c, phrases in dictionary.categories.items() if any(p in t.lower() for p in phrases)] for t in texts
+    ]
+    assert value(lambda t: kw.categories_in(t, dictionary), *texts) == want
+    assert value(lambda t: kw.categories_in(t, dictionary), "\u212a A", "\u017f") == [["one"], []]

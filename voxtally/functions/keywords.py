@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxtally.functions.common import let, text_or_empty
+from voxtally.functions.common import let, string_array, text_or_empty
 from voxtally.rules import Dictionary, phrase_regex
 
 
@@ -40,10 +42,27 @@ def split_joined(keywords: Column) -> Column:
 
 
 def categories_in(text: Column, dictionary: Dictionary) -> Column:
-    """Names of the categories with at least one phrase in the text, in dictionary order."""
-    named = [
-        F.when(text_or_empty(text).rlike("(?iU)" + phrase_regex(phrases)), F.lit(category))
-        for category, phrases in dictionary.categories.items()
-        if phrases
-    ]
-    return F.array_compact(F.array(*named))
+    """Names of the categories with at least one phrase in the text, in dictionary order.
+
+    One pass for all categories: a look-ahead reports the longest phrase that
+    starts at each position, overlapping or not.  Any other phrase that starts
+    there is a beginning of that one, so its category is known from the phrase.
+    """
+
+    def folded(phrase: str) -> str:
+        return phrase.upper().lower()
+
+    category_of = [(folded(p), c) for c, phrases in dictionary.categories.items() for p in phrases]
+    implied = {
+        whole: sorted({c for part, c in category_of if whole.startswith(part)}) for whole, _ in category_of
+    }
+    if not implied:
+        return F.array().cast("array<string>")
+    table = F.from_json(F.lit(json.dumps(implied)), "map<string,array<string>>")
+    pattern = "(?iU)(?=(" + phrase_regex(dictionary.phrases) + "))"
+    starts = F.regexp_extract_all(text_or_empty(text), F.lit(pattern), F.lit(1))
+    found = F.flatten(
+        F.transform(F.array_distinct(F.transform(starts, lambda p: F.lower(F.upper(p)))), lambda p: table[p])
+    )
+    names = string_array(list(dictionary.categories))
+    return let(found, lambda present: F.filter(names, lambda c: F.array_contains(present, c)))

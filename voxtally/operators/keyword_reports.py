@@ -11,7 +11,7 @@ from voxtally.functions.keywords import categories_in, keywords_in, split_joined
 from voxtally.functions.text import highlight
 from voxtally.operators.audit import sample_text
 from voxtally.operators.reports import NEGATIVE, POSITIVE, percent
-from voxtally.rules import Dictionary, phrase_regex
+from voxtally.rules import Dictionary
 
 
 def keyword_frequency(df: DataFrame, keywords: Column | None = None) -> DataFrame:
@@ -35,11 +35,10 @@ def top_keywords(df: DataFrame, size: int = 7, keywords: Column | None = None) -
 
 def category_summary(df: DataFrame, dictionary: Dictionary, text: str = "Text_For_Analysis") -> DataFrame:
     """Rows with a phrase of each category, in one pass; categories without any are left out."""
-    used = [(c, p) for c, p in dictionary.categories.items() if p]
-    column = text_or_empty(F.col(text))
-    one = df.agg(
+    used = [c for c, phrases in dictionary.categories.items() if phrases]
+    one = df.select(categories_in(F.col(text), dictionary).alias("_categories")).agg(
         F.count("*").alias("total"),
-        *[F.count_if(column.rlike("(?iU)" + phrase_regex(p))).alias(f"_{i}") for i, (_, p) in enumerate(used)],
+        *[F.count_if(F.array_contains("_categories", c)).alias(f"_{i}") for i, c in enumerate(used)],
     )
     rows = F.array(
         *[
@@ -50,7 +49,7 @@ def category_summary(df: DataFrame, dictionary: Dictionary, text: str = "Text_Fo
                 F.col(f"_{i}").alias("records"),
                 percent(F.col(f"_{i}"), F.col("total")).alias("pct"),
             )
-            for i, (category, _) in enumerate(used)
+            for i, category in enumerate(used)
         ]
     )
     return one.select(F.inline(rows)).where(F.col("records") > 0).orderBy(F.desc("records"), "ordinal")
