@@ -74,7 +74,7 @@ GROUPS = {
     "very_negative": ["schst", "hehely"],
     "moderate_negative": ["three", "ción", "iere", "que"],
 }
-OVERRIDE_PATTERNS = [r"from.*(?:schst|three)", r"no.*(?:that|der).*(?:und|with)"]
+OVERRIDE_STEPS = [[["from"], ["schst", "three"]], [["no"], ["that", "der"], ["und", "with"]]]
 
 PROFILE = Profile("pipe_or_plain", DICTIONARY, FIVE_TIER, groups=GROUPS)
 PIPE_PROFILE = Profile("pipe_chat", DICTIONARY, TRIGGERS)

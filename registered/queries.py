@@ -1010,7 +1010,8 @@ def meaningless_flag(spark, folder):
 # ---------------------------------------------------------------------------
 def _group_score_sql(groups, weights, overrides, t: str) -> str:
     hits = {g: f"len(list_filter({q.words_list([k.lower() for k in ks])}, lambda k: contains({t}, k)))" for g, ks in groups.items()}
-    over = "(" + " OR ".join(f"regexp_matches({t}, {q.quoted(p)})" for p in overrides) + ")::INT"
+    patterns = [".*".join("(?:" + "|".join(words) + ")" for words in steps) for steps in overrides]
+    over = "(" + " OR ".join(f"regexp_matches({t}, {q.quoted(p)})" for p in patterns) + ")::INT"
     total = " + ".join([*hits.values(), over])
     score = " + ".join([f"{h} * {weights[g]}::DOUBLE" for g, h in hits.items()] + [f"{over} * 6.0::DOUBLE"])
     return (
@@ -1022,11 +1023,11 @@ def _group_score_sql(groups, weights, overrides, t: str) -> str:
 @registered(
     "keyword_group_score",
     f"""SELECT doc_id, kw_total, round(kw_score, 6) AS kw_score FROM (SELECT doc_id,
-      {_group_score_sql(fx.GROUPS, fixed.REVIEW_GROUP_WEIGHTS, fx.OVERRIDE_PATTERNS, f"lower(trim(text, {q.WS}))")}
+      {_group_score_sql(fx.GROUPS, fixed.REVIEW_GROUP_WEIGHTS, fx.OVERRIDE_STEPS, f"lower(trim(text, {q.WS}))")}
       FROM documents)""",
 )
 def keyword_group_score_query(spark, folder):
-    score = keyword_group_score(F.col("text"), fx.GROUPS, overrides=fx.OVERRIDE_PATTERNS)
+    score = keyword_group_score(F.col("text"), fx.GROUPS, overrides=fx.OVERRIDE_STEPS)
     return texts(spark, folder).select("doc_id", score.alias("k")).select(
         "doc_id", F.col("k.kw_total").alias("kw_total"), F.round("k.kw_score", 6).alias("kw_score")
     )

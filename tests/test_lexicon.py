@@ -10,6 +10,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
+from voxtally import fixed_values as fixed
 from voxtally.functions.hybrid import hybrid_score, keyword_group_score
 from voxtally.functions.lexicon import MAX_LITERAL_LEXICON, Scorer, polarity, polarity_parts, sentence_chunks
 from voxtally.operators.polarity import polarity_by_join, score_polarity
@@ -164,3 +165,18 @@ def test_no_python_in_the_score(spark):
     df = spark.createDataFrame([("good",)], "t string").select(polarity(F.col("t"), SCORER))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_keyword_groups_against_single_searches(value):
+    rng = random.Random(11)
+    pieces = [p for g in fixed.REVIEW_GROUPS.values() for p in g] + ["xx", "no", "nothing", "complain", "GOOD"]
+    texts = [rng.choice([" ", "\n"]).join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    got = value(keyword_group_score, *texts)
+    for text, found in zip(texts, got):
+        low = text.lower().strip()
+        hits = [fixed.REVIEW_GROUP_WEIGHTS[g] for g, ps in fixed.REVIEW_GROUPS.items() for p in ps if p in low]
+        patterns = [".*".join("(?:" + "|".join(words) + ")" for words in steps) for steps in fixed.POSITIVE_OVERRIDES]
+        if any(re.search(p, low) for p in patterns):
+            hits.append(6.0)
+        assert found["kw_total"] == len(hits)
+        assert found["kw_score"] == pytest.approx(sum(hits) / len(hits) if hits else 0.0)

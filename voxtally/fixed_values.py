@@ -340,9 +340,10 @@ REVIEW_GROUP_WEIGHTS = {
     "very_negative": -9.0,
     "moderate_negative": -5.0,
 }
+# a word of each list, one after the other in one line
 POSITIVE_OVERRIDES = [
-    r"nothing.*(?:happy|good|great|excellent|awesome|perfect|love|amazing)",
-    r"no.*(?:complain|issue|problem).*(?:good|great|excellent)",
+    [["nothing"], ["happy", "good", "great", "excellent", "awesome", "perfect", "love", "amazing"]],
+    [["no"], ["complain", "issue", "problem"], ["good", "great", "excellent"]],
 ]
 POSITIVE_OVERRIDE_WEIGHT = 6.0
 

@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 
 from voxtally import fixed_values as fixed
 from voxtally.functions.common import WHITE_SPACE_RUN, let, string_array, strip, text_or_empty
+from voxtally.rules import phrase_regex
+
+
+def in_one_line(steps: Sequence[Sequence[str]]) -> str:
+    """A pattern for a word of each step, one after the other, in one line.
+
+    The first word of a step is always the best one to go on from, so nothing is
+    tried twice: one scan per line, where ``a.*b.*c`` costs one per ``a``.
+    """
+    return "(?md)^" + "".join(f"(?>.*?(?:{phrase_regex(words)}))" for words in steps)
 
 
 def _hits(lowered: Column, phrases: Sequence[str]) -> Column:
@@ -19,7 +29,7 @@ def keyword_group_score(
     column: Column,
     groups: Mapping[str, Sequence[str]] = fixed.REVIEW_GROUPS,
     weights: Mapping[str, float] = fixed.REVIEW_GROUP_WEIGHTS,
-    overrides: Sequence[str] = fixed.POSITIVE_OVERRIDES,
+    overrides: Sequence[Sequence[Sequence[str]]] = fixed.POSITIVE_OVERRIDES,
 ) -> Column:
     """``struct<kw_score, kw_total>``: mean weight of the phrases found and their number.
 
@@ -29,8 +39,8 @@ def keyword_group_score(
 
     def score(t: Column) -> Column:
         override = F.lit(False)
-        for pattern in overrides:
-            override = override | t.rlike("(?d)" + pattern)
+        for steps in overrides:
+            override = override | t.rlike(in_one_line(steps))
         counts = F.array(
             *[_hits(t, groups.get(name, ())) for name in weights], override.cast("int")
         )

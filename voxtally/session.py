@@ -29,7 +29,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named:
-        context.setCheckpointDir(named)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(named)
         return named
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
