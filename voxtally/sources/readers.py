@@ -15,17 +15,19 @@ from voxtally.operators.lookups import last_wins
 
 
 TASKS_PER_CORE = 4
+FEW_PIECES = 256
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a table that was scanned in too few pieces.
 
     Scoring costs far more than moving the raw text once, and a small file is
-    one piece however many cores there are.  A scan that already has a piece per
-    core, as any large table does, is left alone.
+    one piece however many cores there are.  A scan with a piece for every core
+    is left alone, unless it is small altogether.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= TASKS_PER_CORE * cores:
+    pieces = df.rdd.getNumPartitions()
+    if pieces >= TASKS_PER_CORE * cores or pieces >= max(cores, FEW_PIECES):
         return df
     return df.repartition(TASKS_PER_CORE * cores)
 
