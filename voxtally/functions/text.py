@@ -84,11 +84,25 @@ def _from_run_start(pattern: str, characters: str) -> str:
     return rf"(?:\G|(?<![{characters}])){pattern}"
 
 
+def _without_tags(column: Column) -> Column:
+    """Tags become spaces; what follows the last ``>`` holds none and is not searched."""
+
+    def split_off(text: Column) -> Column:
+        return let(
+            F.substring_index(text, ">", -1),
+            lambda tail: F.concat(
+                F.regexp_replace(F.left(text, F.length(text) - F.length(tail)), fixed.HTML_TAG, " "), tail
+            ),
+        )
+
+    return let(column, split_off)
+
+
 def strip_markup(column: Column) -> Column:
     """Links, mail addresses, tags, control characters and repeated marks go; ends are trimmed."""
     text = F.regexp_replace(column, fixed.URL, " ")
     text = F.regexp_replace(text, _from_run_start(fixed.EMAIL_IN_REVIEW, r"\S"), " ")
-    text = F.regexp_replace(text, fixed.HTML_TAG, " ")
+    text = _without_tags(text)
     text = F.regexp_replace(text, fixed.CONTROL_CHARACTERS, " ")
     text = F.regexp_replace(text, fixed.REPEATED_PUNCTUATION, "$1")
     text = squeeze(text)
