@@ -137,26 +137,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-_JACCARD = r"""
-WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
-  FROM documents),
-sets AS (
-  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 4), ' ') AS s
-  FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM words WHERE len(words) > 0)),
-sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
-links AS (
-  SELECT x.doc_id AS a, y.doc_id AS b
-  FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id JOIN sizes m ON m.doc_id = x.doc_id JOIN sizes n ON n.doc_id = y.doc_id
-  GROUP BY x.doc_id, y.doc_id, m.n, n.n HAVING 100 * count(*) >= 75 * (m.n + n.n - count(*))),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.component_id
-FROM documents d JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = d.doc_id LEFT JOIN sizes n ON n.doc_id = d.doc_id
-"""
-
 ORACLES = {
     "op4_quality_rules": _QUALITY
     + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM bits",
-    "op8_jaccard_join": _JACCARD,
     "op10_metric_search": _SEARCH,
 }
