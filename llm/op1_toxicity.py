@@ -36,12 +36,12 @@ from llm.words import word_hashes, word_spans
 SAMPLE = 20_000
 #: Words of the model at most.
 WORDS = 1 << 16
-#: Mass of the Dirichlet prior in words.
-PRIOR = 1_000.0
+#: Mass of the Dirichlet prior as a share of the words learnt from.
+PRIOR = 0.05
 #: Standard errors of a word's log-odds: to be looked at again by its neighbours, and to enter the model.
-CANDIDATE, CERTAIN = 3.0, 5.0
-#: Score of any other word, and the most that a word can score.
-DRIFT, MOST = -0.5, 8.0
+CANDIDATE, CERTAIN = 2.0, 3.0
+#: Score of any other word, and the least and the most that a word of the model can score.
+DRIFT, LEAST, MOST = -0.5, 2.0, 8.0
 #: Chance segments expected in a clean text below which a segment is a toxic passage.
 SIGNIFICANT = 0.05
 BLOCK = 4 << 20
@@ -125,9 +125,10 @@ def _learnt(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str
 def _log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float, y_toxic, y_clean):
     """Log-odds ratio under the prior, and its standard error; works on columns and arrays alike."""
     log, root = (F.log, F.sqrt) if isinstance(y_toxic, Column) else (np.log, np.sqrt)
-    prior = (toxic + clean) * (PRIOR / (n_toxic + n_clean))
+    mass = PRIOR * (n_toxic + n_clean)
+    prior = (toxic + clean) * PRIOR
     one, two = y_toxic + prior, y_clean + prior
-    ratio = log(one / (n_toxic + PRIOR - one)) - log(two / (n_clean + PRIOR - two))
+    ratio = log(one / (n_toxic + mass - one)) - log(two / (n_clean + mass - two))
     return ratio, root(1 / one + 1 / two)
 
 
@@ -227,15 +228,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     words, toxic, clean, n_toxic, n_clean = _candidates(train)
     if len(words):
         apart = _contexts(train, words)
-        ratio, error = _log_odds(toxic, clean, n_toxic, n_clean, apart[:, 0], apart[:, 1])
-        keep = ratio / error >= CERTAIN
+        ratio, error = _log_odds(apart[:, 0], apart[:, 1], n_toxic, n_clean, apart[:, 0], apart[:, 1])
+        keep = (ratio / error >= CERTAIN) & (ratio >= LEAST)
         words, toxic, clean, ratio = words[keep], toxic[keep], clean[keep], np.minimum(ratio[keep], MOST)
     if not len(words):
         of = dict(train.groupBy("toxic").count().collect())
         share = of.get(1, 0) / max(1, sum(of.values()))
         base = float(np.log(share / (1 - share))) if 0 < share < 1 else (36.0 if share else -36.0)
         return Model(np.empty(0, np.uint64), np.empty(0), 1.0, 1.0, (base, 0.0, 0.0))
-    chances = (clean + PRIOR * (toxic + clean) / (n_toxic + n_clean)) / (n_clean + PRIOR)
+    chances = (clean + PRIOR * (toxic + clean)) / (n_clean + PRIOR * (n_toxic + n_clean))
     rough = Model(words, ratio, _decay(ratio, chances), 1.0, (0.0, 0.0, 0.0))
 
     def gather(model: Model) -> np.ndarray:
@@ -262,18 +263,25 @@ def _shrunk(evidence: np.ndarray) -> np.ndarray:
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
     """Weights by Newton steps; evidence never counts against toxicity."""
-    x = np.column_stack((np.ones(len(x)), x))
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        penalty = ridge * np.r_[0, np.ones(len(w) - 1)]
-        slope = x.T @ (y - p) - penalty * w
-        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
-        step = np.linalg.solve(bend, slope)
-        w += step / max(1.0, float(np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(w[0]), float(w[1]), float(w[2])
+    weights = np.zeros(3)
+    used = [0, 1, 2]
+    while True:
+        own = np.column_stack((np.ones(len(x)), x))[:, used]
+        w = np.zeros(len(used))
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            penalty = ridge * np.r_[0, np.ones(len(w) - 1)]
+            slope = own.T @ (y - p) - penalty * w
+            bend = (own * (p * (1 - p))[:, None]).T @ own + np.diag(penalty + 1e-9)
+            step = np.linalg.solve(bend, slope)
+            w += step / max(1.0, float(np.abs(step).max()))
+            if np.abs(step).max() < 1e-6:
+                break
+        against = [i for i, value in zip(used[1:], w[1:], strict=True) if value < 0]
+        if not against:
+            weights[used] = w
+            return float(weights[0]), float(weights[1]), float(weights[2])
+        used.remove(against[0])
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -35,7 +35,9 @@ from llm.slots import has, slot_bits, slot_maps, slots_of
 from llm.words import shingle_sets
 
 #: Rounds of leaders before all pairs that are still apart are tested.
-ROUNDS = 3
+ROUNDS = 2
+#: Nodes of a chunk where what is still apart is compared.
+CHUNK = 1024
 #: Buckets of the upper bound on an overlap.
 SKETCH = 256
 #: Bytes of text handled at once.
@@ -53,10 +55,11 @@ def sketch(tokens: np.ndarray) -> bytes:
 
 
 def prefixes(texts: DataFrame, bits: int, size: int) -> DataFrame:
-    """``row_id, n, node, grp, tokens, held, sketch`` of each text, in one pass.
+    """``row_id, n, node, grp, tokens, held, sketch, rare`` of each text, in one pass.
 
     ``node`` stands for the set, ``grp`` for prefix and size.  ``tokens`` are the repeated tokens of the
-    prefix; the set itself (``held``) and its sketch are kept only where there are any.
+    prefix; the set itself (``held``) and its sketch are kept only where there are any, and ``rare``,
+    the share of its tokens that occur once.
     """
     spark = texts.sparkSession
     maps = spark.sparkContext.broadcast(slot_maps(texts, bits, lambda data, offsets: shingle_sets(data, offsets, size)[0]))
@@ -71,7 +74,7 @@ def prefixes(texts: DataFrame, bits: int, size: int) -> DataFrame:
             for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 count = end - start
                 if not count:
-                    rows.append((0, None, None, [], None, None))
+                    rows.append((0, None, None, [], None, None, None))
                     continue
                 own, kinds = tokens[start:end], kind[start:end]
                 order = np.argsort(kinds, kind="stable")[: count // 4 + 1]
@@ -81,13 +84,13 @@ def prefixes(texts: DataFrame, bits: int, size: int) -> DataFrame:
                     node = np.array([own.sum(), mixed(own ^ np.uint64(0x5BD1E995)).sum()], ">u8").tobytes()
                     group = np.array([prefix.sum(), mixed(prefix ^ np.uint64(0x5BD1E995)).sum() + np.uint64(count)], ">u8").tobytes()
                 any_ = len(sent) > 0
-                rows.append((count, node, group, sent.view(np.int64), own.tobytes() if any_ else None, sketch(own) if any_ else None))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+                rows.append((count, node, group, sent.view(np.int64), own.tobytes() if any_ else None, sketch(own) if any_ else None, float((kinds == 0).mean())))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.float64())
             columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([table.column("row_id").combine_chunks(), *columns], ["row_id", "n", "node", "grp", "tokens", "held", "sketch"])
+            yield pa.RecordBatch.from_arrays([table.column("row_id").combine_chunks(), *columns], ["row_id", "n", "node", "grp", "tokens", "held", "sketch", "rare"])
 
     kind = texts.schema["row_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"row_id {kind}, n bigint, node binary, grp binary, tokens array<bigint>, held binary, sketch binary")
+    return texts.mapInArrow(run, f"row_id {kind}, n bigint, node binary, grp binary, tokens array<bigint>, held binary, sketch binary, rare double")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, folder: str, name: str) -> DataFrame:
@@ -128,61 +131,82 @@ def _ordered(one: str, two: str) -> list:
     return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
 
+def _links_apart(posted: DataFrame, sets: DataFrame, named: DataFrame, apart: DataFrame, within: DataFrame, folder: str) -> DataFrame:
+    """Candidate pairs ``a, b`` of different components among nodes that meet in tokens or groups still apart.
+
+    Nodes that such tokens and groups tie together form an area; nodes of different areas share no
+    prefix token.  An area is dealt in chunks, and every two chunks of it meet in one row group, where
+    sizes and sketches rule out pairs before any row is made of them.
+    """
+    met = posted.join(apart.select("token", F.col("lead.node").alias("a")), "token").select("grp", "a").union(within.select("grp", F.col("lead.node").alias("a"))).distinct()
+    ties = met.join(named, "grp").where("a <> node").select(*_ordered("a", "node"))
+    ties = stored(ties.distinct(), folder, "ties")
+    areas = stored(components(ties, folder, "areas"), folder, "area-labels")
+    areas = areas.union(areas.select(F.col("label").alias("node"), "label").distinct()).withColumnRenamed("label", "area")
+    rows = areas.join(named.select("node", "label"), "node").join(sets.select("node", "n", "sketch"), "node")
+    counts = areas.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    rows = rows.join(counts, "area").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    # chunk i meets chunk j >= i in the row group (area, i, j); its row goes to each of them
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    rows = rows.withColumn("other", other).select("area", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own"), "node", "label", "n", "sketch")
+
+    def compare(key, table):
+        own = table.column("own").to_numpy()
+        nodes, sizes = table.column("node").to_pylist(), table.column("n").to_numpy()
+        _, labels = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        first = np.flatnonzero(own == key[1].as_py())
+        second = np.flatnonzero(own == key[2].as_py())
+        alone = key[1].as_py() == key[2].as_py()
+        out: list[tuple[bytes, bytes]] = []
+        for place, i in enumerate(first.tolist()):
+            rest = second[place + 1 :] if alone else second
+            small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+            rest = rest[(labels[rest] != labels[i]) & (4 * small >= 3 * large)]
+            both = np.minimum(sketches[rest], sketches[i])
+            keep = (both.sum(1, dtype=np.int64) >= -(-3 * (sizes[rest] + sizes[i]) // 7)) | (both == 255).any(1)
+            out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in rest[keep].tolist()]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+
+    return rows.groupBy("area", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5) -> DataFrame:
     """``id_column, n_shingles, component_id`` of each row: its set's size and the smallest id reachable by links."""
-    spark = docs.sparkSession
-    folder = shared_folder(spark, "jaccard")
+    folder = shared_folder(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(f"`{id_column}`").alias("row_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     rows = stored(prefixes(texts, slot_bits(texts), size), folder, "rows")
     # one row for each set that may meet another
-    sets = rows.where("held IS NOT NULL").select("node", "n", "grp", "tokens", "held", "sketch").dropDuplicates(["node"])
+    sets = rows.where("held IS NOT NULL").select("node", "n", "grp", "tokens", "held", "sketch", "rare").dropDuplicates(["node"])
     sets = stored(sets, folder, "sets")
-    nodes = sets.select("node", "grp", "n")
+    nodes = sets.select("node", "grp", "n", "rare")
     groups = sets.dropDuplicates(["grp"]).select("grp", F.explode("tokens").alias("token"))
     shared = groups.groupBy("token").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least < most").select("token")
     posted = stored(groups.join(shared, "token").select("token", "grp"), folder, "tokens")
     links = None
     labels = nodes.select("node", F.col("node").alias("label")).limit(0)
-    tested = None
     for turn in range(ROUNDS + 1):
-        named = nodes.join(labels, "node", "left").select("node", "grp", "n", F.coalesce("label", "node").alias("label"), F.xxhash64("node", F.lit(turn)).alias("rank"))
+        # the first leaders are the sets with the smallest share of tokens of their own: they have most links
+        rank = F.struct("rare", "node") if not turn else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+        named = nodes.join(labels, "node", "left").select("node", "grp", "n", F.coalesce("label", "node").alias("label"), rank.alias("rank"))
         named = stored(named, folder, f"named-{turn}")
         # tokens whose texts are not all in one component yet, and groups alike
         spread = named.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("rank", "node", "label", "n")).alias("lead"))
+        spread = stored(spread, folder, f"spread-{turn}")
         by_token = posted.join(spread, "grp")
         apart = by_token.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("lead").alias("lead")).where("low < high").drop("low", "high")
+        apart = stored(apart, folder, f"apart-{turn}")
         within = spread.where("low < high").select("grp", "lead")
         if turn < ROUNDS:
             near = "lead.label <> label AND 4 * least(lead.n, n) >= 3 * greatest(lead.n, n)"
             met = posted.join(apart, "token").select("grp", "lead").union(within).distinct()
-            pairs = met.join(named, "grp").where(near).select(*_ordered("lead.node", "node"))
+            pairs = met.join(named, "grp").where(near).select(*_ordered("lead.node", "node")).distinct()
         else:
-            one, two = (
-                members.select(*[F.col(c).alias(f"{c}_{end}") if c != "key" else F.col(c) for c in ("key", "node", "label", "n")])
-                for end, members in (("a", _members(posted, apart, within, named)), ("b", _members(posted, apart, within, named)))
-            )
-            near = "label_a < label_b AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
-            pairs = one.join(two, "key").where(near).select(*_ordered("node_a", "node_b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, folder, f"pairs-{turn}")
-        if not pairs.take(1):
-            if turn == ROUNDS or not apart.take(1) and not within.take(1):
-                break
-            continue
-        found = verified(pairs, sets, folder, f"links-{turn}")
-        tested = pairs if tested is None else tested.union(pairs)
+            pairs = _links_apart(posted, sets, named, apart, within, folder)
+        found = verified(stored(pairs, folder, f"pairs-{turn}"), sets, folder, f"links-{turn}")
         links = found if links is None else links.union(found)
         labels = stored(components(links, folder, f"stars-{turn}"), folder, f"labels-{turn}")
     known = rows.select("row_id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.where("label IS NOT NULL").groupBy("label").agg(F.min("row_id").alias("least"))
     out = known.join(least, "label", "left")
     return out.select(F.col("row_id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("least", "row_id").alias("component_id"))
-
-
-def _members(posted: DataFrame, apart: DataFrame, within: DataFrame, named: DataFrame) -> DataFrame:
-    """The nodes of each token or group that still holds several components, by a common key."""
-    of_token = posted.join(apart.select("token"), "token").select(F.col("token").cast("string").cast("binary").alias("key"), "grp")
-    of_group = within.select(F.concat(F.lit("group").cast("binary"), F.col("grp")).alias("key"), "grp")
-    return of_token.union(of_group).join(named, "grp").select("key", "node", "label", "n").distinct()
