@@ -913,7 +913,7 @@ def _markup(unescaped: str) -> str:
     t = f"regexp_replace({t}, '[\\x00-\\x1f\\x7f-\\x{{{{9f}}}}]', ' ', 'g')"
     for mark in ["!", "\\?", "\\.", ","]:
         t = f"regexp_replace({t}, '{mark}{{{{2,}}}}', '{mark[-1]}', 'g')"
-    t = t.format(w=" \\t\\n\\x0b\\f\\r")
+    t = t.format(w="\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}".replace("{{", "{").replace("}}", "}"))
     t = q.squeeze(t)
     t = f"regexp_replace({t}, '^[^\\p{{L}}\\p{{M}}\\p{{N}}_'']+|[^\\p{{L}}\\p{{M}}\\p{{N}}_'']+$', '', 'g')"
     return f"trim({t}, {q.WS})"
@@ -1259,12 +1259,18 @@ def extract_pipe_or_plain_query(spark, folder):
     )
 
 
+def _varied_roles(spark, folder):
+    """Turns whose roles vary in case and outer blanks; the oracles know them as they are stored."""
+    spelled = F.when(F.col("turn") % 3 == 0, F.upper("role")).when(F.col("turn") % 3 == 1, F.concat(F.lit(" "), F.initcap("role"), F.lit("\t")))
+    return fx.table(spark, folder, "conversations").withColumn("role", spelled.otherwise(F.col("role")))
+
+
 @registered(
     "speaker_counts",
     "SELECT conv_id, role, count(*) AS messages, min(turn) AS first_position FROM conversations GROUP BY ALL",
 )
 def speaker_counts(spark, folder):
-    return turns.speaker_counts(fx.table(spark, folder, "conversations"), "conv_id", "role", "turn")
+    return turns.speaker_counts(_varied_roles(spark, folder), "conv_id", "role", "turn")
 
 
 _PICKED = """people AS (SELECT conv_id, role, count(*) AS messages, min(turn) AS first_position FROM conversations
@@ -1275,17 +1281,17 @@ _PICKED = """people AS (SELECT conv_id, role, count(*) AS messages, min(turn) AS
 
 @registered("speaker_pick", f"WITH {_PICKED} SELECT conv_id, role, messages, first_position FROM picked")
 def speaker_pick(spark, folder):
-    return turns.pick_customer(fx.table(spark, folder, "conversations"), "conv_id", "role", "turn")
+    return turns.pick_customer(_varied_roles(spark, folder), "conv_id", "role", "turn")
 
 
 @registered(
     "customer_text",
-    f"""WITH {_PICKED} SELECT conv_id, (turn // 1000)::BIGINT AS segment, role,
+    f"""WITH {_PICKED} SELECT conv_id, role,
       string_agg({q.squeeze("text")}, ' ' ORDER BY turn) AS customer_text
       FROM conversations JOIN picked USING (conv_id, role) GROUP BY ALL""",
 )
 def customer_text(spark, folder):
-    return turns.customer_text(fx.table(spark, folder, "conversations"), "conv_id", "role", "turn", "text")
+    return turns.customer_text(_varied_roles(spark, folder), "conv_id", "role", "turn", "text")
 
 
 # ---------------------------------------------------------------------------

@@ -166,3 +166,36 @@ def test_categories_against_one_search_per_category(value, texts):
     ]
     assert value(lambda t: kw.categories_in(t, dictionary), *texts) == want
     assert value(lambda t: kw.categories_in(t, dictionary), "\u212a A", "\u017f") == [["one"], []]
+
+
+def test_links_end_at_unicode_white_space(value):
+    from voxtally.functions.text import clean_review
+
+    assert value(clean_review, "see www.x.com/a\u2028bad service here") == "see bad service here"
+    assert value(lambda c: clean_review(c, full_unicode=False), "see www.x.com/a\u00a0bad service") == "see bad service"
+
+
+def test_letters_like_ascii_keep_their_categories(value):
+    from voxtally.functions.keywords import categories_in
+    from voxtally.rules import default_profile
+
+    dictionary = default_profile("pipe_chat").dictionary
+    phrase = next(p for p in dictionary.phrases if "i" in p or "s" in p)
+    plain = value(lambda c: categories_in(c, dictionary), f"x {phrase} y")
+    assert plain
+    for odd in (phrase.upper().replace("I", "\u0130"), phrase.replace("i", "\u0131"), phrase.replace("s", "\u017f")):
+        assert value(lambda c: categories_in(c, dictionary), f"{phrase}, {odd}") == plain
+
+
+def test_heavy_ids_use_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from voxtally.operators.lookups import _salts, lookup_join
+
+    left = spark.createDataFrame([("hot", "same")] * 1000 + [(None, "n")] * 50 + [(str(i), "x") for i in range(200)], "k string, t string")
+    right = spark.createDataFrame([("hot", 1), ("5", 2)], "k string, v int")
+    assert _salts(left, "k")["hot"] > 100
+    joined = lookup_join(left, right, "k", hot_keys=True, max_bytes=0)
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert {(r.v, r["count"]) for r in joined.groupBy("v").count().collect()} == {(1, 1000), (2, 1), (None, 249)}
+    assert joined.where(F.col("k") == "hot").count() == 1000

@@ -11,6 +11,10 @@ from voxtally.functions.common import let, string_array, text_or_empty
 from voxtally.rules import Dictionary, phrase_regex
 
 
+#: Letters that a pattern without case takes for an ASCII letter: dotted capital i, dotless i, long s, Kelvin sign.
+LETTERS_LIKE_ASCII = ("\u0130\u0131\u017f\u212a", "iisk")
+
+
 def keywords_in(text: Column, dictionary: Dictionary) -> Column:
     """Distinct phrases in order of appearance, each in its first spelling.
 
@@ -50,7 +54,7 @@ def categories_in(text: Column, dictionary: Dictionary) -> Column:
     """
 
     def folded(phrase: str) -> str:
-        return phrase.upper().lower()
+        return phrase.translate(str.maketrans(*LETTERS_LIKE_ASCII)).lower()
 
     category_of = [(folded(p), c) for c, phrases in dictionary.categories.items() for p in phrases]
     implied = {
@@ -61,8 +65,9 @@ def categories_in(text: Column, dictionary: Dictionary) -> Column:
     table = F.from_json(F.lit(json.dumps(implied)), "map<string,array<string>>")
     pattern = "(?iU)(?=(" + phrase_regex(dictionary.phrases) + "))"
     starts = F.regexp_extract_all(text_or_empty(text), F.lit(pattern), F.lit(1))
-    found = F.flatten(
-        F.transform(F.array_distinct(F.transform(starts, lambda p: F.lower(F.upper(p)))), lambda p: table[p])
-    )
+    # characters that match an ASCII letter in any case, but are not lowered to it
+    plain = F.transform(starts, lambda p: F.lower(F.translate(p, *LETTERS_LIKE_ASCII)))
+    implied_by = F.transform(F.array_distinct(plain), lambda p: table[p])
+    found = F.flatten(F.filter(implied_by, lambda c: c.isNotNull()))
     names = string_array(list(dictionary.categories))
     return let(found, lambda present: F.filter(names, lambda c: F.array_contains(present, c)))

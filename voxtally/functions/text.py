@@ -100,8 +100,9 @@ def _without_tags(column: Column) -> Column:
 
 def strip_markup(column: Column) -> Column:
     """Links, mail addresses, tags, control characters and repeated marks go; ends are trimmed."""
-    text = F.regexp_replace(column, fixed.URL, " ")
-    text = F.regexp_replace(text, _from_run_start(fixed.EMAIL_IN_REVIEW, r"\S"), " ")
+    # links and addresses end at any white space, also outside ASCII
+    text = F.regexp_replace(column, "(?U)" + fixed.URL, " ")
+    text = F.regexp_replace(text, "(?U)" + _from_run_start(fixed.EMAIL_IN_REVIEW, r"\S"), " ")
     text = _without_tags(text)
     text = F.regexp_replace(text, fixed.CONTROL_CHARACTERS, " ")
     text = F.regexp_replace(text, fixed.REPEATED_PUNCTUATION, "$1")

@@ -63,7 +63,7 @@ def infer_id_column(df: DataFrame, text_column: str, names: Sequence[str] = fixe
     rows = max(counts["_rows"], 1)
     for i, name in enumerate(others):
         ratio = counts[f"_{i}"] / rows
-        if abs(ratio - 0.5) < 5 * APPROXIMATION * max(ratio, 0.5) or rows < 10_000:
+        if abs(ratio - 0.5) < 5 * APPROXIMATION * max(ratio, 0.5):
             exact = df.agg(F.countDistinct(F.col(f"`{name}`")).alias("n")).first()["n"]
             ratio = exact / rows
         if ratio >= 0.5:

@@ -2,16 +2,19 @@
 
 A side is broadcast only after its size in bytes was measured.  Beyond the limit
 the join is shuffled, and where the key of the large side may be hot (business
-ids repeat) the key is salted.
+ids repeat) its heavy keys are counted and only these are salted, each by its share.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-SALTS = 16
+#: A key with more than one in so many rows is heavy; there are fewer heavy keys than that.
+HEAVY = 256
+#: Tasks that the rows of all heavy keys together are dealt to, about.
+SPREAD = 1024
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -37,9 +40,26 @@ def lookup_join(
     if not hot_keys:
         return left.join(right, key, "left").select(*columns)
 
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")
-    return left.withColumn("_salt", spread).join(salted, [key, "_salt"], "left").select(*columns)
+    salts = _salts(left, key)
+
+    def dealt(name: str) -> Column:
+        if not salts:
+            return F.lit(1)
+        table = F.create_map(*[F.lit(x) for pair in salts.items() for x in pair])
+        # a null key matches nothing, so its rows may go anywhere
+        return F.coalesce(F.when(F.col(name).isNull(), F.lit(SPREAD)), F.try_element_at(table, F.col(name).cast("string")), F.lit(1))
+
+    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), dealt(key) - 1)))
+    turn = F.pmod(F.monotonically_increasing_id(), dealt(key)).cast("int")
+    return left.withColumn("_salt", turn).join(salted.hint("merge"), [key, "_salt"], "left").select(*columns)
+
+
+def _salts(left: DataFrame, key: str) -> dict[str, int]:
+    """Heavy keys and the number of parts that each is split into."""
+    counts = left.groupBy(F.col(key).cast("string").alias("k")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = counts.where((F.col("n") * HEAVY > total) & F.col("k").isNotNull()).collect()
+    return {r.k: 1 + r.n * SPREAD // total for r in heavy}
 
 
 def last_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -18,7 +18,11 @@ from voxtally.functions.lexicon import (
     word_lookup,
     words_of,
 )
-from voxtally.operators.lookups import SALTS
+
+
+def _unique(lexicon: DataFrame) -> DataFrame:
+    """One row a token: of several valences the largest holds, whichever path is taken."""
+    return lexicon.where("token IS NOT NULL").groupBy("token").agg(F.max("valence_tenths").alias("valence_tenths"))
 
 
 def polarity_by_join(
@@ -27,17 +31,14 @@ def polarity_by_join(
     """Polarity with a lexicon ``(token, valence_tenths)`` too large for the plan.
 
     Each text sends its distinct words once.  Frequent words are hot keys of that
-    join and are salted.  The valences come back as one small map per text,
+    join, which adaptive execution splits.  The valences come back as one small map per text,
     never larger than the text itself.
     """
     words = df.select(
         row_key, F.explode_outer(F.array_distinct(F.transform(words_of(text_or_empty(F.col(text))), F.lower))).alias("token")
-    ).where(F.col("token").isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(SALTS)).cast("int"))
-    salted = lexicon.select("token", "valence_tenths").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
+    ).where(F.col("token").isNotNull())
     hits = (
-        words.join(salted, ["token", "_salt"])
+        words.join(_unique(lexicon), "token")
         .groupBy(row_key)
         .agg(F.map_from_entries(F.collect_list(F.struct("token", "valence_tenths"))).alias("_hits"))
     )
@@ -65,7 +66,7 @@ def score_polarity(
     df: DataFrame, row_key: str, text: str, lexicon: DataFrame, scorer: Scorer, name: str = "polarity"
 ) -> DataFrame:
     """Polarity with a lexicon table: inside the row where the lexicon is small, by join beyond."""
-    rows = lexicon.select("token", "valence_tenths").limit(MAX_LITERAL_LEXICON + 1).collect()
+    rows = _unique(lexicon).limit(MAX_LITERAL_LEXICON + 1).collect()
     if len(rows) > MAX_LITERAL_LEXICON:
         return polarity_by_join(df, row_key, text, lexicon, scorer, name)
     loaded = replace(scorer, lexicon={r.token: r.valence_tenths for r in rows})
