@@ -35,7 +35,7 @@ from llm.slots import has, slot_bits, slot_maps, slots_of
 from llm.words import shingle_sets
 
 #: Rounds of leaders before all pairs that are still apart are tested.
-ROUNDS = 2
+ROUNDS = 1
 #: Nodes of a chunk where what is still apart is compared.
 CHUNK = 1024
 #: Buckets of the upper bound on an overlap.
