@@ -17,8 +17,7 @@ from llm.queries import BPE_50K
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the standard policy of the rule ledger."""
-    rows = op4_quality_rules.ledger(docs, keep=tuple(docs.columns))
-    return rows.where(op4_quality_rules.passes(op4_quality_rules.STANDARD)).select(*docs.columns)
+    return op4_quality_rules.passing(docs, op4_quality_rules.STANDARD)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

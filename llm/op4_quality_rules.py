@@ -140,3 +140,16 @@ def ablations(rows: DataFrame, policies: list[Policy]) -> DataFrame:
             F.bit_or(rejected).alias("rules_seen"),
         )
     )
+
+
+def passing(docs: DataFrame, policy: Policy, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, columns as they are, that pass a policy.
+
+    The verdict goes through a generator: a filter over the ledger's own columns would be
+    pushed below them, each measurement written out again wherever the filter names it.
+    """
+    names = [f"column_{i}" for i in range(len(docs.columns))]
+    which = names[docs.columns.index(text_column)]
+    rows = ledger(docs.toDF(*names), which, tuple(names))
+    rows = rows.withColumn("passes", F.explode_outer(F.array(passes(policy)))).where("passes")
+    return rows.select(*names).toDF(*docs.columns)
