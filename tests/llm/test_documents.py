@@ -66,12 +66,14 @@ def plain_components(texts):
     for _, text in texts:
         words = WORD.findall(lowered(text))
         sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
-    least = list(range(len(texts)))
-    for _ in texts:
-        for a, x in enumerate(sets):
-            for b, y in enumerate(sets):
-                if x and y and 100 * len(x & y) >= 75 * len(x | y):
-                    least[a] = least[b] = min(least[a], least[b])
+    pairs = [(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and x and y and 100 * len(x & y) >= 75 * len(x | y)]
+    least, moved = list(range(len(texts))), True
+    while moved:
+        moved = False
+        for a, b in pairs:
+            if least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                moved = True
     ids = [i for i, _ in texts]
     label = [min((ids[b] for b in range(len(ids)) if least[b] == least[a] and ids[b] is not None), default=None) if sets[a] else ids[a] for a in range(len(ids))]
     return Counter(zip(ids, map(len, sets), label, strict=True))
