@@ -22,7 +22,6 @@ from voxtally.rules import (
     no_positive_cascade,
     trigger_cascade,
 )
-from voxtally.session import cut_lineage
 from voxtally.sources.readers import spread
 
 VERY_NEGATIVE = Phrases.of(["schst"])
@@ -105,8 +104,9 @@ def overrides(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """A prediction per marked document, its confidence spread over [0.5, 1)."""
-    return table(spark, folder, "labels").select(
+    """A prediction per document, negative for those marked toxic, its confidence spread over [0.5, 1)."""
+    marks = table(spark, folder, "labels").select("doc_id", "toxic")
+    return table(spark, folder, "documents").select("doc_id").join(marks, "doc_id", "left").select(
         F.col("doc_id").alias("row_key"),
         F.when(F.col("toxic") == 1, F.lit("NEGATIVE")).otherwise(F.lit("POSITIVE")).alias("label"),
         (F.lit(0.5) + F.pmod(F.col("doc_id") * 7, F.lit(50)) / F.lit(100.0)).alias("score"),
@@ -126,15 +126,6 @@ def result(spark: SparkSession, folder: str, threshold: float = 0.7, with_overri
     )
 
 
-def stored_result(spark: SparkSession, folder: str) -> DataFrame:
-    """The analysis as a stored table.
-
-    Filters over a result belong on the stored table: pushed into the lazy plan
-    they would repeat the analysis inside the filter.
-    """
-    return cut_lineage(result(spark, folder))
-
-
 # ---------------------------------------------------------------------------
 # Transcripts derived from documents, inside each row: one turn per line
 # ---------------------------------------------------------------------------

@@ -380,7 +380,8 @@ def blend(spark, folder):
 # ---------------------------------------------------------------------------
 _PREDICTIONS = """predictions AS (
   SELECT doc_id, CASE WHEN toxic = 1 THEN 'negative' ELSE 'positive' END AS label,
-    0.5::DOUBLE + ((doc_id * 7) % 50) / 100.0::DOUBLE AS p FROM labels)"""
+    0.5::DOUBLE + ((doc_id * 7) % 50) / 100.0::DOUBLE AS p
+  FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
 @registered(
@@ -395,17 +396,10 @@ _PREDICTIONS = """predictions AS (
         CASE WHEN fixes THEN (CASE WHEN label = 'positive' THEN 'Positive' ELSE 'Negative' END)
              ELSE consumer_sentiment END AS consumer_sentiment,
         CASE WHEN fixes THEN round(p, 3) ELSE confidence END AS confidence,
-        CASE WHEN fixes THEN 'bert:' || label ELSE rule END AS _rule_fired FROM j""".replace(
-        "FROM labels WHERE NOT (quality = 1 AND toxic = 1)",
-        "FROM labels WHERE NOT (quality = 1 AND toxic = 1) AND doc_id % 2 = 0",
-    ),
+        CASE WHEN fixes THEN 'bert:' || label ELSE rule END AS _rule_fired FROM j""",
 )
 def model_correction(spark, folder):
-    some = fx.overrides(spark, folder).where(F.col("_id_norm").cast("long") % 2 == 0)
-    result = analyze(
-        texts(spark, folder), fx.PROFILE, "doc_id", "text", overrides=some, scorer=fx.SCORER
-    )
-    return correct_with_model(result, fx.predictions(spark, folder), "doc_id").select(
+    return correct_with_model(fx.result(spark, folder), fx.predictions(spark, folder), "doc_id").select(
         "doc_id", "consumer_score", "consumer_sentiment", "confidence", "_rule_fired"
     )
 
@@ -594,7 +588,7 @@ def triage_counts(spark, folder):
       WHERE starts_with(rule, 'rule:') AND consumer_sentiment = 'Negative' AND confidence > 0.7::DOUBLE""",
 )
 def triage_filter(spark, folder):
-    found = audit.triage_filter(fx.stored_result(spark, folder), "rule", "Negative", "High")
+    found = audit.triage_filter(fx.result(spark, folder), "rule", "Negative", "High")
     return found.select("doc_id", "consumer_score", "_rule_fired")
 
 
@@ -608,7 +602,7 @@ def triage_filter(spark, folder):
 )
 def evidence_search(spark, folder):
     found = audit.evidence(
-        fx.stored_result(spark, folder), ["Negative", "Neutral"], ["Model"], "OF the",
+        fx.result(spark, folder), ["Negative", "Neutral"], ["Model"], "OF the",
         ["Negative_Keywords", "Text_For_Analysis", "text"],
     )
     return found.select(

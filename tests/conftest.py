@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -17,7 +18,8 @@ MEDIUM = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", shuffle_partitions=8, app_name="tests")
+    folder = tempfile.mkdtemp(prefix="voxtally-tests-")
+    session = local_session("8", shuffle_partitions=8, app_name="tests", checkpoint_dir=folder)
     yield session
     session.stop()
 

@@ -56,6 +56,16 @@ def test_evenly_spaced(spark, monkeypatch, rows):
     assert got == want
 
 
+def test_evenly_spaced_over_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(inference, "SMALL_BUCKET", 50)
+    monkeypatch.setattr(inference, "BUCKETS", 16)
+    keys = sorted([-5] * 20 + [7] * 900 + list(range(2**62, 2**62 + 300)))
+    df = spark.createDataFrame([(k, f"text {i}") for i, k in enumerate(keys)], "k long, t string").repartition(4)
+    got = inference.evenly_spaced(df, "k").collect()
+    assert {r["sample_position"]: r["k"] for r in got} == {i: keys[i * 1219 // 7] for i in range(8)}
+    assert len({r["t"] for r in got}) == len(got) == 8
+
+
 def test_text_and_id_columns(spark):
     rows = [(i, i % 3, f"some longer text number {i}", "x") for i in range(10)]
     df = spark.createDataFrame(rows, "a int, b int, words string, s string")

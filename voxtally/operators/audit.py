@@ -42,16 +42,31 @@ def with_triage(df: DataFrame) -> DataFrame:
     return df.select("*", *[test.alias("in_" + name) for name, test in triage_flags().items()])
 
 
+def _rows_that(df: DataFrame, tests: Sequence[Column]) -> DataFrame:
+    """The rows that pass all tests.
+
+    The verdict goes through a generator: a filter over computed columns of a lazy result
+    would be pushed below them and repeat the analysis inside the filter.
+    """
+    if not tests:
+        return df
+    passed = F.lit(True)
+    for test in tests:
+        passed = passed & F.coalesce(test, F.lit(False))
+    return df.withColumn("_passed", F.explode_outer(F.array(passed))).where("_passed").drop("_passed")
+
+
 def triage_filter(
     df: DataFrame, bucket: str | None = None, label: str | None = None, band: str | None = None
 ) -> DataFrame:
+    tests = []
     if bucket:
-        df = df.where(triage_flags()[bucket])
+        tests.append(triage_flags()[bucket])
     if label:
-        df = df.where(F.col("consumer_sentiment") == label)
+        tests.append(F.col("consumer_sentiment") == label)
     if band:
-        df = df.where(confidence_band(F.col("confidence")) == band)
-    return df
+        tests.append(confidence_band(F.col("confidence")) == band)
+    return _rows_that(df, tests)
 
 
 def triage_counts(df: DataFrame) -> DataFrame:
@@ -80,15 +95,16 @@ def evidence(
     columns: Sequence[str] = ("Negative_Keywords", "Text_For_Analysis"),
 ) -> DataFrame:
     """Rows with one of the labels, one of the sources and the literal text in any column."""
+    tests = []
     if labels:
-        df = df.where(F.col("consumer_sentiment").isin(list(labels)))
+        tests.append(F.col("consumer_sentiment").isin(list(labels)))
     if sources:
-        df = df.where(F.col("validation_source").isin(list(sources)))
+        tests.append(F.col("validation_source").isin(list(sources)))
     wanted = search.strip().lower()
     if wanted:
         present = [c for c in columns if c in df.columns]
-        df = df.where(or_all([F.contains(F.lower(text_or_empty(F.col(c))), F.lit(wanted)) for c in present]))
-    return df
+        tests.append(or_all([F.contains(F.lower(text_or_empty(F.col(c))), F.lit(wanted)) for c in present]))
+    return _rows_that(df, tests)
 
 
 def record_at(df: DataFrame, row_key: str, value) -> DataFrame:

@@ -88,52 +88,70 @@ def evenly_spaced(df: DataFrame, order: str, size: int = 8) -> DataFrame:
     # (lowest key, highest key, rows before, rows inside, wanted positions)
     ranges = [(bounds["lo"], bounds["hi"], 0, bounds["n"], wanted)]
     while any(n > SMALL_BUCKET and lo < hi for lo, hi, _, n, _ in ranges):
-        ranges = [part for r in ranges for part in _closer(keys, *r)]
+        ranges = _closer(keys, ranges)
+
+    # rows of one key are alike in order: any of them will do, and no task needs to see them all
+    parts = [_any_rows(df, order, lo, [wanted.index(t) for t in targets]) for lo, hi, _, _, targets in ranges if lo == hi]
+    narrow = [r for r in ranges if r[0] < r[1]]
+    if narrow:
+        parts.append(_ranked_rows(df, order, narrow, wanted))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def _any_rows(df: DataFrame, order: str, key: int, positions: list[int]) -> DataFrame:
+    """As many rows of this key as there are positions."""
+    few = df.where(F.col(order) == key).limit(len(positions))
+    place = F.row_number().over(Window.partitionBy().orderBy(order))
+    return few.withColumn("sample_position", F.element_at(F.array(*[F.lit(p) for p in positions]), place))
 
-    inside = F.lit(False)
-    bucket = F.lit(None).cast("int")
-    hits: list[Column] = []
-    for i, (lo, hi, before, _, targets) in enumerate(ranges):
+
+def _ranked_rows(df: DataFrame, order: str, ranges: list, wanted: list[int]) -> DataFrame:
+    """The rows at the wanted positions of ranges of at most ``SMALL_BUCKET`` rows, ranked within each range."""
+    bucket, start = F.lit(None).cast("int"), F.lit(None).cast("long")
+    for i, (lo, hi, before, _, _) in enumerate(ranges):
         within = F.col(order).between(lo, hi)
-        inside = inside | within
-        bucket = F.when(within, F.lit(i)).otherwise(bucket)
-        hits.append(
-            (F.col("_bucket") == i) & (F.col("_rank") - 1 + before).isin(targets)
-        )
-    chosen = hits[0]
-    for hit in hits[1:]:
-        chosen = chosen | hit
-    start = F.lit(0)
-    for i, (_, _, before, _, _) in enumerate(ranges):
-        start = F.when(F.col("_bucket") == i, F.lit(before)).otherwise(start)
-    position = F.array_position(F.array(*[F.lit(w).cast("long") for w in wanted]), F.col("_rank") - 1 + start) - 1
+        bucket, start = F.when(within, F.lit(i)).otherwise(bucket), F.when(within, F.lit(before)).otherwise(start)
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) - 1 + F.col("_start")
+    position = F.array_position(F.array(*[F.lit(w).cast("long") for w in wanted]), F.col("_rank").cast("long")) - 1
     return (
-        df.where(inside)
-        .withColumn("_bucket", bucket)
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy(order)).cast("long"))
-        .where(chosen)
+        df.withColumns({"_bucket": bucket, "_start": start})
+        .where(F.col("_bucket").isNotNull())
+        .withColumn("_rank", rank)
         .withColumn("sample_position", position.cast("int"))
-        .drop("_bucket", "_rank")
+        .where(F.col("sample_position") >= 0)
+        .drop("_bucket", "_start", "_rank")
     )
 
 
-def _closer(keys: DataFrame, lo: int, hi: int, before: int, rows: int, targets: list[int]):
-    if rows <= SMALL_BUCKET or lo == hi:
-        return [(lo, hi, before, rows, targets)]
-    width = (hi - lo) // BUCKETS + 1
-    counts = (
-        keys.where(F.col("_k").between(lo, hi))
-        .groupBy(F.floor((F.col("_k") - lo) / width).alias("b"))
-        .count()
-        .collect()
-    )
-    out, seen = [], before
-    for row in sorted(counts):
-        inside = [t for t in targets if seen <= t < seen + row["count"]]
-        if inside:
-            first = lo + row["b"] * width
-            out.append((first, min(first + width - 1, hi), seen, row["count"], inside))
-        seen += row["count"]
+def _closer(keys: DataFrame, ranges: list) -> list:
+    """The parts of the ranges that hold a wanted position; all large ranges are counted in one job."""
+    number, bucket = F.lit(None).cast("int"), F.lit(None).cast("long")
+    widths = {}
+    for i, (lo, hi, _, rows, _) in enumerate(ranges):
+        if rows > SMALL_BUCKET and lo < hi:
+            widths[i] = (hi - lo) // BUCKETS + 1
+            within = F.col("_k").between(lo, hi)
+            place = F.expr(f"(CAST(_k AS DECIMAL(20, 0)) - ({lo})) DIV {widths[i]}")
+            number, bucket = F.when(within, F.lit(i)).otherwise(number), F.when(within, place).otherwise(bucket)
+    counted = keys.select(number.alias("i"), bucket.alias("b")).where("i IS NOT NULL").groupBy("i", "b").count()
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for row in counted.collect():  # BUCKETS for each wanted position at most
+        counts.setdefault(row["i"], []).append((row["b"], row["count"]))
+    out = []
+    for i, (lo, hi, before, rows, targets) in enumerate(ranges):
+        if i not in widths:
+            out.append((lo, hi, before, rows, targets))
+            continue
+        seen = before
+        for place, count in sorted(counts[i]):
+            inside = [t for t in targets if seen <= t < seen + count]
+            if inside:
+                first = lo + place * widths[i]
+                out.append((first, min(first + widths[i] - 1, hi), seen, count, inside))
+            seen += count
     return out
 
 

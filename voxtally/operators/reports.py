@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxtally import fixed_values as fixed
-from voxtally.functions.labels import normalised_score
 
 POSITIVE = ["Very Positive", "Positive"]
 NEGATIVE = ["Negative", "Very Negative"]
@@ -106,7 +105,3 @@ def confidence_bands(df: DataFrame) -> DataFrame:
     from voxtally.functions.labels import confidence_band
 
     return df.groupBy(confidence_band(F.col("confidence")).alias("band")).agg(F.count("*").alias("records"))
-
-
-def score_position(df: DataFrame, wide: bool = False) -> DataFrame:
-    return df.withColumn("score_norm", normalised_score(F.col("consumer_score"), wide))

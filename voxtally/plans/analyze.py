@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtally.functions import text as txt
-from voxtally.functions.common import strip
 from voxtally.functions.hybrid import hybrid_score, keyword_group_score
 from voxtally.functions.keywords import joined, keywords_in
 from voxtally.functions.labels import dead_zone, label_of, score_of, wide_label_of
@@ -212,7 +211,3 @@ def analyze(
     if predictions is not None:
         out = correct_with_model(out, predictions, row_key, max_broadcast_bytes)
     return out
-
-
-def has_customer_text(column: Column) -> Column:
-    return strip(F.coalesce(column, F.lit(""))) != ""
