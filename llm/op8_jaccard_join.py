@@ -38,8 +38,9 @@ from llm.words import shingle_sets
 ROUNDS = 1
 #: Nodes of a chunk where what is still apart is compared.
 CHUNK = 1024
-#: Buckets of the upper bound on an overlap.
-SKETCH = 256
+#: Buckets of the upper bound on an overlap, at least and at most: as many as a quarter of the set, as with
+#: many tokens in each bucket the bound tells nothing.
+SKETCH, LONG_SKETCH = 256, 1 << 15
 #: Bytes of text handled at once.
 BLOCK = 4 << 20
 
@@ -50,8 +51,39 @@ def needed(a: int, b: int) -> int:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """How many tokens fall in each bucket, the last value standing for that many or more."""
-    return np.minimum(np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    """How many tokens fall in each bucket, the last value standing for that many or more.
+
+    The number of buckets is a power of two that follows the size of the set.
+    """
+    buckets = SKETCH
+    while buckets < LONG_SKETCH and 4 * buckets < len(tokens):
+        buckets *= 2
+    return np.minimum(np.bincount((tokens & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def folded(sketches: np.ndarray, buckets: int) -> np.ndarray:
+    """The same sketches, one in a row, with this smaller number of buckets."""
+    if sketches.shape[1] == buckets:
+        return sketches
+    parts = sketches.reshape(len(sketches), -1, buckets)
+    return np.where((parts == 255).any(1), 255, np.minimum(parts.sum(1, dtype=np.int64), 255)).astype(np.uint8)
+
+
+def may_overlap(one: np.ndarray, two: np.ndarray, n_one, n_two) -> np.ndarray:
+    """Whether sets of these sketches, one in a row, and sizes can be similar enough; never False where they are."""
+    buckets = min(one.shape[1], two.shape[1])
+    both = np.minimum(folded(one, buckets), folded(two, buckets))
+    return (both.sum(1, dtype=np.int64) >= -(-3 * (n_one + n_two) // 7)) | (both == 255).any(1)
+
+
+def by_buckets(sketches: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The places of the sketches with equal numbers of buckets, and these sketches, one in a row."""
+    lengths = np.array([len(x) for x in sketches], np.int64)
+    out = []
+    for length in np.unique(lengths).tolist():
+        places = np.flatnonzero(lengths == length)
+        out.append((places, np.frombuffer(b"".join(sketches[i] for i in places.tolist()), np.uint8).reshape(-1, length)))
+    return out
 
 
 def prefixes(texts: DataFrame, bits: int, size: int) -> DataFrame:
@@ -101,11 +133,12 @@ def verified(pairs: DataFrame, sets: DataFrame, folder: str, name: str) -> DataF
             n_a, n_b = (batch.column(x).to_numpy() for x in ("n_a", "n_b"))
             if not len(n_a):
                 continue
-            least = -(-3 * (n_a + n_b) // 7)
-            one, two = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(-1, SKETCH) for x in ("sketch_a", "sketch_b"))
-            both = np.minimum(one, two)
-            most = both.sum(1, dtype=np.int64)
-            keep = (most >= least) | (both == 255).any(1)
+            keep = np.zeros(len(n_a), bool)
+            first, second = (batch.column(x).to_pylist() for x in ("sketch_a", "sketch_b"))
+            for places, one in by_buckets(first):
+                for own, two in by_buckets([second[i] for i in places.tolist()]):
+                    at = places[own]
+                    keep[at] = may_overlap(one[own], two, n_a[at], n_b[at])
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
     def similar(batches):
@@ -154,7 +187,11 @@ def _links_apart(posted: DataFrame, sets: DataFrame, named: DataFrame, apart: Da
         own = table.column("own").to_numpy()
         nodes, sizes = table.column("node").to_pylist(), table.column("n").to_numpy()
         _, labels = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        held = table.column("sketch").to_pylist()
+        kinds = by_buckets(held)
+        kind, row = np.zeros(len(held), np.int64), np.zeros(len(held), np.int64)
+        for number, (places, _) in enumerate(kinds):
+            kind[places], row[places] = number, np.arange(len(places))
         first = np.flatnonzero(own == key[1].as_py())
         second = np.flatnonzero(own == key[2].as_py())
         alone = key[1].as_py() == key[2].as_py()
@@ -163,9 +200,11 @@ def _links_apart(posted: DataFrame, sets: DataFrame, named: DataFrame, apart: Da
             rest = second[place + 1 :] if alone else second
             small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
             rest = rest[(labels[rest] != labels[i]) & (4 * small >= 3 * large)]
-            both = np.minimum(sketches[rest], sketches[i])
-            keep = (both.sum(1, dtype=np.int64) >= -(-3 * (sizes[rest] + sizes[i]) // 7)) | (both == 255).any(1)
-            out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in rest[keep].tolist()]
+            mine = kinds[kind[i]][1][row[i] : row[i] + 1]
+            for number in np.unique(kind[rest]).tolist():
+                near = rest[kind[rest] == number]
+                near = near[may_overlap(kinds[number][1][row[near]], mine, sizes[near], sizes[i])]
+                out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in near.tolist()]
         return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
 
     return rows.groupBy("area", "i", "j").applyInArrow(compare, "a binary, b binary")

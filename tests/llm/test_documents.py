@@ -254,3 +254,22 @@ class _Counted(dict):
         if key == "rows":
             self.looked.append(id(self))
         return super().__getitem__(key)
+
+
+def test_jaccard_bounds_keep_every_similar_pair():
+    """Sketches with few and many buckets never rule out sets that are similar enough, and rule out random ones."""
+    generator = np.random.default_rng(5)
+    for size in (5, 900, 1100, 4000, 5000, 17000, 70000):
+        tokens = generator.integers(0, 1 << 63, 3 * size).astype(np.uint64)
+        one = tokens[:size]
+        for kept, more in ((1.0, 0.0), (0.86, 0.14), (0.9, 0.12), (0.76, 0.0), (1.0, 0.33), (0.5, 0.5), (0.0, 1.0)):
+            two = np.concatenate((one[: int(kept * size)], tokens[size : size + int(more * size)]))
+            if not len(two):
+                continue
+            a, b = (np.frombuffer(op8_jaccard_join.sketch(x), np.uint8).reshape(1, -1) for x in (one, two))
+            similar = int(kept * size) >= op8_jaccard_join.needed(len(one), len(two))
+            may = bool(op8_jaccard_join.may_overlap(a, b, len(one), len(two))[0])
+            assert may or not similar
+            assert bool(op8_jaccard_join.may_overlap(b, a, len(two), len(one))[0]) == may
+            if size >= 900 and kept == 0:
+                assert not may
