@@ -641,6 +641,19 @@ def lineage(spark, folder):
     )
 
 
+@registered(
+    "record_at",
+    f"""WITH {q.result()}
+      SELECT doc_id, consumer_score, consumer_sentiment, confidence, source AS validation_source, rule AS _rule_fired
+      FROM result WHERE doc_id = (SELECT max(doc_id) FROM documents)""",
+)
+def record_at(spark, folder):
+    last = fx.table(spark, folder, "documents").agg(F.max("doc_id")).first()[0]
+    return audit.record_at(fx.result(spark, folder), "doc_id", last).select(
+        "doc_id", "consumer_score", "consumer_sentiment", "confidence", "validation_source", "_rule_fired"
+    )
+
+
 # ---------------------------------------------------------------------------
 # Keywords and categories
 # ---------------------------------------------------------------------------
