@@ -1,10 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
-A unit is a run of words up to a sentence or clause mark or a line end.  Every run of
-``SPAN`` consecutive units with at least ``WORDS`` words is hashed; equal hashes are joined
-over the whole corpus, and units covered by any span that is not the first of its kind,
-by document id and place, are removed.  Clause marks end units too, so that a passage set
-in the middle of another sentence loses no more than its first clause.
+A unit is a run of words up to a sentence or clause mark or a line end.  A span is a run of
+at least ``SPAN`` units and ``WORDS`` words from which the last or the first unit cannot be
+left out: three units, or more where units are short.  Spans are hashed; equal hashes are
+joined over the whole corpus, and units covered by any span that is not the first of its
+kind, by document id and place, are removed.  Clause marks end units too, so that a passage
+set in the middle of another sentence loses no more than its first clause.
 
 Most spans occur once.  Their hashes are counted in slots first (see the n-gram join), and
 only spans of repeated slots become rows, so what is shuffled besides the texts themselves is
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from llm.common import arrow_strings, blocks, shared_folder, stored
 from llm.pretokens import hashed
 from llm.slots import has, slot_maps, slot_bits, slots_of
-from llm.words import shingles, word_hashes, word_spans
+from llm.words import word_hashes, word_spans
 
 #: Consecutive units of a span, and the words it needs.
 SPAN, WORDS = 3, 12
@@ -49,17 +50,26 @@ def units_of(data: np.ndarray, offsets: np.ndarray):
 
 
 def spans_of(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, words: int = WORDS):
-    """Text number, first unit within the text, and hash of every span that is long enough."""
+    """Text number, first unit within the text, number of units, and hash of every span."""
     starts, ends, heads, units = units_of(data, offsets)
     plain = word_hashes(data, starts, ends, lower=False)
     own = hashed(np.arange(len(plain)), heads[:-1], heads[1:], plain)
-    texts, found = shingles(own, units, span)
-    made = np.searchsorted(texts, np.arange(len(offsets)))
-    place = np.arange(len(texts)) - made[texts]
-    first = units[texts] + place
-    last = np.minimum(first + span, units[texts + 1])
-    long = heads[last] - heads[first] >= words if len(texts) else np.empty(0, bool)
-    return texts[long], place[long], found[long]
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(units))
+    low, high = units[text], units[text + 1]
+    number = np.arange(len(text))
+    # a text of fewer units than a span is one, as a whole
+    least = np.minimum(span, high - low)
+    last = np.maximum(number + least, np.searchsorted(heads, heads[:-1] + words))
+    ahead = last <= high
+    # the same from the other end: the largest first unit of a span that ends with each unit
+    first = np.minimum(number + 1 - least, np.searchsorted(heads, heads[1:] - words, side="right") - 1)
+    back = first >= low
+    # where both are the same span it is taken once
+    back[back] = last[first[back]] != number[back] + 1
+    begin = np.concatenate((number[ahead], first[back]))
+    end = np.concatenate((last[ahead], number[back] + 1))
+    found = hashed(np.arange(len(own)), begin, end, own)
+    return text[begin], begin - units[text[begin]], end - begin, found
 
 
 def removed(text: bytes, drop: list[int]) -> bytes:
@@ -81,22 +91,22 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     text = F.col(f"`{text_column}`").cast("string")
     source = docs.select(F.col(f"`{id_column}`").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     bits = slot_bits(source)
-    repeated, _ = slot_maps(source, bits, lambda data, offsets: spans_of(data, offsets, span, words)[2])
+    repeated, _ = slot_maps(source, bits, lambda data, offsets: spans_of(data, offsets, span, words)[3])
     known = spark.sparkContext.broadcast(repeated)
 
     def send(batches):
         for table in blocks(batches, BLOCK):
-            texts, place, found = spans_of(*arrow_strings(table.column("text")), span, words)
+            texts, place, size, found = spans_of(*arrow_strings(table.column("text")), span, words)
             keep = has(known.value, slots_of(found, bits)) > 0
-            texts, place, found = pa.array(texts[keep]), place[keep], found[keep]
+            texts, place, size, found = pa.array(texts[keep]), place[keep], size[keep], found[keep]
             columns = [table.column(c).combine_chunks().take(texts) for c in ("id", "tie")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(place.astype(np.int32)), pa.array(found.view(np.int64))], ["id", "tie", "place", "h"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(found.view(np.int64))], ["id", "tie", "place", "size", "h"])
 
     kind = source.schema["id"].dataType.simpleString()
-    spans = stored(source.mapInArrow(send, f"id {kind}, tie bigint, place int, h bigint"), folder, "spans")
+    spans = stored(source.mapInArrow(send, f"id {kind}, tie bigint, place int, size int, h bigint"), folder, "spans")
     at = F.struct(F.col("id").isNotNull().alias("named"), "id", "tie", "place")
     first = spans.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("NOT (first <=> last)").select("h", "first")
-    later = spans.join(first, "h").where(~at.eqNullSafe(F.col("first"))).select("id", "tie", F.explode(F.sequence("place", F.col("place") + span - 1)).alias("unit"))
+    later = spans.join(first, "h").where(~at.eqNullSafe(F.col("first"))).select("id", "tie", F.explode(F.sequence("place", F.col("place") + F.col("size") - 1)).alias("unit"))
     # a document's own units at most
     drop = later.groupBy("id", "tie").agg(F.collect_set("unit").alias("units"))
     drop = stored(drop.withColumnsRenamed({"id": "drop_id", "tie": "drop_tie"}), folder, "drop")

@@ -138,6 +138,25 @@ def test_repeated_spans_of_an_empty_table(no_docs):
     assert op5_sentence_spans.without_repeats(no_docs).count() == 0
 
 
+def fresh(rng, words):
+    return ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(words)]
+
+
+def test_a_passage_in_short_units_goes(spark):
+    """Sixty words in lines of three, and words that each carry a mark."""
+    rng = random.Random(11)
+    shared = [" ".join(line) for line in zip(*[iter(fresh(rng, 60))] * 3, strict=True)]
+    marked = [w + "!!" for w in fresh(rng, 60)]
+    rows, hosts = [], [fresh(rng, 15) for _ in range(4)]
+    for i, host in enumerate(hosts):
+        inner = "\n".join(shared) if i < 2 else " ".join(marked)
+        rows.append((i, " ".join(host) + ".\n" + inner + "\n" + " ".join(reversed(host)) + "."))
+    out = {r.doc_id: r.text for r in op5_sentence_spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == rows[0][1] and out[2] == rows[2][1]
+    for i in (1, 3):
+        assert out[i].split() == (" ".join(hosts[i]) + ". " + " ".join(reversed(hosts[i])) + ".").split()
+
+
 def test_segments_are_maximal():
     """Ruzzo and Tompa against the recursive definition."""
 
