@@ -7,6 +7,12 @@ joined over the whole corpus, and units covered by any span that is not the firs
 kind, by document id and place, are removed.  Clause marks end units too, so that a passage
 set in the middle of another sentence loses no more than its first clause.
 
+A unit of more than ``LONG`` words is cut into pieces, each a unit: before the word pair with
+the least hash of every ``WINDOW`` consecutive ones (winnowing), so that cuts depend on the
+words nearby and not on where the unit began.  Any 50 words that two texts share then hold
+a whole span.  A pair that comes again fewer than ``WINDOW`` pairs off cuts nothing, so runs
+that repeat fewer than ``WINDOW`` words over and over stay one unit.
+
 Most spans occur once.  Their hashes are counted in slots first (see the n-gram join), and
 only spans of repeated slots become rows, so what is shuffled besides the texts themselves is
 about as large as what repeats.
@@ -20,23 +26,51 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import arrow_strings, blocks, shared_folder, stored
-from llm.pretokens import hashed
+from llm.common import arrow_strings, blocks, ragged, shared_folder, stored
+from llm.pretokens import hashed, mixed
 from llm.slots import has, slot_maps, slot_bits, slots_of
 from llm.words import word_hashes, word_spans
 
 #: Consecutive units of a span, and the words it needs.
 SPAN, WORDS = 3, 12
+#: Words from which on a unit stays no longer whole, and the pairs one of which is a cut.  With these,
+#: 3 * LONG + 2 * WINDOW + 1 and 6 * WINDOW - 1 words, the longest runs without a whole span, are below 50.
+LONG, WINDOW = 10, 8
 #: Bytes that end a unit when they end a word.
 MARKS = b".!?,;:"
 BLOCK = 4 << 20
 
 
+def cuts_of(plain: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The words before which long units are cut: ``plain`` are hashes, ``heads`` the first words of units and the end."""
+    long = np.flatnonzero(np.diff(heads) > LONG)
+    sizes = np.diff(heads)[long]
+    if not len(long):
+        return np.empty(0, np.int64)
+    words = ragged(np.arange(len(plain)), heads[long], sizes)
+    limits = np.cumsum(sizes)
+    begins, ends = np.repeat(limits - sizes, sizes), np.repeat(limits, sizes)
+    place = np.arange(len(words))
+    with np.errstate(over="ignore"):
+        pairs = mixed(plain[words] * np.uint64(3) + np.append(plain[words[1:]], np.uint64(0)))
+    none = np.zeros(WINDOW - 1, np.uint64)
+    least = sliding_window_view(np.concatenate((pairs, none)), WINDOW).min(axis=1)
+    least[place + WINDOW >= ends] = 0  # windows lie within a unit
+    most = sliding_window_view(np.concatenate((none, least)), WINDOW).max(axis=1)
+    cut = np.flatnonzero((most == pairs) & (place > begins))
+    again = np.zeros(len(cut), bool)
+    for step in range(1, WINDOW):
+        for other, inside in ((cut + step, cut + step < ends[cut] - 1), (cut - step, cut - step >= begins[cut])):
+            again[inside] |= pairs[other[inside]] == pairs[cut[inside]]
+    return words[cut[~again]]
+
+
 def units_of(data: np.ndarray, offsets: np.ndarray):
-    """Word starts and ends, the first word of each unit (and the number of words), and the units before each text."""
+    """Word starts and hashes, the first word of each unit (and the number of words), and the units before each text."""
     starts, ends, firsts = word_spans(data, offsets)
     closes = np.isin(data[ends - 1], np.frombuffer(MARKS, np.uint8)) if len(ends) else np.empty(0, bool)
     lines = np.flatnonzero(data == 10)
@@ -45,14 +79,15 @@ def units_of(data: np.ndarray, offsets: np.ndarray):
         closes[:-1] |= before[1:] > before[:-1]
     last = firsts[1:][np.diff(firsts) > 0] - 1
     closes[last] = True
+    plain = word_hashes(data, starts, ends, lower=False)
     heads = np.concatenate(([0], np.flatnonzero(closes) + 1))
-    return starts, ends, heads, np.searchsorted(heads[:-1], firsts)
+    heads = np.union1d(heads, cuts_of(plain, heads))
+    return starts, plain, heads, np.searchsorted(heads[:-1], firsts)
 
 
 def spans_of(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, words: int = WORDS):
     """Text number, first unit within the text, number of units, and hash of every span."""
-    starts, ends, heads, units = units_of(data, offsets)
-    plain = word_hashes(data, starts, ends, lower=False)
+    _, plain, heads, units = units_of(data, offsets)
     own = hashed(np.arange(len(plain)), heads[:-1], heads[1:], plain)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(units))
     low, high = units[text], units[text + 1]
@@ -106,6 +141,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     spans = stored(source.mapInArrow(send, f"id {kind}, tie bigint, place int, size int, h bigint"), folder, "spans")
     at = F.struct(F.col("id").isNotNull().alias("named"), "id", "tie", "place")
     first = spans.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("NOT (first <=> last)").select("h", "first")
+    # stored, so that the rows of one frequent hash are not bound to one task of the join
+    first = stored(first, folder, "first")
     later = spans.join(first, "h").where(~at.eqNullSafe(F.col("first"))).select("id", "tie", F.explode(F.sequence("place", F.col("place") + F.col("size") - 1)).alias("unit"))
     # a document's own units at most
     drop = later.groupBy("id", "tie").agg(F.collect_set("unit").alias("units"))

@@ -9,13 +9,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import docs, no_docs, texts  # noqa: F401
 from oracle import connect, difference
 from pyspark.sql import functions as F
 
 from llm import op1_toxicity, op3_warc, op4_quality_rules, op5_sentence_spans, op8_jaccard_join, op10_metric_search
-from llm.common import shared_folder
+from llm.common import arrow_strings, shared_folder
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -157,6 +158,28 @@ def test_a_passage_in_short_units_goes(spark):
         assert out[i].split() == (" ".join(hosts[i]) + ". " + " ".join(reversed(hosts[i])) + ".").split()
 
 
+def test_any_fifty_shared_words_hold_a_span():
+    """Marks anywhere, set into hosts that have marks or none; words that repeat over and over give no cuts."""
+    rng = random.Random(12)
+    for _ in range(400):
+        marks = rng.choice((0.0, 0.02, 0.05, 0.1, 0.3))
+        shared = [w + "." * (rng.random() < marks) for w in fresh(rng, 50)]
+        hosts = [[[w + "." * (rng.random() < rng.choice((0, 0.2))) for w in fresh(rng, rng.randint(0, 30))] for _ in range(2)] for _ in range(2)]
+        column = pa.array([" ".join([*a, *shared, *b]) for a, b in hosts])
+        texts, _, _, found = op5_sentence_spans.spans_of(*arrow_strings(column))
+        assert set(found[texts == 0].tolist()) & set(found[texts == 1].tolist())
+    assert len(op5_sentence_spans.units_of(np.frombuffer(b"a b c d e f " * 10, np.uint8), np.array([0, 120]))[2]) == 2
+
+
+def test_a_long_passage_in_unmarked_sentences_goes(spark):
+    rng = random.Random(13)
+    shared = " ".join(fresh(rng, 78))
+    rows = [(i, f"{' '.join(fresh(rng, 20))} {shared} {' '.join(fresh(rng, 20))}") for i in range(2)]
+    out = {r.doc_id: r.text for r in op5_sentence_spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = set(out[1].split()) & set(shared.split())
+    assert out[0] == rows[0][1] and len(left) < 40 and set(rows[1][1].split()) - set(shared.split()) <= set(out[1].split())
+
+
 def test_segments_are_maximal():
     """Ruzzo and Tompa against the recursive definition."""
 
