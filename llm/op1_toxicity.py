@@ -8,7 +8,8 @@ text of that length would hold by chance; those below ``SIGNIFICANT`` are toxic
 A logistic function of a text's evidence, fitted on the sample, gives its score.
 
 The model is learnt from a sample of labelled texts: all of a class, or about ``SAMPLE`` of
-them chosen by a hash of the id.  To keep copies of one text from making its words look
+them chosen by a hash of the id.  What stands for the corpus (the prior, the base rate of the
+logistic function) weighs each class by the inverse of its share in the sample.  To keep copies of one text from making its words look
 toxic, a word is counted once for each pair of neighbours it stands between.  All other
 rows are only scored; labels, language, source and id never enter a score.
 
@@ -110,29 +111,39 @@ def _found(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _learnt(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, sample: int) -> DataFrame:
-    """``text, toxic`` of the sampled labelled rows that are not held out."""
+    """``text, toxic, weight`` of the sampled labelled rows that are not held out; the weight is how many rows one stands for."""
     known = labels.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{label_column}`").cast("int").alias("toxic"))
     known = known.where(F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     counts = dict(known.groupBy("toxic").count().collect())
-    chosen = F.lit(False)
+    chosen, weight = F.lit(False), F.lit(1.0)
     for label, count in counts.items():
         share = int(min(1.0, sample / count) * (1 << 32))
         chosen = chosen | ((F.col("toxic") == label) & (F.xxhash64("id").bitwiseAND(F.lit((1 << 32) - 1)) < share))
+        weight = F.when(F.col("toxic") == label, F.lit((1 << 32) / max(1, share))).otherwise(weight)
     texts = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(known.where(chosen)), "id").select("text", "toxic")  # about 2 * sample ids
+    return texts.join(F.broadcast(known.where(chosen).withColumn("weight", weight)), "id").select("text", "toxic", "weight")  # about 2 * sample ids
 
 
-def _log_odds(toxic: float, clean: float, n_toxic: float, n_clean: float, y_toxic, y_clean):
+def _prior(toxic, clean, n_toxic: float, n_clean: float, stands: tuple[float, float]):
+    """Pseudo-counts of words: ``PRIOR`` of the words learnt from, dealt by the words' shares of the corpus.
+
+    ``stands``: the texts of the corpus that a sampled clean and a sampled toxic text stand for.
+    """
+    of_corpus = stands[1] * n_toxic + stands[0] * n_clean
+    return (toxic * stands[1] + clean * stands[0]) * (PRIOR * (n_toxic + n_clean) / of_corpus)
+
+
+def _log_odds(toxic, clean, n_toxic: float, n_clean: float, stands: tuple[float, float]):
     """Log-odds ratio under the prior, and its standard error; works on columns and arrays alike."""
-    log, root = (F.log, F.sqrt) if isinstance(y_toxic, Column) else (np.log, np.sqrt)
+    log, root = (F.log, F.sqrt) if isinstance(toxic, Column) else (np.log, np.sqrt)
     mass = PRIOR * (n_toxic + n_clean)
-    prior = (toxic + clean) * PRIOR
-    one, two = y_toxic + prior, y_clean + prior
+    prior = _prior(toxic, clean, n_toxic, n_clean, stands)
+    one, two = toxic + prior, clean + prior
     ratio = log(one / (n_toxic + mass - one)) - log(two / (n_clean + mass - two))
     return ratio, root(1 / one + 1 / two)
 
 
-def _candidates(train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+def _candidates(train: DataFrame, stands: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
     """Hashes of words that lean to toxic texts, with their counts in both classes, and the words of each class."""
 
     def count(batches):
@@ -149,7 +160,7 @@ def _candidates(train: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, f
         counts.unpersist()
         return np.empty(0, np.uint64), np.empty(0), np.empty(0), n_toxic, n_clean
     toxic, clean = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    ratio, error = _log_odds(toxic, clean, n_toxic, n_clean, toxic, clean)
+    ratio, error = _log_odds(toxic, clean, n_toxic, n_clean, stands)
     rows = counts.where("toxic >= 3").withColumn("z", ratio / error).where(F.col("z") >= CANDIDATE).orderBy(F.col("z").desc(), "h").limit(WORDS).collect()
     counts.unpersist()
     rows.sort(key=lambda r: r.h & 0xFFFFFFFFFFFFFFFF)
@@ -225,18 +236,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     """Learns words, constants and weights from the labelled rows that are not held out."""
     folder = shared_folder(docs.sparkSession, "toxicity")
     train = stored(_learnt(docs, labels, id_column, text_column, label_column, sample), folder, "train")
-    words, toxic, clean, n_toxic, n_clean = _candidates(train)
+    of = {r.toxic: r for r in train.groupBy("toxic").agg(F.count("*").alias("rows"), F.max("weight").alias("weight")).collect()}
+    stands = tuple(of[label].weight if label in of else 1.0 for label in (0, 1))
+    words, toxic, clean, n_toxic, n_clean = _candidates(train, stands)
     if len(words):
         apart = _contexts(train, words)
-        ratio, error = _log_odds(apart[:, 0], apart[:, 1], n_toxic, n_clean, apart[:, 0], apart[:, 1])
+        ratio, error = _log_odds(apart[:, 0], apart[:, 1], n_toxic, n_clean, stands)
         keep = (ratio / error >= CERTAIN) & (ratio >= LEAST)
         words, toxic, clean, ratio = words[keep], toxic[keep], clean[keep], np.minimum(ratio[keep], MOST)
     if not len(words):
-        of = dict(train.groupBy("toxic").count().collect())
-        share = of.get(1, 0) / max(1, sum(of.values()))
+        held = [of[label].rows * stands[label] if label in of else 0.0 for label in (0, 1)]
+        share = held[1] / max(1.0, sum(held))
         base = float(np.log(share / (1 - share))) if 0 < share < 1 else (36.0 if share else -36.0)
         return Model(np.empty(0, np.uint64), np.empty(0), 1.0, 1.0, (base, 0.0, 0.0))
-    chances = (clean + PRIOR * (toxic + clean)) / (n_clean + PRIOR * (n_toxic + n_clean))
+    chances = (clean + _prior(toxic, clean, n_toxic, n_clean, stands)) / (n_clean + PRIOR * (n_toxic + n_clean))
     rough = Model(words, ratio, _decay(ratio, chances), 1.0, (0.0, 0.0, 0.0))
 
     def gather(model: Model) -> np.ndarray:
@@ -254,15 +267,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     scale = len(rows_clean) / max(1e-9, float((rows_clean[:, 1] * np.exp(-rough.decay * rows_clean[:, 2])).sum()))
     model = Model(words, ratio, rough.decay, scale, (0.0, 0.0, 0.0))
     rows = gather(model)
-    return Model(words, ratio, rough.decay, scale, _logistic(_shrunk(rows[:, 3:5]), rows[:, 0]))
+    return Model(words, ratio, rough.decay, scale, _logistic(_shrunk(rows[:, 3:5]), rows[:, 0], np.where(rows[:, 0] == 1, stands[1], stands[0])))
 
 
 def _shrunk(evidence: np.ndarray) -> np.ndarray:
     return np.log1p(evidence)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
-    """Weights by Newton steps; evidence never counts against toxicity."""
+def _logistic(x: np.ndarray, y: np.ndarray, stands: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
+    """Weights by Newton steps, rows counted by what they stand for; evidence never counts against toxicity."""
+    stands = stands / stands.mean()
     weights = np.zeros(3)
     used = [0, 1, 2]
     while True:
@@ -271,8 +285,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
             penalty = ridge * np.r_[0, np.ones(len(w) - 1)]
-            slope = own.T @ (y - p) - penalty * w
-            bend = (own * (p * (1 - p))[:, None]).T @ own + np.diag(penalty + 1e-9)
+            slope = own.T @ (stands * (y - p)) - penalty * w
+            bend = (own * (stands * p * (1 - p))[:, None]).T @ own + np.diag(penalty + 1e-9)
             step = np.linalg.solve(bend, slope)
             w += step / max(1.0, float(np.abs(step).max()))
             if np.abs(step).max() < 1e-6:

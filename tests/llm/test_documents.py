@@ -223,6 +223,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in op1_toxicity.score(docs, nothing).collect()} == {op1_toxicity.score(docs.limit(1), nothing).first().score}
 
 
+def test_the_base_rate_does_not_depend_on_the_sample(spark):
+    """One label in ten is toxic, also where the sample holds as many of both classes."""
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(20)) + " vile foul" * (i % 20 == 0)) for i in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    blank = spark.createDataFrame([(0, "")], "doc_id long, text string")
+    whole, part = (op1_toxicity.score(blank, op1_toxicity.fit(docs, labels, sample=n)).first().score for n in (20_000, 100))
+    assert abs(part - whole) < 0.05
+    plain = docs.withColumn("text", F.lit("alpha beta"))
+    assert abs(op1_toxicity.score(blank, op1_toxicity.fit(plain, labels, sample=100)).first().score - 0.1) < 0.04
+
+
 def test_held_out_accuracy_on_the_tables(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = op1_toxicity.fit(docs, labels)
