@@ -9,8 +9,9 @@ A logistic function of a text's evidence, fitted on the sample, gives its score.
 
 The model is learnt from a sample of labelled texts: all of a class, or about ``SAMPLE`` of
 them chosen by a hash of the id.  What stands for the corpus (the prior, the base rate of the
-logistic function) weighs each class by the inverse of its share in the sample.  To keep copies of one text from making its words look
-toxic, a word is counted once for each pair of neighbours it stands between.  All other
+logistic function) weighs each class by the inverse of its share in the sample.  To keep
+copies of one text from making its words look toxic, a word is counted once for each pair of neighbours it stands between.  Words of few
+such contexts enter with a score that shrinks with their certainty.  All other
 rows are only scored; labels, language, source and id never enter a score.
 
 Contract: null text counts as empty and gets the score of a text without evidence.  Null
@@ -39,7 +40,7 @@ SAMPLE = 20_000
 WORDS = 1 << 16
 #: Mass of the Dirichlet prior as a share of the words learnt from.
 PRIOR = 0.05
-#: Standard errors of a word's log-odds: to be looked at again by its neighbours, and to enter the model.
+#: Standard errors of a word's log-odds: to enter the model, and to enter it with its whole score.
 CANDIDATE, CERTAIN = 2.0, 3.0
 #: Score of any other word, and the least and the most that a word of the model can score.
 DRIFT, LEAST, MOST = -0.5, 2.0, 8.0
@@ -242,8 +243,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     if len(words):
         apart = _contexts(train, words)
         ratio, error = _log_odds(apart[:, 0], apart[:, 1], n_toxic, n_clean, stands)
-        keep = (ratio / error >= CERTAIN) & (ratio >= LEAST)
-        words, toxic, clean, ratio = words[keep], toxic[keep], clean[keep], np.minimum(ratio[keep], MOST)
+        sure = ratio / error
+        keep = (sure >= CANDIDATE) & (ratio >= LEAST)
+        words, toxic, clean = words[keep], toxic[keep], clean[keep]
+        ratio = np.minimum(ratio[keep], MOST) * np.minimum(1, sure[keep] / CERTAIN)
     if not len(words):
         held = [of[label].rows * stands[label] if label in of else 0.0 for label in (0, 1)]
         share = held[1] / max(1.0, sum(held))

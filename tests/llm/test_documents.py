@@ -236,6 +236,22 @@ def test_the_base_rate_does_not_depend_on_the_sample(spark):
     assert abs(op1_toxicity.score(blank, op1_toxicity.fit(plain, labels, sample=100)).first().score - 0.1) < 0.04
 
 
+def test_words_of_few_contexts_are_found_together(spark):
+    """Twenty words, each in nine toxic texts, a third of them held out; every toxic text holds two."""
+    rng = random.Random(15)
+    rows = []
+    for i in range(900):
+        words = [f"w{rng.randrange(300)}" for _ in range(30)]
+        if i % 10 == 0:
+            words[10:10] = [f"bad{(2 * (i // 10) + k) % 20}" for k in (0, 1)]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    out = op1_toxicity.score(docs, op1_toxicity.fit(docs, labels)).where(op1_toxicity.held_out(F.col("doc_id"))).collect()
+    toxic = [r.predicted for r in out if r.doc_id % 10 == 0]
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(r.predicted for r in out if r.doc_id % 10) <= 0.02 * len(out)
+
+
 def test_held_out_accuracy_on_the_tables(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = op1_toxicity.fit(docs, labels)
