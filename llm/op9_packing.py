@@ -12,10 +12,15 @@ cut from that one stream, so at most the last sequence is padded.
 The ids are stored once, per block of documents, in the shared folder; tokens before each
 block come from a window over one row per block and queue.
 
-Contract: null text counts as empty and gives its end id alone.  A null source is a queue
-of its own kind: sources below ``MIN_SHARE`` of the text, null ones and, with explicit
-targets, those not named are pooled in one queue.  Rows that repeat are packed each.  The
-order within a queue is that of the blocks as they are read.
+Sources below ``MIN_SHARE`` of the text, null ones and, with explicit targets, those not
+named share one queue, which sends whole documents: each stands where its place among the
+tokens of its own source puts it in the queue, so that every stretch of the queue holds
+every source by its share, but for about a document.  That order is a table: documents fall
+into ``BINS`` ranges of their place, ranges are added up, and each is ordered by itself.
+
+Contract: null text counts as empty and gives its end id alone.  Null sources count as one
+source.  Rows that repeat are packed each.  The order within a source is that of the blocks
+as they are read.
 """
 
 from __future__ import annotations
@@ -32,12 +37,14 @@ from llm.common import blocks, shared_folder, stored
 from llm.op7_token_files import crc32
 from llm.pretokens import library_encoder
 
-#: Sources with a smaller share of the text are pooled, so there are fewer than 1 / MIN_SHARE + 1 queues.
+#: Sources with a smaller share of the text share a queue, so there are fewer than 1 / MIN_SHARE + 1 queues.
 MIN_SHARE = 1 / 512
 #: Sequences of a window.
 WINDOW = 64
 #: A quantum is kept in 2**-20 tokens.
 SCALE = 20
+#: Ranges of places in the shared queue.
+BINS = 1 << 12
 #: Rows of block offsets that are broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -147,7 +154,7 @@ def pack(
         named = sorted(targets)
     numbers = {name: i for i, name in enumerate(named)}
     encoded = stored(_encoded(source, tokenizer, end_id, numbers), folder, "ids")
-    held = encoded.groupBy("block", "queue").agg(F.sum("doc_tokens").alias("tokens"))
+    held = encoded.groupBy("block", "queue", "source").agg(F.sum("doc_tokens").alias("tokens"))
     held = stored(held, folder, "blocks")
     totals = dict(held.groupBy("queue").agg(F.sum("tokens")).collect())
     counts = [totals.get(i, 0) for i in range(len(named) + 1)]
@@ -156,11 +163,18 @@ def pack(
     else:
         weights = [float(targets[x]) for x in named] + [max(1e-6, 1 - sum(targets.values()))]
     places = Schedule(counts, weights, window * sequence)
-    earlier = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = held.select("block", "queue", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"))
+    of_source = Window.partitionBy("queue", "source")
+    earlier = of_source.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select("block", "queue", "source", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base"), F.sum("tokens").over(of_source).alias("total"))
     if held.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    placed = encoded.join(offsets, ["block", "queue"]).select("id", "queue", (F.col("base") + F.col("before")).alias("first"), "doc_tokens", "ids")
+    shared = F.col("queue") == len(named)
+    placed = encoded.where(~shared).join(offsets, ["block", "queue", "source"])
+    placed = placed.select("id", "queue", (F.col("base") + F.col("before")).alias("first"), "doc_tokens", "ids")
+    if counts[-1]:
+        key = ["block", "source", "before"]
+        order = stored(_interleaved(encoded.where(shared).select(*key, "queue", "doc_tokens").join(offsets, ["block", "queue", "source"])), folder, "order")
+        placed = placed.union(encoded.where(shared).join(order, key).select("id", "queue", "first", "doc_tokens", "ids"))
     names = [*named, None]
 
     def run(batches):
@@ -184,8 +198,28 @@ def pack(
     return placed.mapInArrow(run, f"`{id_column}` {kind}, {numbers_of} bigint, queue string")
 
 
+def _interleaved(docs: DataFrame) -> DataFrame:
+    """``block, source, before, first``: the tokens of the shared queue before each of its documents."""
+    spark = docs.sparkSession
+    # a point of the document, the same for all of a source, so that sources of one document are spread too
+    point = F.xxhash64("source").bitwiseAND(F.lit((1 << 32) - 1)) / float(1 << 32)
+    own = F.col("base") + F.col("before")
+    docs = docs.select("block", "source", "before", "doc_tokens", ((own + point * F.col("doc_tokens")) / F.col("total")).alias("place"))
+    docs = docs.withColumn("bin", F.least(F.floor(F.col("place") * BINS), F.lit(BINS - 1)).cast("int"))
+    sums = np.zeros(BINS + 1, np.int64)
+    for row in docs.groupBy("bin").agg(F.sum("doc_tokens").alias("tokens")).collect():  # BINS at most
+        sums[row.bin + 1] = row.tokens
+    starts = spark.createDataFrame(list(enumerate(np.cumsum(sums)[:BINS].tolist())), "bin int, start bigint")
+    earlier = Window.partitionBy("bin").orderBy("place", "source", "block", "before").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("doc_tokens").over(earlier), F.lit(0))
+    return docs.withColumn("within", within).join(F.broadcast(starts), "bin").select("block", "source", "before", (F.col("start") + F.col("within")).alias("first"))
+
+
 def _encoded(source: DataFrame, tokenizer: str, end_id: int, numbers: dict[str, int]) -> DataFrame:
-    """Ids of each document, its queue, and the tokens of that queue before it in its block."""
+    """Ids of each document, its queue and source, and the tokens of that source before it in its block.
+
+    Sources are written with a leading ``=``, null as an empty string, so that they can be joined on.
+    """
 
     def run(batches):
         encoder, block, before = library_encoder(tokenizer), TaskContext.get().partitionId(), {}
@@ -196,11 +230,12 @@ def _encoded(source: DataFrame, tokenizer: str, end_id: int, numbers: dict[str,
                 queue = numbers.get(names[i], len(numbers))
                 ids = np.append(ids, np.uint32(end_id))
                 packed = ids.astype("<u2" if int(ids.max()) < 1 << 16 else "<u4").tobytes()
-                rows.append((block, queue, before.get(queue, 0), len(ids), packed))
-                before[queue] = before.get(queue, 0) + len(ids)
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                name = "" if names[i] is None else "=" + names[i]
+                rows.append((block, queue, name, before.get(name, 0), len(ids), packed))
+                before[name] = before.get(name, 0) + len(ids)
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary())
             columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), *columns], ["id", "block", "queue", "before", "doc_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([table.column("id").combine_chunks(), *columns], ["id", "block", "queue", "source", "before", "doc_tokens", "ids"])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, block int, queue int, before bigint, doc_tokens bigint, ids binary")
+    return source.mapInArrow(run, f"id {kind}, block int, queue int, source string, before bigint, doc_tokens bigint, ids binary")

@@ -128,6 +128,26 @@ def test_packing_is_whole(docs, texts, tokenizer, targets):
         assert any(crc(x[r.start : r.start + r.length]) == r.ids_crc32 and len(x) == r.doc_tokens for (i, _), x in ids.items() if i == r.doc_id)
 
 
+def test_sources_without_a_queue_of_their_own_are_in_every_window(spark):
+    """Eight sources of thirty documents, stored one after the other, and sources of one document."""
+    rows = [(100 * s + i, " ".join(f"w{i}" for _ in range(12)), f"s{s}") for s in range(8) for i in range(30)]
+    rows += [(1000 + i, "one two three", f"single{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(4, "doc_id")
+    out = op9_packing.pack(docs, BPE, end_id=1, targets={}, sequence=64, window=16).collect()
+    check_packing(out, Counter({(r.doc_id, r.doc_tokens): 1 for r in out}), 64)
+    assert {r.doc_id for r in out} == {i for i, _, _ in rows}
+    windows = max(r.window_id for r in out)
+    held = Counter()
+    for r in out:
+        held[r.window_id, r.doc_id // 100] += r.length
+    longest = max(r.doc_tokens for r in out)
+    for s in range(8):
+        total = sum(n for (_, x), n in held.items() if x == s)
+        share = total * 1024 / sum(held.values())
+        assert all(abs(held[w, s] - share) <= 3 * longest for w in range(windows)) and windows >= 3
+    assert sum(any(held[w, s] for s in range(10, 11)) for w in range(windows)) == windows
+
+
 def test_windows_follow_the_targets():
     schedule = op9_packing.Schedule([100_000, 20_000, 5_000], [0.5, 0.3, 0.2], 1_000)
     sent = np.array([schedule.by(w) for w in range(20)])
