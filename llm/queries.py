@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and the DuckDB statements of those that SQL can express."""
+"""Registered queries of the operators and the DuckDB statements of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from llm import op1_toxicity, op2_token_counts, op3_warc, op4_quality_rules, op5_sentence_spans
 from llm import op6_byte_bpe, op7_token_files, op8_jaccard_join, op9_packing, op10_metric_search
+from llm import op11_whitening, op13_hard_negatives
 from llm.common import shared_folder
 from llm.pretokens import default_tokenizer
 
@@ -82,6 +83,16 @@ def metric_search(spark: SparkSession, folder: str) -> DataFrame:
     return op10_metric_search.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = op11_whitening.whiten(_table(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return op13_hard_negatives.hard_negatives(_table(spark, folder, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_toxicity": toxicity,
     "op2_token_counts": token_counts,
@@ -93,6 +104,8 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join,
     "op9_packing": packing,
     "op10_metric_search": metric_search,
+    "op11_whitening": whitening,
+    "op13_hard_negatives": hard_negatives,
 }
 
 #: Words of a text, and 5-word windows that occur twice or more in it.
@@ -137,8 +150,30 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+_NEGATIVES = """
+WITH valid AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND label IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike,
+    CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM valid a JOIN valid c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scores s ON p.anchor_id = s.anchor_id AND NOT s.alike
+    AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
+
 ORACLES = {
     "op4_quality_rules": _QUALITY
     + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM bits",
     "op10_metric_search": _SEARCH,
+    "op13_hard_negatives": _NEGATIVES,
 }
