@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from llm import op1_toxicity, op2_token_counts, op3_warc, op4_quality_rules, op5_sentence_spans
 from llm import op6_byte_bpe, op7_token_files, op8_jaccard_join, op9_packing, op10_metric_search
-from llm import op11_whitening, op13_hard_negatives
+from llm import op11_whitening, op12_quality_classifier, op13_hard_negatives
 from llm.common import shared_folder
 from llm.pretokens import default_tokenizer
 
@@ -88,6 +88,12 @@ def whitening(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    rows = op12_quality_classifier.score(docs, op12_quality_classifier.fit(docs, _table(spark, folder, "labels")))
+    return rows.select("doc_id", op12_quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "margin")
+
+
 def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return op13_hard_negatives.hard_negatives(_table(spark, folder, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
@@ -105,6 +111,7 @@ QUERIES = {
     "op9_packing": packing,
     "op10_metric_search": metric_search,
     "op11_whitening": whitening,
+    "op12_quality_classifier": quality_classifier,
     "op13_hard_negatives": hard_negatives,
 }
 
