@@ -19,7 +19,7 @@ Contract: rows whose vector is null, empty or holds null or non-finite entries a
 null and repeated ids stay, each row for itself.  Vectors of each number of entries are
 fitted and whitened among themselves.  Components whose eigenvalue is nothing but rounding
 (below ``entries * 2**-52`` of the largest, as with a single distinct vector) have no whitened
-value and are not returned.  Scaled entries beyond the range of a long stay at its ends.  Other
+value and are not returned.  Scaled entries beyond the range of a long stay at its ends; a deviation of more than 38 digits is null.  Other
 columns of the table take no part.
 """
 
@@ -86,12 +86,13 @@ def centred(matrix: np.ndarray, fit: Fit) -> np.ndarray:
 
 
 def squares(deviation: np.ndarray) -> pa.Array:
-    """The sum of squares of each row, exact."""
+    """The sum of squares of each row, exact; null above 38 digits."""
     most = max(abs(int(deviation.max(initial=0))), abs(int(deviation.min(initial=0))))
     kind = pa.decimal128(38, 0)
     if deviation.dtype != object and most * most * deviation.shape[1] < SAFE:
         return pa.array((deviation * deviation).sum(1)).cast(kind)
-    return pa.array([sum(int(d) * int(d) for d in row) for row in deviation], kind)
+    sums = [sum(int(d) * int(d) for d in row) for row in deviation]
+    return pa.array([value if value < 10**38 else None for value in sums], kind)
 
 
 def distinct_vectors(rows: DataFrame) -> DataFrame:

@@ -119,6 +119,7 @@ def features(column) -> tuple[np.ndarray, np.ndarray]:
         shape = np.where(kind == MARK, tokens, shape)
         joined = np.zeros(len(starts), np.uint64)
         joined[1:] = starts[1:] == ends[:-1]
+        joined[firsts[:-1][np.diff(firsts) > 0]] = 0
         shape = mixed(shape * np.uint64(2) + joined)
     found = [_grams(codes, firsts, size, 16 * stream + size) for stream, (codes, sizes) in enumerate(((tokens, TOKENS), (shape, SHAPES))) for size in sizes]
     keys = np.concatenate([(texts.astype(np.uint64) << np.uint64(BITS)) | (hashes >> np.uint64(64 - BITS)) for texts, hashes in found])
