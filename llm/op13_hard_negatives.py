@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from llm.common import shared_folder, stored
 from llm.op10_metric_search import scaled
 
-#: Centres of a level, and rows of a leaf page.
-FAN, LEAF = 16, 256
+#: Centres of a level at most, and rows of a leaf page; a level has no more centres than give half-filled pages.
+FAN, LEAF = 16, 1024
 #: Bytes of the vectors of one tree.
 TREE_BYTES = 8 << 20
 #: Rows by which others are dealt to trees: those with the smallest hashes of their ids.
@@ -79,7 +79,7 @@ def built(vectors: np.ndarray) -> dict[str, np.ndarray]:
         near, owner = apart(rows, center), np.zeros(high - low, np.int64)
         centers = [center]
         # the level below covers with half the radius (squared: a quarter), or has as many centres as a level may
-        while len(centers) < FAN and near.max() > max(same, radius / 4):
+        while len(centers) < min(FAN, max(2, 2 * (high - low) // LEAF)) and near.max() > max(same, radius / 4):
             center = int(rows[near.argmax()])
             own = apart(rows, center)
             own[rows == center] = 0
@@ -236,7 +236,7 @@ def _anchors(trees: DataFrame, positives: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for dim, ids, labels, asks, vectors, spans, radius in zip(*(batch.column(c) for c in ("dim", "ids", "labels", "asks", "vectors", "spans", "radius")), strict=True):
+            for number, dim, ids, labels, asks, vectors, spans, radius in zip(*(batch.column(c) for c in ("tree", "dim", "ids", "labels", "asks", "vectors", "spans", "radius")), strict=True):
                 tree = _opened(dim, ids, labels, vectors, spans, radius)
                 at = np.flatnonzero(np.frombuffer(asks.as_buffer(), bool))
                 floors = []
@@ -245,10 +245,8 @@ def _anchors(trees: DataFrame, positives: int) -> DataFrame:
                     (scores, _), = tree.search(int(tree.ids[i]), tree.vectors[i], tree.labels == tree.labels[i], least, most, least, positives)
                     floors.append([int(scores.min()) if len(scores) == positives else LEAST])
                 columns = [pa.array(tree.ids[at]), pa.array(tree.labels[at]), pa.array(list(tree.vectors[at]), pa.list_(pa.int64()))]
-                number = pa.array(np.full(len(at), batch.column("tree")[0].as_py()))
-                yield pa.RecordBatch.from_arrays([*columns, number, pa.array(floors, pa.list_(pa.int64()))], ["anchor_id", "label", "x", "tree", "floor"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(at), number.as_py())), pa.array(floors, pa.list_(pa.int64()))], ["anchor_id", "label", "x", "tree", "floor"])
 
-    # one tree is one row and one batch
     found = trees.mapInArrow(run, f"{ANCHOR}, tree bigint, floor array<bigint>")
     alike = found.groupBy("anchor_id", "label", "x").agg(F.min("tree").alias("tree"), F.max("floor").alias("floor"))
     ends = {name: F.array(F.lit(value).cast("long")).alias(name) for name, value in (("low", LEAST), ("high", MOST))}
@@ -367,7 +365,7 @@ def hard_negatives(
     rows = stored(rows.where("x IS NOT NULL"), folder, "rows")
     count, width = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
     size = max(LEAF, TREE_BYTES // (8 * (width or 1)))
-    parts = max(1, -(-count // size), min(rows.sparkSession.sparkContext.defaultParallelism, -(-count // (4 * LEAF))))
+    parts = max(1, -(-count // size), min(rows.sparkSession.sparkContext.defaultParallelism, -(-count // LEAF)))
     # equal pivots are cut by the hash of the id, so a hot pivot fills as many trees as it needs
     dealt = stored(_dealt(rows), folder, "dealt").repartitionByRange(parts, "pivot", F.xxhash64("id")).sortWithinPartitions("pivot")
     trees = stored(_trees(dealt.drop("pivot")), folder, "trees")
