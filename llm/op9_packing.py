@@ -67,9 +67,9 @@ class Schedule:
             self.first.append(start)
             self.sent.append(sent)
             self.quanta.append(quanta)
-            left = (self.totals - sent)[open_]
-            rounds = -((-left << SCALE) // quanta[open_])
-            start += max(1, int(rounds.min()))
+            # whole numbers of any size: tokens are shifted beyond 64 bits
+            left, own = (self.totals - sent)[open_].tolist(), quanta[open_].tolist()
+            start += max(1, min(-((-rest << SCALE) // quantum) for rest, quantum in zip(left, own, strict=True)))
             sent = self.by(start)
         self.windows = start
 
@@ -80,7 +80,10 @@ class Schedule:
         phase = max(0, int(np.searchsorted(self.first, window, side="right")) - 1)
         if self.first[phase] == window and phase:
             return self.sent[phase]
-        return np.minimum(self.totals, self.sent[phase] + (self.quanta[phase] * (window - self.first[phase]) >> SCALE))
+        rounds = window - self.first[phase]
+        # whole tokens of a quantum and its fraction apart, so that no product leaves 64 bits
+        whole, part = self.quanta[phase] >> SCALE, self.quanta[phase] & ((1 << SCALE) - 1)
+        return np.minimum(self.totals, self.sent[phase] + whole * rounds + (part * rounds >> SCALE))
 
     def window_of(self, queue: int, place: int) -> int:
         """The window that sends token number ``place`` of a queue."""
