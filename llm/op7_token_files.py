@@ -119,7 +119,8 @@ def write_token_files(
     """Writes the ids of all documents, in ascending order of ``id_column``, and returns the stored index.
 
     The index has ``id_column, part, number, file, first`` (ids before it in the file) and ``n_tokens``;
-    files follow each other by ``part`` and ``number``.  ``width`` is the bytes of an id, 2 or 4.
+    files follow each other by ``part`` and ``number``.  ``width`` is the bytes of an id, 2 or 4; an
+    id that does not fit is an error.
     """
     file_system(folder)[0].create_dir(file_system(folder)[1], recursive=True)
 
@@ -135,6 +136,9 @@ def write_token_files(
                     number, name = number + 1, f"tokens-{part:06d}-{uuid.uuid4().hex}.zst"
                     writer = FrameWriter(f"{folder}/{name}", width)
                 rows.append((part, number, name, writer.total, len(ids) + 1))
+                most = max(int(ids.max(initial=0)), end_id)
+                if most >= 1 << 8 * width:
+                    raise ValueError(f"id {most} does not fit the width of {width} bytes")
                 writer.write(ids)
                 writer.write(np.array([end_id], np.uint32))
             columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)]
