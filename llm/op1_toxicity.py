@@ -36,8 +36,6 @@ from llm.words import word_hashes, word_spans
 
 #: Labelled texts of each class that are learnt from, about.
 SAMPLE = 20_000
-#: Words of the model at most.
-WORDS = 1 << 16
 #: Mass of the Dirichlet prior as a share of the words learnt from.
 PRIOR = 0.05
 #: Standard errors of a word's log-odds: to enter the model, and to enter it with its whole score.
@@ -46,7 +44,7 @@ CANDIDATE, CERTAIN = 2.0, 3.0
 DRIFT, LEAST, MOST = -0.5, 2.0, 8.0
 #: Chance segments expected in a clean text below which a segment is a toxic passage.
 SIGNIFICANT = 0.05
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Words end at white space and ASCII punctuation.
 BREAKS = SPACES + string.punctuation.encode()
 
@@ -162,7 +160,7 @@ def _candidates(train: DataFrame, stands: tuple[float, float]) -> tuple[np.ndarr
         return np.empty(0, np.uint64), np.empty(0), np.empty(0), n_toxic, n_clean
     toxic, clean = F.col("toxic").cast("double"), F.col("clean").cast("double")
     ratio, error = _log_odds(toxic, clean, n_toxic, n_clean, stands)
-    rows = counts.where("toxic >= 3").withColumn("z", ratio / error).where(F.col("z") >= CANDIDATE).orderBy(F.col("z").desc(), "h").limit(WORDS).collect()
+    rows = counts.where("toxic >= 3").withColumn("z", ratio / error).where(F.col("z") >= CANDIDATE).collect()  # words of the sample
     counts.unpersist()
     rows.sort(key=lambda r: r.h & 0xFFFFFFFFFFFFFFFF)
     hashes = np.array([r.h for r in rows], np.int64).view(np.uint64)
@@ -306,7 +304,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
     A passage has ``start`` and ``end`` (bytes of the UTF-8 text), its score and its expected number by chance.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # WORDS words at most
+    held = docs.sparkSession.sparkContext.broadcast(model)  # words of the sample
 
     def run(batches):
         model = held.value

@@ -42,7 +42,7 @@ SPAN, WORDS = 3, 12
 LONG, WINDOW = 10, 8
 #: Bytes that end a unit when they end a word.
 MARKS = b".!?,;:"
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def cuts_of(plain: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -139,6 +139,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     kind = source.schema["id"].dataType.simpleString()
     spans = stored(source.mapInArrow(send, f"id {kind}, tie bigint, place int, size int, h bigint"), folder, "spans")
+    known.destroy()
     at = F.struct(F.col("id").isNotNull().alias("named"), "id", "tie", "place")
     first = spans.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("NOT (first <=> last)").select("h", "first")
     # stored, so that the rows of one frequent hash are not bound to one task of the join

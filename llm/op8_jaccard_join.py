@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ CHUNK = 1024
 #: many tokens in each bucket the bound tells nothing.
 SKETCH, LONG_SKETCH = 256, 1 << 15
 #: Bytes of text handled at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def needed(a: int, b: int) -> int:
@@ -86,16 +87,13 @@ def by_buckets(sketches: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def prefixes(texts: DataFrame, bits: int, size: int) -> DataFrame:
+def prefixes(texts: DataFrame, maps: Broadcast, bits: int, size: int) -> DataFrame:
     """``row_id, n, node, grp, tokens, held, sketch, rare`` of each text, in one pass.
 
     ``node`` stands for the set, ``grp`` for prefix and size.  ``tokens`` are the repeated tokens of the
-    prefix; the set itself (``held``) and its sketch are kept only where there are any, and ``rare``,
+    prefix under the slot ``maps``; the set itself (``held``) and its sketch are kept only where there are any, and ``rare``,
     the share of its tokens that occur once.
     """
-    spark = texts.sparkSession
-    maps = spark.sparkContext.broadcast(slot_maps(texts, bits, lambda data, offsets: shingle_sets(data, offsets, size)[0]))
-
     def run(batches):
         repeated, frequent = maps.value
         for table in blocks(batches, BLOCK):
@@ -214,7 +212,10 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """``id_column, n_shingles, component_id`` of each row: its set's size and the smallest id reachable by links."""
     folder = shared_folder(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(f"`{id_column}`").alias("row_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    rows = stored(prefixes(texts, slot_bits(texts), size), folder, "rows")
+    bits = slot_bits(texts)
+    maps = docs.sparkSession.sparkContext.broadcast(slot_maps(texts, bits, lambda data, offsets: shingle_sets(data, offsets, size)[0]))
+    rows = stored(prefixes(texts, maps, bits, size), folder, "rows")
+    maps.destroy()
     # one row for each set that may meet another
     sets = rows.where("held IS NOT NULL").select("node", "n", "grp", "tokens", "held", "sketch", "rare").dropDuplicates(["node"])
     sets = stored(sets, folder, "sets")

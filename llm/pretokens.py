@@ -23,7 +23,7 @@ WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x
 STOP = 0x110000
 #: Characters of one block.  Longer texts are cut where the pattern always cuts.
 BLOCK = 1 << 20
-#: Distinct pieces kept between blocks.
+#: Distinct pieces kept between blocks: 32 bytes and the ids of each.
 MEMORY = 1_000_000
 
 
@@ -127,11 +127,11 @@ class BlockEncoder:
 
     def __init__(self, encode_pieces: Callable[[list[str]], list], block: int = BLOCK, memory: int = MEMORY):
         self.encode_pieces, self.block, self.memory = encode_pieces, block, memory
-        self.known: dict[int, int] = {}
         self._empty()
 
     def _empty(self) -> None:
-        self.known.clear()
+        # hashes of the pieces in ascending order, and the number of each
+        self.known, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.empty(1 << 14, np.int64)
@@ -197,10 +197,14 @@ class BlockEncoder:
         """Numbers of the pieces in the cache; new ones are encoded."""
         if len(self.known) + len(keys) > max(self.memory, len(keys)):
             self._empty()
-        found = list(map(self.known.get, keys.tolist()))
-        new = [i for i, slot in enumerate(found) if slot is None]
-        if new:
-            where = np.array(new)
+        place = np.searchsorted(self.known, keys)
+        there = np.zeros(len(keys), bool)
+        inside = place < len(self.known)
+        there[inside] = self.known[place[inside]] == keys[inside]
+        found = np.empty(len(keys), np.int64)
+        found[there] = self.number[place[there]]
+        where = np.flatnonzero(~there)
+        if len(where):
             begins, ends = begins[where], ends[where]
             text = ragged(points, begins, ends - begins).tobytes().decode("utf-32-le")
             limits = np.concatenate(([0], np.cumsum(ends - begins))).tolist()
@@ -210,16 +214,16 @@ class BlockEncoder:
             first = len(self.known)
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-            while first + len(new) > len(self.starts):
+            while first + len(where) > len(self.starts):
                 self.starts = np.concatenate((self.starts, np.empty_like(self.starts)))
                 self.lengths = np.concatenate((self.lengths, np.empty_like(self.lengths)))
             self.flat[self.used : self.used + total] = np.fromiter((x for ids in encoded for x in ids), np.uint32, total)
-            self.starts[first : first + len(new)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[first : first + len(new)] = lengths
+            self.starts[first : first + len(where)] = self.used + np.cumsum(lengths) - lengths
+            self.lengths[first : first + len(where)] = lengths
             self.used += total
-            for offset, i in enumerate(new):
-                self.known[int(keys[i])] = found[i] = first + offset
-        return np.array(found, np.int64)
+            found[where] = first + np.arange(len(where))
+            self.known, self.number = np.insert(self.known, place[where], keys[where]), np.insert(self.number, place[where], found[where])
+        return found
 
 
 @lru_cache(4)

@@ -22,7 +22,7 @@ LEAST_BITS, MOST_BITS = 16, 28
 FREQUENT = 32
 #: Buckets of slots (2**6), each counted by one task at a time.
 BUCKETS = 64
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def slot_bits(texts: DataFrame) -> int:
