@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from llm import op1_toxicity, op3_warc, op4_quality_rules, op5_sentence_spans, op8_jaccard_join, op10_metric_search
 from llm.common import arrow_strings, shared_folder
+from llm.pretokens import mixed
+from llm.words import word_hashes, word_spans
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -100,33 +102,57 @@ def test_similar_documents_of_an_empty_table(no_docs):
     assert op8_jaccard_join.similar_documents(no_docs).count() == 0
 
 
+def plain_pieces(words):
+    """A unit's words as pieces: long ones are cut before the least word pair of each eight, by the pairs' hashes."""
+    if len(words) <= 10:
+        return [words]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]))
+    own = [int(h) for h in word_hashes(data, starts, ends, lower=False)]
+    with np.errstate(over="ignore"):
+        pairs = [int(mixed(np.array([a * 3 + b & (1 << 64) - 1], np.uint64))[0]) for a, b in zip(own, own[1:], strict=False)]
+    least = {i for s in range(len(pairs) - 7) for i in range(s, s + 8) if pairs[i] == min(pairs[s : s + 8])}
+    cuts = [i for i in sorted(least) if i and pairs[i] not in pairs[max(0, i - 7) : i] + pairs[i + 1 : i + 8]]
+    return [words[x:y] for x, y in zip([0, *cuts], [*cuts, len(words)], strict=True)]
+
+
+def plain_spans(units):
+    """First unit and end of every shortest run of three units and twelve words, from either end; all of a shorter text."""
+    size, least = len(units), max(1, min(3, len(units)))
+    words = [sum(map(len, units[:i])) for i in range(size + 1)]
+    forward = {(i, next((j for j in range(i + least, size + 1) if words[j] - words[i] >= 12), None)) for i in range(size)}
+    back = {(next((i for i in range(j - least, -1, -1) if words[j] - words[i] >= 12), None), j) for j in range(size + 1)}
+    return sorted(x for x in forward | back if None not in x)
+
+
 def plain_repeats(texts):
     """Texts after removal, restated over lists of units."""
     order = sorted(range(len(texts)), key=lambda k: (texts[k][0] is not None, texts[k][0] or 0))
-    seen, out, done = {}, [None] * len(texts), {}
+    first, held, done = {}, {}, {}
     for k in order:
         doc, text = texts[k]
-        if text is None or (doc, text) in done:
-            out[k] = done.get((doc, text))
+        if text is None or (doc, text) in held:
             continue
         words = [(m.start(), m.end()) for m in WORD.finditer(text)]
         units, own = [], []
         for n, (a, b) in enumerate(words):
-            own.append((a, b))
+            own.append(n)
             gap = text[b : words[n + 1][0]] if n + 1 < len(words) else "\n"
             if text[b - 1] in ".!?,;:" or "\n" in gap:
-                units.append(own)
-                own = []
-        drop = set()
-        for i in range(max(1, len(units) - 2) if units else 0):
-            part = units[i : i + 3]
-            key = tuple(tuple(text[a:b] for a, b in u) for u in part)
-            if sum(map(len, part)) >= 12 and seen.setdefault(key, (doc, i)) != (doc, i):
-                drop |= set(range(i, i + len(part)))
-        starts = [u[0][0] for u in units] + [len(text)]
+                sizes = map(len, plain_pieces([text[slice(*words[i])] for i in own]))
+                for size in sizes:
+                    units.append(own[:size])
+                    own = own[size:]
+        kinds = {(i, j): tuple(tuple(text[slice(*words[n])] for n in u) for u in units[i:j]) for i, j in plain_spans(units)}
+        held[doc, text] = words, units, kinds
+        for place, kind in kinds.items():
+            first.setdefault(kind, (doc, text, place))
+    for (doc, text), (words, units, kinds) in held.items():
+        drop = {n for (i, j), kind in kinds.items() if first[kind] != (doc, text, (i, j)) for n in range(i, j)}
+        starts = [words[u[0]][0] for u in units] + [len(text)]
         kept = text[: starts[0]] + "".join(text[starts[i] : starts[i + 1]] for i in range(len(units)) if i not in drop)
-        out[k] = done[doc, text] = kept.rstrip(" \t\n\x0b\x0c\r") if len(units) - 1 in drop else kept
-    return Counter((i, t) for (i, _), t in zip(texts, out, strict=True))
+        done[doc, text] = kept.rstrip(" \t\n\x0b\x0c\r") if len(units) - 1 in drop else kept
+    return Counter((i, done.get((i, t), t)) for i, t in texts)
 
 
 def test_repeated_spans(docs, texts):

@@ -243,3 +243,29 @@ def test_empty_tables(spark, no_docs):
     assert op7_token_files.read_token_files(index, folder).count() == 0
     assert op9_packing.pack(no_docs, BPE, end_id=1).count() == 0
     assert no_docs.select(F.col("doc_id")).count() == 0
+
+
+@pytest.mark.parametrize("totals", [[30_000_000_000_000, 1_000_000_000_000, 7], [10**15, 10**14, 10**15 - 3]])
+def test_schedules_hold_any_number_of_tokens(totals):
+    """Sent tokens follow the shares to within a token a phase, also where a shifted count leaves 64 bits."""
+    schedule = op9_packing.Schedule(totals, [float(t) for t in totals], 131_072)
+    assert schedule.by(schedule.windows).tolist() == totals
+    for part in (0.001, 0.37, 0.9):
+        window = int(schedule.windows * part)
+        sent, then = schedule.by(window), schedule.by(window + 1)
+        assert (sent >= 0).all() and (then >= sent).all()
+        for total, before, after in zip(totals, sent.tolist(), then.tolist(), strict=True):
+            if total > 10**6:
+                assert abs(before / total - window * 131_072 / sum(totals)) < 1e-4
+                assert abs((after - before) / 131_072 - total / sum(totals)) < 1e-3
+    place = totals[0] * 2 // 3
+    window = schedule.window_of(0, place)
+    assert schedule.by(window)[0] <= place < schedule.by(window + 1)[0]
+
+
+def test_ids_that_do_not_fit_the_files_are_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    index = op7_token_files.write_token_files(docs, f"file://{tmp_path}/wide", BPE, end_id=1 << 17, width=4)
+    assert op7_token_files.read_token_files(index, f"file://{tmp_path}/wide", width=4).first().ids[-1] == 1 << 17
+    with pytest.raises(Exception, match="does not fit"):
+        op7_token_files.write_token_files(docs, f"file://{tmp_path}/narrow", BPE, end_id=1 << 17, width=2)
