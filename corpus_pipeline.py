@@ -27,10 +27,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar ones; texts without words and null ids all stay."""
-    groups = op8_jaccard_join.similar_documents(docs)
-    copies = groups.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("copy")).where("copy")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of similar ones: the smallest by id (null ids first), then by a hash of the row.
+
+    Texts without words all stay.  Of rows equal in every column one stays.
+    """
+    names = docs.columns
+    # columns as c0, c1, ...: names may clash with those used here
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    who, what = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    rows = rows.withColumn("row", F.struct(F.col(who).alias("id"), F.xxhash64(*rows.columns).alias("tie")))
+    folder = shared_folder(spark, "near-duplicates")
+    groups = op8_jaccard_join.similar_documents(rows.select("row", F.col(what).alias("text")), "row").where("n_shingles > 0")
+    groups = stored(groups.groupBy("row", "component_id").agg(F.count(F.lit(1)).alias("copies")), folder, "groups")
+    # rows that go, and rows of which one of several equal ones stays
+    marks = groups.where("row <> component_id OR copies > 1").select(F.col("row").alias("marked"), (F.col("row") != F.col("component_id")).alias("goes"))
+    same = F.col("row.id").eqNullSafe(F.col("marked.id")) & (F.col("row.tie") == F.col("marked.tie"))
+    joined = rows.join(marks, same, "left")
+    kept = joined.where("marked IS NULL").select(*rows.columns)
+    one = joined.where("NOT goes").select(*rows.columns).dropDuplicates(["row"])
+    return kept.union(one).drop("row").toDF(*names)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
