@@ -113,7 +113,13 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def result(spark: SparkSession, folder: str, threshold: float = 0.7, with_overrides: bool = True) -> DataFrame:
+def lexicon(spark: SparkSession) -> DataFrame:
+    """The lexicon as a table; repeated tokens count with their largest valence."""
+    rows = [*LEXICON.items(), ("the", -40), ("rewh", -29)]
+    return spark.createDataFrame(rows, "token string, valence_tenths int")
+
+
+def result(spark: SparkSession, folder: str, threshold: float = 0.7, with_overrides: bool = True, **more) -> DataFrame:
     """The analysis of all documents; reports run on it."""
     return analyze(
         texts(spark, folder, "documents"),
@@ -123,6 +129,7 @@ def result(spark: SparkSession, folder: str, threshold: float = 0.7, with_overri
         overrides=overrides(spark, folder) if with_overrides else None,
         rule_threshold=threshold,
         scorer=SCORER,
+        **({"row_key": "doc_id"} | more),
     )
 
 

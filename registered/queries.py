@@ -16,6 +16,7 @@ from registered import sql as q
 from voxtally import fixed_values as fixed
 from voxtally.functions import labels as lab
 from voxtally.functions import text as txt
+from voxtally.functions.common import let
 from voxtally.functions.hybrid import hybrid_score, keyword_group_score
 from voxtally.functions.keywords import categories_in, joined, keywords_in
 from voxtally.functions.language import english_gate, language_tag, needs_translation
@@ -26,12 +27,13 @@ from voxtally.functions.transcripts import (
     extract_pipe_or_plain,
     extract_tagged,
 )
-from voxtally.operators import audit, cascade, inference, keyword_reports, reports, turns
+from voxtally.operators import audit, cascade, inference, keyword_reports, phrase_tables, reports, turns
 from voxtally.operators.correction import correct_with_model
 from voxtally.operators.lookups import last_wins, lookup_join
 from voxtally.operators.polarity import polarity_by_join
 from voxtally.plans.analyze import analyze
 from voxtally.rules import Phrases, default_profile
+from voxtally.sources.positions import assign_row_key
 from voxtally.sources.readers import load_overrides, preview
 from voxtally.sources.sinks import report_tables
 
@@ -352,8 +354,8 @@ def _blend_sql(threshold: float) -> str:
         round(raw, 10) AS _raw_vader, array_to_string(keywords, '; ') AS "Negative_Keywords" FROM result"""
 
 
-def _blend(spark, folder, threshold):
-    return fx.result(spark, folder, threshold).select(
+def _blend(spark, folder, threshold, **more):
+    return fx.result(spark, folder, threshold, **more).select(
         "doc_id",
         "consumer_score",
         "consumer_sentiment",
@@ -370,6 +372,18 @@ def analysis(spark, folder):
     return _blend(spark, folder, 0.7)
 
 
+@registered("analysis_with_lexicon_table", _blend_sql(0.7))
+def analysis_with_lexicon_table(spark, folder):
+    """The lexicon as a table small enough for the plan."""
+    return _blend(spark, folder, 0.7, lexicon=fx.lexicon(spark))
+
+
+@registered("analysis_with_joined_lexicon", _blend_sql(0.7))
+def analysis_with_joined_lexicon(spark, folder):
+    """The lexicon as a table that is joined to the words of the rows that no rule decides."""
+    return _blend(spark, folder, 0.7, lexicon=fx.lexicon(spark), max_literal_bytes=0)
+
+
 @registered("blend", _blend_sql(0.8))
 def blend(spark, folder):
     return _blend(spark, folder, 0.8)
@@ -404,6 +418,13 @@ def model_correction(spark, folder):
     )
 
 
+@registered("model_correction_by_join", ORACLES["model_correction"])
+def model_correction_by_join(spark, folder):
+    """Predictions too many for a broadcast: only keys of rows that ask and what is found for them travel."""
+    corrected = correct_with_model(fx.result(spark, folder), fx.predictions(spark, folder), "doc_id", max_bytes=0)
+    return corrected.select("doc_id", "consumer_score", "consumer_sentiment", "confidence", "_rule_fired")
+
+
 _SIGNED_SQL = f"""WITH {_PREDICTIONS},
   d AS (SELECT doc_id, CASE WHEN trim(body, {q.WS}) = '' THEN 'non-en' WHEN lang = 'en' THEN 'en' ELSE 'non-en' END AS language, body
         FROM (SELECT doc_id, lang, trim(replace(text, '|', '/'), {q.WS}) AS body FROM documents)),
@@ -439,6 +460,16 @@ _SIGNED_SQL = f"""WITH {_PREDICTIONS},
 @registered("signed_correction", _SIGNED_SQL)
 def signed_correction(spark, folder):
     """The whole pipe profile with predictions: gate, triggers, lexicon, correction, re-enforcement."""
+    return _signed(spark, folder)
+
+
+@registered("signed_correction_by_join", _SIGNED_SQL)
+def signed_correction_by_join(spark, folder):
+    """The same with look-ups and lexicon too large for a broadcast or the plan."""
+    return _signed(spark, folder, max_broadcast_bytes=0, lexicon=fx.lexicon(spark), max_literal_bytes=0)
+
+
+def _signed(spark, folder, **more):
     said = F.concat(F.lit("2024-01-01 Consumer:"), F.replace(F.col("text"), F.lit("|"), F.lit("/")))
     chats = texts(spark, folder).select("doc_id", "lang", said.alias("chat"))
     return analyze(
@@ -450,11 +481,87 @@ def signed_correction(spark, folder):
         predictions=fx.predictions(spark, folder),
         row_key="doc_id",
         language_column="lang",
+        **more,
     ).select(
         "doc_id", "Language", "consumer_score", "consumer_sentiment", "confidence", "_rule_fired"
     )
 
 
+@registered("row_key_stable", "SELECT doc_id, row_number() OVER () - 1 AS row_key, 1::BIGINT AS scans FROM documents")
+def row_key_stable(spark, folder):
+    """Keys from the places of rows in their files; two scans give each row the same one."""
+    one, two = (assign_row_key(documents(spark, folder).select("doc_id"), name) for name in ("row_key", "again"))
+    both = one.join(two, "doc_id").groupBy("doc_id").agg(F.min("row_key").alias("row_key"), F.count_distinct("row_key", "again").alias("scans"))
+    return both
+
+
+@registered(
+    "override_file_order",
+    """WITH rows AS (SELECT (doc_id % 50)::VARCHAR AS id, CASE WHEN toxic = 1 THEN 'Negative' ELSE 'Label ' || doc_id END AS label,
+        row_number() OVER () AS place FROM labels)
+      SELECT id AS _id_norm, arg_max(label, place) AS override_label FROM rows GROUP BY id""",
+)
+def override_file_order(spark, folder):
+    """Without a column that tells, the last label of an id is the last in the files."""
+    label = F.when(F.col("toxic") == 1, F.lit("Negative")).otherwise(F.concat(F.lit("Label "), F.col("doc_id")))
+    rows = fx.table(spark, folder, "labels").select((F.col("doc_id") % 50).alias("ID"), label.alias("Actual Sentiment"))
+    return load_overrides(rows)
+
+
+# ---------------------------------------------------------------------------
+# Phrase tables
+# ---------------------------------------------------------------------------
+_PAIRS = """phrases AS (SELECT DISTINCT lower(w[i] || ' ' || w[i + 1]) AS phrase
+  FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT string_split(replace(text, chr(10), ' '), ' ') AS w FROM documents))
+  WHERE w[i] <> '' AND w[i + 1] <> '')"""
+
+
+@registered(
+    "phrase_table_match",
+    # a pair lies in a text where an end of one word, a blank and a beginning of the next word follow each other
+    f"""WITH {_PAIRS}, words AS (SELECT conv_id, turn, string_split(lower(text), ' ') AS w FROM conversations),
+      pairs AS (SELECT DISTINCT conv_id, turn, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM words)),
+      ends AS (SELECT *, unnest(range(1, length(a) + 1)) AS m FROM pairs),
+      parts AS (SELECT DISTINCT conv_id, turn, right(a, m) || ' ' || left(b, n) AS phrase
+        FROM (SELECT *, unnest(range(1, length(b) + 1)) AS n FROM ends)),
+      hits AS (SELECT conv_id, turn, list(phrase ORDER BY phrase) AS found FROM parts SEMI JOIN phrases USING (phrase) GROUP BY conv_id, turn)
+      SELECT conv_id, turn, coalesce(len(found), 0)::INT AS n_phrases, coalesce(array_to_string(found, ';'), '') AS phrases
+      FROM conversations LEFT JOIN hits USING (conv_id, turn)""",
+)
+def phrase_table_match(spark, folder):
+    """Which of all neighbouring word pairs of the documents does a message contain?"""
+    words = F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " ")
+    pairs = let(words, lambda w: F.zip_with(w, F.slice(w, 2, F.size(w)), lambda one, two: F.when((one != "") & (two != ""), F.concat_ws(" ", one, two))))
+    rows = texts(spark, folder).select(F.explode(pairs).alias("phrase"))
+    phrases = rows.where("phrase IS NOT NULL").distinct()
+    turns_ = fx.texts(spark, folder, "conversations", "conv_id", "turn", "text")
+    found = phrase_tables.with_phrases(turns_, ["conv_id", "turn"], "text", phrases)
+    return found.select("conv_id", "turn", F.size("phrases").alias("n_phrases"), F.array_join("phrases", ";").alias("phrases"))
+
+
+def _phrase_rows(spark, groups) -> DataFrame:
+    return spark.createDataFrame([(g, p) for g, phrases in groups.items() for p in phrases], "grp string, phrase string")
+
+
+@registered(
+    "tier_masks_by_table",
+    f"""SELECT doc_id, {q.has("text", q.VERY_NEGATIVE)} AS very_negative, {q.has("text", q.POSITIVE)} AS positive,
+      {q.has("text", q.NEGATIVE)} AS negative, {q.has("text", q.NEUTRAL)} AS neutral FROM documents""",
+)
+def tier_masks_by_table(spark, folder):
+    tiers = {"very_negative": fx.VERY_NEGATIVE, "positive": fx.POSITIVE, "negative": fx.NEGATIVE, "neutral": fx.NEUTRAL}
+    counted = phrase_tables.phrase_group_counts(
+        texts(spark, folder).select("doc_id", "text"), "doc_id", "text", _phrase_rows(spark, {name: p.phrases for name, p in tiers.items()})
+    )
+    return counted.select("doc_id", *[F.map_contains_key("group_counts", name).alias(name) for name in tiers])
+
+
+@registered("keyword_extract_by_table", f"SELECT doc_id, array_to_string({q.keywords('text')}, '; ') AS keywords FROM documents")
+def keyword_extract_by_table(spark, folder):
+    found = phrase_tables.keywords_by_table(texts(spark, folder).select("doc_id", "text"), "doc_id", "text", _phrase_rows(spark, fx.DICTIONARY.categories))
+    return found.select("doc_id", joined(F.col("keywords")).alias("keywords"))
+
+
 # ---------------------------------------------------------------------------
 # Reports
 # ---------------------------------------------------------------------------
@@ -1040,6 +1147,14 @@ def keyword_group_score_query(spark, folder):
     )
 
 
+@registered("keyword_group_score_by_table", ORACLES["keyword_group_score"])
+def keyword_group_score_by_table(spark, folder):
+    scored = phrase_tables.group_score_by_table(
+        texts(spark, folder).select("doc_id", "text"), "doc_id", "text", _phrase_rows(spark, fx.GROUPS), overrides=fx.OVERRIDE_STEPS
+    )
+    return scored.select("doc_id", F.col("keyword.kw_total").alias("kw_total"), F.round("keyword.kw_score", 6).alias("kw_score"))
+
+
 def _hybrid_ctes(source: str, groups=fx.GROUPS) -> str:
     """CTEs ending in ``hybrid(doc_id, score, conf)`` for the texts of ``source(doc_id, part, text)``."""
     return f"""{q.compounds(source, "doc_id", "part", "text")},

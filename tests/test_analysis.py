@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxtally import analyze, default_profile
 from voxtally.functions.lexicon import Scorer
-from voxtally.plans.analyze import assign_row_key
+from voxtally.sources.positions import assign_row_key
 
 COLUMNS = ["consumer_score", "consumer_sentiment", "confidence", "validation_source", "_rule_fired"]
 

@@ -36,31 +36,31 @@ def keyword_group_score(
     A phrase counts once however often it occurs.
     """
     lowered = F.lower(strip(text_or_empty(column)))
+    return let(lowered, lambda t: group_mean(t, [_hits(t, groups.get(name, ())) for name in weights], weights, overrides))
 
-    def score(t: Column) -> Column:
-        override = F.lit(False)
-        for steps in overrides:
-            override = override | t.rlike(in_one_line(steps))
-        counts = F.array(
-            *[_hits(t, groups.get(name, ())) for name in weights], override.cast("int")
-        )
-        values = [*weights.values(), fixed.POSITIVE_OVERRIDE_WEIGHT]
-
-        def mean(c: Column) -> Column:
-            total = F.aggregate(c, F.lit(0), lambda a, b: a + b)
-            weighted = F.aggregate(
-                F.zip_with(c, F.array(*[F.lit(v) for v in values]), lambda n, w: n * w),
-                F.lit(0.0),
-                lambda a, b: a + b,
-            )
-            return F.struct(
-                F.when(total > 0, weighted / total).otherwise(F.lit(0.0)).alias("kw_score"),
-                total.alias("kw_total"),
-            )
 
-        return let(counts, mean)
+def group_mean(
+    lowered: Column, hits: Sequence[Column], weights: Mapping[str, float], overrides: Sequence[Sequence[Sequence[str]]]
+) -> Column:
+    """``struct<kw_score, kw_total>`` from the number of phrases found of each weighted group and the overrides of the text."""
+    override = F.lit(False)
+    for steps in overrides:
+        override = override | lowered.rlike(in_one_line(steps))
+    values = [*weights.values(), fixed.POSITIVE_OVERRIDE_WEIGHT]
+
+    def mean(c: Column) -> Column:
+        total = F.aggregate(c, F.lit(0), lambda a, b: a + b)
+        weighted = F.aggregate(
+            F.zip_with(c, F.array(*[F.lit(v) for v in values]), lambda n, w: n * w),
+            F.lit(0.0),
+            lambda a, b: a + b,
+        )
+        return F.struct(
+            F.when(total > 0, weighted / total).otherwise(F.lit(0.0)).alias("kw_score"),
+            total.alias("kw_total"),
+        )
 
-    return let(lowered, score)
+    return let(F.array(*hits, override.cast("int")), mean)
 
 
 def hybrid_score(text: Column, parts: Column, keyword: Column) -> Column:

@@ -22,17 +22,18 @@ def keywords_in(text: Column, dictionary: Dictionary) -> Column:
     most as many distinct ones as the dictionary has phrases.
     """
     hits = F.regexp_extract_all(text_or_empty(text), F.lit(dictionary.regex), F.lit(0))
-
-    def first_spellings(found: Column) -> Column:
-        return let(
-            F.transform(found, F.lower),
-            lambda lowered: F.transform(
-                F.array_distinct(lowered),
-                lambda k: F.element_at(found, F.array_position(lowered, k).cast("int")),
-            ),
-        )
-
-    return let(hits, first_spellings)
+    return let(hits, distinct_spellings)
+
+
+def distinct_spellings(found: Column) -> Column:
+    """Distinct matches whatever their case, in order, each in its first spelling."""
+    return let(
+        F.transform(found, F.lower),
+        lambda lowered: F.transform(
+            F.array_distinct(lowered),
+            lambda k: F.element_at(found, F.array_position(lowered, k).cast("int")),
+        ),
+    )
 
 
 def joined(keywords: Column) -> Column:

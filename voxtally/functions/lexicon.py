@@ -264,19 +264,22 @@ def mean_of(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), _plus) / F.size(values)
 
 
-def polarity(column: Column, scorer: Scorer) -> Column:
-    """Mean compound score over the chunks of a text; null for a blank one."""
-    lookup = word_lookup(scorer)
+def polarity(column: Column, scorer: Scorer, lookup=None) -> Column:
+    """Mean compound score over the chunks of a text; null for a blank one.
+
+    ``lookup`` tells what is known of a word, if not the lexicon of the scorer.
+    """
+    lookup = lookup or word_lookup(scorer)
     scores = F.transform(sentence_chunks(column), lambda c: chunk_compound(c, scorer, lookup))
     return F.when(strip(text_or_empty(column)) != "", let(scores, mean_of))
 
 
-def polarity_parts(column: Column, scorer: Scorer) -> Column:
+def polarity_parts(column: Column, scorer: Scorer, lookup=None) -> Column:
     """``struct<compound, strongest>`` of a whole text as one chunk.
 
     ``strongest`` is the largest of the positive, negative and neutral shares.
     """
-    lookup = word_lookup(scorer)
+    lookup = lookup or word_lookup(scorer)
     text = text_or_empty(column)
 
     def parts(valences: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtally.operators.cascade import correction_gate, signed_correction_gate
-from voxtally.operators.lookups import BROADCAST_BYTES, lookup_join
+from voxtally.operators.lookups import BROADCAST_BYTES, gated_join
 from voxtally.rules import Cascade
 
 RESULT = ("consumer_score", "consumer_sentiment", "confidence", "_rule_fired")
@@ -29,34 +29,37 @@ def _corrected(df: DataFrame, applies, score) -> DataFrame:
     )
 
 
-def _with_predictions(df: DataFrame, predictions: DataFrame, row_key: str, least: float, max_bytes: int) -> DataFrame:
+def _with_predictions(
+    df: DataFrame, predictions: DataFrame, row_key: str, least: float, gate: Column, max_bytes: int, hit_bytes: int
+) -> DataFrame:
+    """Predictions of the rows that pass ``gate``; of a large table only those travel, and no row that does not ask."""
     usable = predictions.where(F.col("score") > least).select(
         F.col("row_key").alias(row_key),
         F.lower("label").alias("_pred_label"),
         F.col("score").cast("double").alias("_pred_score"),
     )
-    return lookup_join(df, usable, row_key, max_bytes=max_bytes)
+    return gated_join(df, usable, row_key, gate, max_bytes, hit_bytes)
 
 
 def correct_with_model(
-    df: DataFrame, predictions: DataFrame, row_key: str, max_bytes: int = BROADCAST_BYTES
+    df: DataFrame, predictions: DataFrame, row_key: str, max_bytes: int = BROADCAST_BYTES, hit_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Rows of low confidence take a confident prediction as +0.35 or -0.35.
 
     Predictions that are not confident enough never reach the join.
     """
-    joined = _with_predictions(df, predictions, row_key, 0.75, max_bytes)
     gate = correction_gate(F.col("confidence"), F.col("validation_source"), F.col("Text_For_Analysis"))
+    joined = _with_predictions(df, predictions, row_key, 0.75, gate, max_bytes, hit_bytes)
     applies = gate & F.col("_pred_label").isNotNull()
     return _corrected(joined, applies, lambda pos: F.when(pos, F.lit(0.35)).otherwise(F.lit(-0.35)))
 
 
 def correct_with_signed_model(
-    df: DataFrame, predictions: DataFrame, row_key: str, max_bytes: int = BROADCAST_BYTES
+    df: DataFrame, predictions: DataFrame, row_key: str, max_bytes: int = BROADCAST_BYTES, hit_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Rows near zero take the prediction's own confidence, with its sign, as their score."""
-    joined = _with_predictions(df, predictions, row_key, float("-inf"), max_bytes)
     gate = signed_correction_gate(F.col("consumer_score"), F.col("validation_source"), F.col("Language"))
+    joined = _with_predictions(df, predictions, row_key, float("-inf"), gate, max_bytes, hit_bytes)
     applies = gate & F.col("_pred_label").isNotNull()
     return _corrected(
         joined,

@@ -34,16 +34,11 @@ from voxtally.operators.correction import (
     reenforce_triggers,
 )
 from voxtally.operators.lookups import BROADCAST_BYTES, lookup_join
+from voxtally.operators.polarity import LITERAL_BYTES, LexiconTable, PlainLexicon
 from voxtally.rules import Profile, default_profile
-from voxtally.session import cut_lineage
 from voxtally.sources.readers import require_columns
 
 
-def assign_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
-    """A key per row for tables without one, fixed by a checkpoint before anything branches off."""
-    return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
-
-
 def _source(override: Column) -> Column:
     return F.when(override.isNotNull(), F.lit("Validation")).otherwise(F.lit("Model"))
 
@@ -55,7 +50,7 @@ def _with_override(df: DataFrame, overrides: DataFrame | None, max_bytes: int) -
     return lookup_join(df, unique, "_id_norm", hot_keys=True, max_bytes=max_bytes)
 
 
-def _chat(df: DataFrame, profile: Profile, text: str, overrides, threshold: float, scorer: Scorer, max_bytes: int):
+def _chat(df: DataFrame, profile: Profile, text: str, overrides, threshold: float, lexicon, max_bytes: int):
     """Profiles whose open rows take the lexicon score and whose weak rules are blended."""
     extract, clean = {
         "tagged_chat": (extract_tagged, txt.clean_boilerplate),
@@ -69,10 +64,11 @@ def _chat(df: DataFrame, profile: Profile, text: str, overrides, threshold: floa
     ready = _with_override(spoken.withColumn("Text_For_Analysis", cleaned), overrides, max_bytes)
 
     body, verdict, raw = F.col("Text_For_Analysis"), F.col("_verdict"), F.col("_raw_vader")
-    scored = (
-        ready.withColumn("_verdict", cascade_verdict(body, profile.cascade, F.col("_override")))
-        .withColumn("_raw_vader", F.when(needs_lexicon(verdict, threshold), polarity(body, scorer)))
-        .withColumn("consumer_score", blended_score(verdict, raw, threshold))
+    decided = ready.withColumn("_verdict", cascade_verdict(body, profile.cascade, F.col("_override")))
+    open_row = needs_lexicon(verdict, threshold)
+    decided, lookup = lexicon.attach(decided, "Text_For_Analysis", open_row)
+    scored = decided.withColumn("_raw_vader", F.when(open_row, polarity(body, lexicon.scorer, lookup))).withColumn(
+        "consumer_score", blended_score(verdict, raw, threshold)
     )
     return scored.withColumns(
         {
@@ -82,10 +78,10 @@ def _chat(df: DataFrame, profile: Profile, text: str, overrides, threshold: floa
             "_rule_fired": verdict["rule"],
             "Negative_Keywords": joined(keywords_in(body, profile.dictionary)),
         }
-    ).drop("_verdict", "_override")
+    ).drop("_verdict", "_override", "_hits")
 
 
-def _pipe(df: DataFrame, profile: Profile, text: str, overrides, language: str | None, scorer: Scorer, max_bytes: int):
+def _pipe(df: DataFrame, profile: Profile, text: str, overrides, language: str | None, lexicon, max_bytes: int):
     """English rows only; triggers decide, the lexicon fills in, the rest stays without a score."""
     spoken = df.withColumn("ConsumerOnly", extract_pipe(F.col(text)))
     tagged = spoken.withColumns(
@@ -98,9 +94,9 @@ def _pipe(df: DataFrame, profile: Profile, text: str, overrides, language: str |
     body, verdict, raw = F.col("Text_For_Analysis"), F.col("_verdict"), F.col("_raw_vader")
     english = F.col("Language") == "en"
     open_row = verdict["rule"] == profile.cascade.open_rule
-    scored = ready.withColumn(
-        "_verdict", cascade_verdict(body, profile.cascade, F.col("_override"), english)
-    ).withColumn("_raw_vader", F.when(open_row, F.round(dead_zone(polarity(body, scorer)), 3)))
+    decided = ready.withColumn("_verdict", cascade_verdict(body, profile.cascade, F.col("_override"), english))
+    decided, lookup = lexicon.attach(decided, "Text_For_Analysis", open_row)
+    scored = decided.withColumn("_raw_vader", F.when(open_row, F.round(dead_zone(polarity(body, lexicon.scorer, lookup)), 3)))
     score = F.round(F.coalesce(verdict["score"], raw), 3)
     return scored.withColumn("consumer_score", score).withColumns(
         {
@@ -112,11 +108,11 @@ def _pipe(df: DataFrame, profile: Profile, text: str, overrides, language: str |
             "_rule_fired": verdict["rule"],
             "Negative_Keywords": joined(keywords_in(body, profile.dictionary)),
         }
-    ).drop("_verdict", "_override")
+    ).drop("_verdict", "_override", "_hits")
 
 
 def _review(
-    df: DataFrame, profile: Profile, text: str, overrides, translations, row_key, scorer: Scorer,
+    df: DataFrame, profile: Profile, text: str, overrides, translations, row_key, lexicon,
     full_unicode: bool, max_bytes: int,
 ):
     """Every meaningful comment gets the weighted mix of lexicon and keyword groups, from -10 to 10."""
@@ -137,10 +133,11 @@ def _review(
             .drop("_tag", "_translated")
         )
     body = F.col("Text_For_Analysis")
-    parts, keyword = polarity_parts(body, scorer), keyword_group_score(body, profile.groups)
+    ready = ready.withColumn("Text_For_Analysis", txt.prefer_translation(F.col("Translated_Text"), comment))
+    ready, lookup = lexicon.attach(ready, "Text_For_Analysis", F.col("_scored"))
+    parts, keyword = polarity_parts(body, lexicon.scorer, lookup), keyword_group_score(body, profile.groups)
     mixed = (
-        ready.withColumn("Text_For_Analysis", txt.prefer_translation(F.col("Translated_Text"), comment))
-        .withColumn("_parts", F.when(F.col("_scored"), parts))
+        ready.withColumn("_parts", F.when(F.col("_scored"), parts))
         .withColumn("_keyword", F.when(F.col("_scored"), keyword))
         .withColumn("_mix", F.when(F.col("_scored"), hybrid_score(body, F.col("_parts"), F.col("_keyword"))))
     )
@@ -163,7 +160,7 @@ def _review(
             "_raw_vader": F.lit(None).cast("double"),
             "Negative_Keywords": joined(keywords_in(body, profile.dictionary)),
         }
-    ).drop("_scored", "_parts", "_keyword", "_mix", "_override")
+    ).drop("_scored", "_parts", "_keyword", "_mix", "_override", "_hits")
 
 
 def analyze(
@@ -181,12 +178,16 @@ def analyze(
     row_key: str | None = None,
     full_unicode: bool = True,
     max_broadcast_bytes: int = BROADCAST_BYTES,
+    lexicon: DataFrame | None = None,
+    max_literal_bytes: int = LITERAL_BYTES,
 ) -> DataFrame:
     """Input rows with score, label, confidence, deciding rule, extracted text and keywords.
 
     ``overrides`` is the output of ``load_overrides``.  ``predictions`` is
     ``(row_key, label, score)`` and ``translations`` is ``(row_key, translated)``;
-    both need ``row_key``, the column of ``df`` that identifies a row.  The
+    both need ``row_key``, the column of ``df`` that identifies a row.  ``lexicon`` is
+    ``(token, valence_tenths)`` and takes the place of the scorer's own; above ``max_literal_bytes``
+    it is joined, which needs ``row_key`` too.  The
     threshold plays no part in ``pipe_chat`` and ``review``.
     """
     chosen = default_profile(profile) if isinstance(profile, str) else profile
@@ -195,19 +196,23 @@ def analyze(
     if (predictions is not None or translations is not None) and row_key is None:
         raise ValueError("predictions and translations are matched by row_key")
     scorer = scorer or Scorer()
+    if lexicon is None:
+        words = PlainLexicon(scorer)
+    else:
+        words = LexiconTable(lexicon, scorer, row_key, max_literal_bytes, max_broadcast_bytes)
     keyed = df.withColumn("_id_norm", txt.normalise_id(F.col(f"`{identifier}`")))
     if "." in text or "`" in text:
         raise ValueError(f"rename column {text!r} first")
 
     if chosen.name == "review":
-        return _review(keyed, chosen, text, overrides, translations, row_key, scorer, full_unicode, max_broadcast_bytes)
+        return _review(keyed, chosen, text, overrides, translations, row_key, words, full_unicode, max_broadcast_bytes)
     if chosen.name == "pipe_chat":
-        out = _pipe(keyed, chosen, text, overrides, language_column, scorer, max_broadcast_bytes)
+        out = _pipe(keyed, chosen, text, overrides, language_column, words, max_broadcast_bytes)
         if predictions is not None:
             out = correct_with_signed_model(out, predictions, row_key, max_broadcast_bytes)
             out = reenforce_triggers(out, chosen.cascade)
         return out
-    out = _chat(keyed, chosen, text, overrides, rule_threshold, scorer, max_broadcast_bytes)
+    out = _chat(keyed, chosen, text, overrides, rule_threshold, words, max_broadcast_bytes)
     if predictions is not None:
         out = correct_with_model(out, predictions, row_key, max_broadcast_bytes)
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,10 +27,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app_name: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share."""
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a local session without that setting gets a temporary folder of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if spark.sparkContext.getCheckpointDir() is not None:
+            return spark.sparkContext.getCheckpointDir()
+        named = tempfile.mkdtemp(prefix="voxtally-checkpoints-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named

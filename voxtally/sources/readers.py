@@ -12,6 +12,7 @@ from voxtally import fixed_values as fixed
 from voxtally.functions.common import strip
 from voxtally.functions.text import normalise_id
 from voxtally.operators.lookups import last_wins
+from voxtally.sources.positions import file_order
 
 
 TASKS_PER_CORE = 4
@@ -73,7 +74,7 @@ def load_overrides(df: DataFrame, order: str | None = None) -> DataFrame:
 
     The id and label columns are found by name, whatever their case.  ``order``
     names the column that says which row is last; without it rows count in the
-    order in which their file holds them.
+    order in which their files hold them, files by their path.
     """
     id_column = next((c for c in df.columns if c.strip().upper() in fixed.OVERRIDE_ID_NAMES), None)
     label_column = next((c for c in df.columns if c.strip().lower() == fixed.OVERRIDE_LABEL_NAME), None)
@@ -82,7 +83,7 @@ def load_overrides(df: DataFrame, order: str | None = None) -> DataFrame:
     ranked = df.select(
         normalise_id(F.col(f"`{id_column}`")).alias("_id_norm"),
         strip(F.col(f"`{label_column}`").cast("string")).alias("override_label"),
-        (F.col(order) if order else F.monotonically_increasing_id()).alias("_order"),
+        (F.col(order) if order else file_order(df)).alias("_order"),
     ).where((F.octet_length("override_label") > 0) & F.col("_id_norm").isNotNull())
     return last_wins(ranked, "_id_norm", "override_label", "_order")
 
