@@ -33,9 +33,10 @@ from voxtally.operators.lookups import last_wins, lookup_join
 from voxtally.operators.polarity import polarity_by_join
 from voxtally.plans.analyze import analyze
 from voxtally.rules import Phrases, default_profile
+from voxtally.session import shared_path
 from voxtally.sources.positions import assign_row_key
 from voxtally.sources.readers import load_overrides, preview
-from voxtally.sources.sinks import report_tables
+from voxtally.sources.sinks import report_tables, store_analysis
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -699,6 +700,31 @@ def triage_filter(spark, folder):
     return found.select("doc_id", "consumer_score", "_rule_fired")
 
 
+def _stored(spark, folder):
+    """The analysis, written once with its flags, and what was observed of it meanwhile."""
+    path = shared_path(spark, "analysis")
+    observed = store_analysis(fx.result(spark, folder), path)
+    return observed, spark.read.parquet(path)
+
+
+@registered("kpis_observed", ORACLES["kpis"])
+def kpis_observed(spark, folder):
+    """The KPIs from metrics of the writing job."""
+    rounded = ("mean_score", "median_score")
+    return _stored(spark, folder)[0].kpis().withColumns({c: F.round(c, 6) for c in rounded})
+
+
+@registered("triage_counts_observed", ORACLES["triage_counts"])
+def triage_counts_observed(spark, folder):
+    return _stored(spark, folder)[0].triage_counts()
+
+
+@registered("triage_stored", ORACLES["triage_filter"])
+def triage_stored(spark, folder):
+    found = audit.triage_filter(_stored(spark, folder)[1], "rule", "Negative", "High")
+    return found.select("doc_id", "consumer_score", "_rule_fired")
+
+
 @registered(
     "evidence_search",
     f"""WITH {q.result()} SELECT doc_id, consumer_sentiment, consumer_score, confidence, source AS validation_source,
@@ -761,6 +787,13 @@ def record_at(spark, folder):
     )
 
 
+@registered("evidence_stored", ORACLES["evidence_search"])
+def evidence_stored(spark, folder):
+    stored = _stored(spark, folder)[1]
+    found = audit.evidence(stored, ["Negative", "Neutral"], ["Model"], "OF the", ["Negative_Keywords", "Text_For_Analysis", "text"])
+    return found.select("doc_id", "consumer_sentiment", "consumer_score", "confidence", "validation_source", "Negative_Keywords")
+
+
 # ---------------------------------------------------------------------------
 # Keywords and categories
 # ---------------------------------------------------------------------------

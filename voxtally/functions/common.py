@@ -54,3 +54,10 @@ def or_all(conditions: Sequence[Column]) -> Column:
     for condition in conditions:
         out = out | condition
     return out
+
+
+def and_all(conditions: Sequence[Column]) -> Column:
+    out = F.lit(True)
+    for condition in conditions:
+        out = out & condition
+    return out

@@ -67,5 +67,11 @@ def confidence_band(confidence: Column) -> Column:
     )
 
 
+def in_band(confidence: Column, band: str) -> Column:
+    """Whether a confidence lies in a band, as comparisons that a scan understands."""
+    tests = {"High": confidence > 0.7, "Low": confidence < 0.3, "Medium": (confidence >= 0.3) & (confidence <= 0.7)}
+    return tests.get(band, F.lit(False))
+
+
 def dead_zone(score: Column, width: float = 0.05) -> Column:
     return F.when(F.abs(score) < width, F.lit(0.0)).otherwise(score)

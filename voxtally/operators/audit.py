@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxtally.functions.common import or_all, strip, text_or_empty
-from voxtally.functions.labels import confidence_band
+from voxtally.functions.common import and_all, or_all, strip, text_or_empty
+from voxtally.functions.labels import in_band
 from voxtally.functions.text import redact, shorten
-from voxtally.operators.reports import percent
+from voxtally.operators.reports import aliased, percent
 
 TRIAGE_LABELS = {
     "validation": "Validation Overrides",
@@ -42,17 +42,23 @@ def with_triage(df: DataFrame) -> DataFrame:
     return df.select("*", *[test.alias("in_" + name) for name, test in triage_flags().items()])
 
 
+def is_stored(df: DataFrame) -> bool:
+    """Whether the table holds its triage flags, as a stored analysis does."""
+    return all("in_" + name in df.columns for name in TRIAGE_LABELS)
+
+
 def _rows_that(df: DataFrame, tests: Sequence[Column]) -> DataFrame:
     """The rows that pass all tests.
 
-    The verdict goes through a generator: a filter over computed columns of a lazy result
+    Over a table stored by ``sources.sinks.store_analysis`` the tests are plain filters, which reach the scan.
+    Over a lazy result the verdict goes through a generator: a filter over computed columns
     would be pushed below them and repeat the analysis inside the filter.
     """
     if not tests:
         return df
-    passed = F.lit(True)
-    for test in tests:
-        passed = passed & F.coalesce(test, F.lit(False))
+    if is_stored(df):
+        return df.where(and_all(tests))
+    passed = and_all([F.coalesce(test, F.lit(False)) for test in tests])
     return df.withColumn("_passed", F.explode_outer(F.array(passed))).where("_passed").drop("_passed")
 
 
@@ -61,27 +67,34 @@ def triage_filter(
 ) -> DataFrame:
     tests = []
     if bucket:
-        tests.append(triage_flags()[bucket])
+        tests.append(F.col("in_" + bucket) if is_stored(df) else triage_flags()[bucket])
     if label:
         tests.append(F.col("consumer_sentiment") == label)
     if band:
-        tests.append(confidence_band(F.col("confidence")) == band)
+        tests.append(in_band(F.col("confidence"), band))
     return _rows_that(df, tests)
 
 
 def triage_counts(df: DataFrame) -> DataFrame:
     """Rows and share per bucket; the buckets overlap, so one pass counts them side by side."""
-    flags = triage_flags()
-    one = df.agg(F.count("*").alias("total"), *[F.count_if(t).alias(n) for n, t in flags.items()])
+    return triage_rows(df.agg(*aliased(triage_metrics())))
+
+
+def triage_metrics() -> dict[str, Column]:
+    return {"total": F.count(F.lit(1)), **{"in_" + name: F.count_if(test) for name, test in triage_flags().items()}}
+
+
+def triage_rows(one: DataFrame) -> DataFrame:
+    """The counts from one row of their metrics."""
     rows = F.array(
         *[
             F.struct(
                 F.lit(i).alias("ordinal"),
                 F.lit(name).alias("bucket"),
-                F.col(name).alias("records"),
-                percent(F.col(name), F.col("total")).alias("pct"),
+                F.col("in_" + name).alias("records"),
+                percent(F.col("in_" + name), F.col("total")).alias("pct"),
             )
-            for i, name in enumerate(flags)
+            for i, name in enumerate(TRIAGE_LABELS)
         ]
     )
     return one.select(F.inline(rows))

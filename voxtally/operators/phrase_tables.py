@@ -26,6 +26,7 @@ from voxtally.functions.common import let, strip, text_or_empty
 from voxtally.functions.hybrid import group_mean
 from voxtally.functions.keywords import distinct_spellings
 from voxtally.operators.lookups import BROADCAST_BYTES, measured_bytes
+from voxtally.session import cut_lineage
 
 #: Characters of a run; shorter phrases are filed under themselves.
 GRAM = 4
@@ -68,7 +69,7 @@ def with_phrases(
     ``row_key`` names the columns that identify a row; ``phrases`` has a column ``phrase``.
     """
     keys = [row_key] if isinstance(row_key, str) else list(row_key)
-    index = phrase_index(phrases)
+    index = cut_lineage(phrase_index(phrases))  # measured, then joined
     # sizes of the runs (GRAM at most) and bytes of the index, in one job
     size = F.octet_length("gram") + F.octet_length("phrase") + 16
     facts = index.agg(F.collect_set(F.length("gram")).alias("sizes"), F.sum(size.cast("long")).alias("bytes")).first()

@@ -28,19 +28,31 @@ def zero_filled_summary(df: DataFrame, label: str = "consumer_sentiment") -> Dat
 
     A sixth row, ``unscored``, holds the rows whose label is none of the five.
     """
+    return summary_rows(df.agg(*aliased(summary_metrics(label))))
+
+
+def aliased(metrics: dict[str, Column]) -> list[Column]:
+    return [metric.alias(name) for name, metric in metrics.items()]
+
+
+def summary_metrics(label: str = "consumer_sentiment") -> dict[str, Column]:
     known = F.col(label).isin(fixed.LABELS)
-    one = df.agg(
-        F.count("*").alias("total"),
-        *[F.count_if(F.col(label) == name).alias(f"_{i}") for i, name in enumerate(fixed.LABELS)],
-        F.count_if(~F.coalesce(known, F.lit(False))).alias(f"_{len(fixed.LABELS)}"),
-    )
+    return {
+        "total": F.count(F.lit(1)),
+        **{f"label_{i}": F.count_if(F.col(label) == name) for i, name in enumerate(fixed.LABELS)},
+        f"label_{len(fixed.LABELS)}": F.count_if(~F.coalesce(known, F.lit(False))),
+    }
+
+
+def summary_rows(one: DataFrame) -> DataFrame:
+    """The summary from one row of its metrics."""
     rows = F.array(
         *[
             F.struct(
                 F.lit(i).alias("ordinal"),
                 F.lit(name).alias("label"),
-                F.col(f"_{i}").alias("records"),
-                percent(F.col(f"_{i}"), F.col("total")).alias("pct"),
+                F.col(f"label_{i}").alias("records"),
+                percent(F.col(f"label_{i}"), F.col("total")).alias("pct"),
             )
             for i, name in enumerate([*fixed.LABELS, "unscored"])
         ]
@@ -62,16 +74,23 @@ def kpis(df: DataFrame, wide: bool = False) -> DataFrame:
     Scores are rounded to three decimals, so the exact median keeps a few
     thousand distinct values with their counts, whatever the number of rows.
     """
+    return kpi_row(df.agg(*aliased(kpi_metrics(wide))))
+
+
+def kpi_metrics(wide: bool = False) -> dict[str, Column]:
     score = F.col("consumer_score") / 10.0 if wide else F.col("consumer_score")
-    overridden = F.count_if(F.col("validation_source") == "Validation")
-    return df.agg(
-        F.count("*").alias("total"),
-        F.avg(score).alias("mean_score"),
-        F.median(score).alias("median_score"),
-        F.count_if(F.col("confidence") > 0.7).alias("high_confidence"),
-        overridden.alias("overridden"),
-        percent(overridden, F.count("*")).alias("overridden_pct"),
-    )
+    return {
+        "total": F.count(F.lit(1)),
+        "mean_score": F.avg(score),
+        "median_score": F.median(score),
+        "high_confidence": F.count_if(F.col("confidence") > 0.7),
+        "overridden": F.count_if(F.col("validation_source") == "Validation"),
+    }
+
+
+def kpi_row(one: DataFrame) -> DataFrame:
+    """The report from one row of its metrics."""
+    return one.select(*kpi_metrics(), percent(F.col("overridden"), F.col("total")).alias("overridden_pct"))
 
 
 def executive_summary(df: DataFrame, label: str = "consumer_sentiment") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, for a table that a job writes and reads again."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
