@@ -31,8 +31,8 @@ from voxtally.operators import audit, cascade, inference, keyword_reports, phras
 from voxtally.operators.correction import correct_with_model
 from voxtally.operators.lookups import last_wins, lookup_join
 from voxtally.operators.polarity import polarity_by_join
-from voxtally.plans.analyze import analyze
-from voxtally.rules import Phrases, default_profile
+from voxtally.plans.analyze import analyze, texts_to_translate
+from voxtally.rules import Phrases, Profile, default_profile
 from voxtally.session import shared_path
 from voxtally.sources.positions import assign_row_key
 from voxtally.sources.readers import load_overrides, preview
@@ -1310,6 +1310,39 @@ def review_analysis(spark, folder):
     )
 
 
+_TRANSLATED = "replace(replace(t, ' la ', ' the '), ' de ', ' for the ')"
+
+
+@registered(
+    "review_translated",
+    f"""WITH {q.OVERRIDES}, comments AS (SELECT doc_id, lang, {_markup("text")} AS t FROM documents),
+      cleaned AS (SELECT doc_id, lang, t AS text FROM comments), {_TAG.replace("FROM documents", "FROM cleaned")},
+      {_meaningless_ctes("comments")},
+      bodies AS (SELECT reasons.doc_id AS doc_id, override_label, reason = 'ok' AND override_label IS NULL AS scored,
+          CASE WHEN reason = 'ok' AND override_label IS NULL AND tags.lang = 'es' AND length(t) >= 3 AND length(t) % 3 <> 0
+               THEN {_TRANSLATED} ELSE '' END AS translated, t
+        FROM reasons JOIN tags USING (doc_id) LEFT JOIN overrides USING (doc_id)),
+      scorable AS (SELECT doc_id, 1 AS part, CASE WHEN translated <> '' THEN translated ELSE t END AS text FROM bodies WHERE scored),
+      {_hybrid_ctes("scorable")}
+      SELECT bodies.doc_id AS doc_id, translated AS "Translated_Text",
+        CASE WHEN override_label IS NOT NULL THEN {q.label_score("override_label")} * 10
+             WHEN score IS NOT NULL THEN {q.rounded("score", 3)} ELSE 0.0::DOUBLE END AS consumer_score,
+        CASE WHEN override_label IS NOT NULL THEN 'validation' WHEN score IS NOT NULL THEN 'hybrid' ELSE 'blank' END AS _rule_fired,
+        {_keywords_sql("CASE WHEN translated <> '' THEN translated ELSE t END")} AS "Negative_Keywords"
+      FROM bodies LEFT JOIN hybrid USING (doc_id)""",
+)
+def review_translated(spark, folder):
+    """The review profile with translations kept by text, made of the texts that it routes to a translation."""
+    rows = texts(spark, folder).select("doc_id", "text")
+    routed = texts_to_translate(rows, "text").where(F.length("text") % 3 != 0)
+    changed = F.replace(F.replace(F.col("text"), F.lit(" la "), F.lit(" the ")), F.lit(" de "), F.lit(" for the "))
+    done = analyze(
+        rows, fx.REVIEW_PROFILE, "doc_id", "text", overrides=fx.overrides(spark, folder), scorer=fx.SCORER,
+        translations=routed.select("text", changed.alias("translated")),
+    )
+    return done.select("doc_id", "Translated_Text", "consumer_score", "_rule_fired", "Negative_Keywords")
+
+
 @registered(
     "review_of_pages",
     f"""WITH comments AS (SELECT page_id AS doc_id, {_markup(_ALL_UNESCAPED)} AS t FROM pages),
@@ -1384,6 +1417,69 @@ def extract_bracket_query(spark, folder):
     )
 
 
+# ---------------------------------------------------------------------------
+# Whole chat profiles: extraction, cleaning, overrides, cascade, lexicon, predictions, keywords
+# ---------------------------------------------------------------------------
+_STRIPPED = ["rewh", "de la", "hehely"]
+
+
+def _chat_sql(said: str, rule: str, values: str) -> str:
+    """The analysis of transcripts whose customer said ``said(doc_id, customer_text)``, corrected by predictions."""
+    gone = "regexp_replace(customer_text, '(?i)with that|and the|of the', '', 'g')"
+    stripped = q.squeeze("regexp_replace(c, '(?i)hehely|de la|rewh', '', 'g')")
+    bodies = f"""{said},
+      cleaned AS (SELECT doc_id, customer_text, {q.squeeze(gone)} AS c FROM said),
+      bodies AS (SELECT doc_id, customer_text AS text,
+        CASE WHEN length(c) < 5 OR NOT contains(c, ' ') THEN '' ELSE {stripped} END AS body FROM cleaned)"""
+    return f"""WITH {q.result(bodies=bodies, rule=rule, values=values)}, {_PREDICTIONS},
+      j AS (SELECT result.*, label, p,
+          (confidence < 0.6::DOUBLE AND source = 'Model' AND trim(body, {q.WS}) <> '' AND p > 0.75::DOUBLE) AS fixes
+        FROM result LEFT JOIN predictions USING (doc_id))
+      SELECT doc_id, text AS "CustomerOnly", body AS "Text_For_Analysis",
+        CASE WHEN fixes THEN (CASE WHEN label = 'positive' THEN 0.35::DOUBLE ELSE -0.35::DOUBLE END)
+             ELSE consumer_score END AS consumer_score,
+        CASE WHEN fixes THEN (CASE WHEN label = 'positive' THEN 'Positive' ELSE 'Negative' END)
+             ELSE consumer_sentiment END AS consumer_sentiment,
+        CASE WHEN fixes THEN round(p, 3) ELSE confidence END AS confidence, source AS validation_source,
+        CASE WHEN fixes THEN 'bert:' || label ELSE rule END AS _rule_fired,
+        array_to_string(keywords, '; ') AS "Negative_Keywords" FROM j"""
+
+
+def _chat_analysis(spark, folder, form: str, name: str, rules) -> DataFrame:
+    profile = Profile(name, fx.DICTIONARY, rules, strip_names=tuple(_STRIPPED), boilerplate=tuple(_BOILERPLATE))
+    return analyze(
+        fx.transcripts(spark, folder, form),
+        profile,
+        "doc_id",
+        "transcript",
+        overrides=fx.overrides(spark, folder),
+        scorer=fx.SCORER,
+        predictions=fx.predictions(spark, folder),
+        row_key="doc_id",
+    ).select(
+        "doc_id", "CustomerOnly", "Text_For_Analysis", "consumer_score", "consumer_sentiment", "confidence",
+        "validation_source", "_rule_fired", "Negative_Keywords",
+    )
+
+
+_TAGGED_SAID = f"""{_lines_sql(fx.TAGGED_SPEAKERS)}, said AS (WITH {_picked_sql(False)})"""
+_BRACKET_SAID = f"""{_lines_sql(["AGENT", "CUSTOMER"])},
+  turns_said AS (SELECT doc_id, string_agg({q.squeeze("line")}, ' ' ORDER BY pos) AS t FROM lines WHERE speaker = 'CUSTOMER' GROUP BY doc_id),
+  said AS (SELECT doc_id, coalesce(t, '') AS customer_text FROM documents LEFT JOIN turns_said USING (doc_id))"""
+
+
+@registered("analysis_tagged_chat", _chat_sql(_TAGGED_SAID, q.five_tier_rule("body"), q.FIVE_TIER_VALUES))
+def analysis_tagged_chat(spark, folder):
+    """The five-tier profile over turns in bold tags, with speaker choice."""
+    return _chat_analysis(spark, folder, "tagged", "tagged_chat", fx.FIVE_TIER)
+
+
+@registered("analysis_bracket_chat", _chat_sql(_BRACKET_SAID, q.four_tier_rule("body"), q.FOUR_TIER_VALUES))
+def analysis_bracket_chat(spark, folder):
+    """The four-tier profile over turns in brackets."""
+    return _chat_analysis(spark, folder, "bracket", "bracket_chat", fx.FOUR_TIER)
+
+
 _PIPE_SAID = """CASE WHEN speaker = 'Consumer' THEN trim(line, WS) WHEN pos % 5 = 0 THEN 'again'
   WHEN speaker = 'Customer' AND PLAIN THEN trim(line, WS) END""".replace("WS", q.WS)
 

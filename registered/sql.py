@@ -257,21 +257,25 @@ def keywords(t: str, dictionary=None) -> str:
     return f"list_filter({found}, lambda k, i: list_position({lowered}, lower(k)) = i)"
 
 
-def result(threshold: float = 0.7) -> str:
-    """CTEs ending in ``result``: one row per document as ``analyze`` gives it."""
+def result(threshold: float = 0.7, bodies: str | None = None, rule: str | None = None, values: str = FIVE_TIER_VALUES) -> str:
+    """CTEs ending in ``result``: one row per document as ``analyze`` gives it.
+
+    ``bodies`` are CTEs ending in ``bodies(doc_id, text, body)``, if the documents are not analysed as they are.
+    """
+    bodies = bodies or f"bodies AS (SELECT documents.*, {BODY} AS body FROM documents)"
     blended = f"""CASE WHEN override_label IS NOT NULL THEN {label_score("override_label")}
           WHEN text_rule = 'blank' THEN 0.0::DOUBLE
           WHEN rule_score IS NOT NULL AND rule_confidence > {threshold}::DOUBLE THEN rule_score
           WHEN rule_score IS NOT NULL THEN rule_score * rule_confidence + lex * (1.0::DOUBLE - rule_confidence)
           ELSE lex END"""
     return f"""{OVERRIDES},
-    bodies AS (SELECT documents.*, {BODY} AS body FROM documents),
+    {bodies},
     judged AS (
       SELECT bodies.*, override_label,
-        CASE WHEN body = '' THEN 'blank' ELSE {five_tier_rule("body")} END AS text_rule
+        CASE WHEN body = '' THEN 'blank' ELSE {rule or five_tier_rule("body")} END AS text_rule
       FROM bodies LEFT JOIN overrides USING (doc_id)),
     ruled AS (SELECT judged.*, score AS rule_score, confidence AS rule_confidence
-              FROM judged JOIN {FIVE_TIER_VALUES} ON text_rule = v.rule),
+              FROM judged JOIN {values} ON text_rule = v.rule),
     open_rows AS (SELECT doc_id, body FROM ruled WHERE override_label IS NULL AND text_rule <> 'blank'
                   AND (rule_score IS NULL OR rule_confidence <= {threshold}::DOUBLE)),
     {polarity("open_rows", "doc_id", "body")},

@@ -33,7 +33,7 @@ from voxtally.operators.correction import (
     correct_with_signed_model,
     reenforce_triggers,
 )
-from voxtally.operators.lookups import BROADCAST_BYTES, lookup_join
+from voxtally.operators.lookups import BROADCAST_BYTES, gated_join, lookup_join
 from voxtally.operators.polarity import LITERAL_BYTES, LexiconTable, PlainLexicon
 from voxtally.rules import Profile, default_profile
 from voxtally.sources.readers import require_columns
@@ -111,6 +111,24 @@ def _pipe(df: DataFrame, profile: Profile, text: str, overrides, language: str |
     ).drop("_verdict", "_override", "_hits")
 
 
+def text_key(text: Column) -> Column:
+    """What a text is known by where translations are kept by text: reviews repeat, so do their translations."""
+    return F.sha2(text, 256)
+
+
+def texts_to_translate(df: DataFrame, text_column: str, full_unicode: bool = True) -> DataFrame:
+    """``(text, lang, records)``: each distinct cleaned review that is routed to a translation, once.
+
+    With a column ``translated`` these rows are what ``analyze`` takes as ``translations``.
+    """
+    cleaned = df.select(txt.clean_review(F.col(f"`{text_column}`"), full_unicode).alias("text"))
+    tagged = cleaned.withColumn("_tag", language_tag(F.col("text"))).where(~txt.is_meaningless(F.col("text")))
+    routed = tagged.where(needs_translation(F.col("text"), F.col("_tag.lang"), F.col("_tag.lang_confidence")))
+    # texts that are counted together are equal
+    found = routed.groupBy(text_key(F.col("text")).alias("_key")).agg(F.first("text").alias("text"), F.first("_tag.lang").alias("lang"), F.count(F.lit(1)).alias("records"))
+    return found.drop("_key")
+
+
 def _review(
     df: DataFrame, profile: Profile, text: str, overrides, translations, row_key, lexicon,
     full_unicode: bool, max_bytes: int,
@@ -123,14 +141,20 @@ def _review(
     if translations is None:
         ready = ready.withColumn("Translated_Text", F.lit(""))
     else:
-        known = translations.select(F.col("row_key").alias(row_key), F.col("translated").alias("_translated"))
-        tag = F.col("_tag")
-        wanted = F.col("_scored") & needs_translation(comment, tag["lang"], tag["lang_confidence"])
+        # rows that are not routed to a translation never travel for one
+        tagged = ready.withColumn("_tag", language_tag(comment))
+        wanted = F.col("_scored") & needs_translation(comment, F.col("_tag.lang"), F.col("_tag.lang_confidence"))
+        if "text" in translations.columns:
+            key = "_text_key"
+            tagged = tagged.withColumn(key, F.when(wanted, text_key(comment)))
+            known = translations.select(text_key(F.col("text")).alias(key), "translated").groupBy(key).agg(F.max("translated").alias("_translated"))
+        else:
+            key = row_key
+            known = translations.select(F.col("row_key").alias(row_key), F.col("translated").alias("_translated"))
         ready = (
-            lookup_join(ready, known, row_key, max_bytes=max_bytes)
-            .withColumn("_tag", language_tag(comment))
-            .withColumn("Translated_Text", F.when(wanted, F.coalesce("_translated", F.lit(""))).otherwise(F.lit("")))
-            .drop("_tag", "_translated")
+            gated_join(tagged, known, key, wanted, max_bytes, max_bytes)
+            .withColumn("Translated_Text", F.coalesce("_translated", F.lit("")))
+            .drop("_tag", "_translated", "_text_key")
         )
     body = F.col("Text_For_Analysis")
     ready = ready.withColumn("Text_For_Analysis", txt.prefer_translation(F.col("Translated_Text"), comment))
@@ -185,7 +209,8 @@ def analyze(
 
     ``overrides`` is the output of ``load_overrides``.  ``predictions`` is
     ``(row_key, label, score)`` and ``translations`` is ``(row_key, translated)``;
-    both need ``row_key``, the column of ``df`` that identifies a row.  ``lexicon`` is
+    both need ``row_key``, the column of ``df`` that identifies a row.  Translations may be kept by text
+    instead, as ``(text, translated)``; see ``texts_to_translate``.  ``lexicon`` is
     ``(token, valence_tenths)`` and takes the place of the scorer's own; above ``max_literal_bytes``
     it is joined, which needs ``row_key`` too.  The
     threshold plays no part in ``pipe_chat`` and ``review``.
@@ -193,8 +218,9 @@ def analyze(
     chosen = default_profile(profile) if isinstance(profile, str) else profile
     identifier, text = id_column or chosen.default_id, text_column or chosen.default_text
     require_columns(df, [identifier, text])
-    if (predictions is not None or translations is not None) and row_key is None:
-        raise ValueError("predictions and translations are matched by row_key")
+    by_row = predictions is not None or (translations is not None and "text" not in translations.columns)
+    if by_row and row_key is None:
+        raise ValueError("predictions, and translations without a text, are matched by row_key")
     scorer = scorer or Scorer()
     if lexicon is None:
         words = PlainLexicon(scorer)
