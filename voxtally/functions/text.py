@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from voxtally import fixed_values as fixed
 from voxtally.functions.common import let, squeeze, strip, text_or_empty
+from voxtally.functions.unicode import native_form, needs_python
 from voxtally.rules import phrase_regex
 
 
@@ -67,11 +68,11 @@ def _unescape_and_compose():
 def unescape_full(column: Column) -> Column:
     """All entities and compatibility forms.
 
-    Only texts that hold an ampersand or a character outside ASCII travel to
-    Python; the others are sent as null and keep their value.
+    Only texts with combining characters or unusual entities travel to Python;
+    the others are sent as null and keep what the JVM made of them.
     """
-    needs = column.rlike(r"[^\x00-\x7f]|&")
-    return F.coalesce(_unescape_and_compose()(F.when(needs, column)), column)
+    whole = _unescape_and_compose()(F.when(needs_python(column), column))
+    return F.coalesce(whole, native_form(column))
 
 
 def _from_run_start(pattern: str, characters: str) -> str:

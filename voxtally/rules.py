@@ -24,8 +24,8 @@ def _escape(char: str) -> str:
     return "\\" + char if char in _SPECIAL else char
 
 
-def phrase_regex(phrases: Iterable[str]) -> str:
-    """One regular expression for many phrases, the longest phrase winning.
+def phrase_regex(phrases: Iterable[str], exact: bool = False) -> str:
+    """One regular expression for many phrases, the longest phrase winning; in lower case unless ``exact``.
 
     Phrases that start alike share their prefix, so the engine looks at each
     position of the text once per distinct start and not once per phrase.  All
@@ -35,7 +35,7 @@ def phrase_regex(phrases: Iterable[str]) -> str:
     tree: dict = {}
     for phrase in phrases:
         node = tree
-        for char in phrase.lower():
+        for char in phrase if exact else phrase.lower():
             node = node.setdefault(char, {})
         node[""] = {}
 
