@@ -78,7 +78,7 @@ def slot_maps(texts: DataFrame, bits: int, hashes_of: Callable[[np.ndarray, np.n
     maps = sent.repartition(BUCKETS, "bucket").mapInArrow(count, "bucket bigint, repeated binary, frequent binary")
     out = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
     step = (1 << width) // 8
-    for row in maps.collect():  # 2**bits / 4 bytes
+    for row in maps.toLocalIterator():  # 2**bits / 4 bytes, a bucket at a time
         for bitmap, part in zip(out, (row.repeated, row.frequent), strict=True):
             bitmap[row.bucket * step : (row.bucket + 1) * step] = np.frombuffer(part, np.uint8)
     return out[0], out[1]
