@@ -35,8 +35,8 @@ from voxtally.plans.analyze import analyze, texts_to_translate
 from voxtally.rules import Phrases, Profile, default_profile
 from voxtally.session import shared_path
 from voxtally.sources.positions import assign_row_key
-from voxtally.sources.readers import load_overrides, preview
-from voxtally.sources.sinks import report_tables, store_analysis
+from voxtally.sources.readers import load_overrides, preview, read_conversations
+from voxtally.sources.sinks import report_tables, store_analysis, write_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -700,6 +700,22 @@ def triage_filter(spark, folder):
     return found.select("doc_id", "consumer_score", "_rule_fired")
 
 
+@registered(
+    "csv_round_trip",
+    f"""WITH {q.result()} SELECT doc_id, text, consumer_score, consumer_sentiment, confidence, source AS validation_source,
+      rule AS _rule_fired, array_to_string(keywords, '; ') AS "Negative_Keywords" FROM result""",
+)
+def csv_round_trip(spark, folder):
+    """The analysis exported as CSV and read back: line breaks, quotes and commas of the texts included."""
+    columns = ["doc_id", "text", "consumer_score", "consumer_sentiment", "confidence", "validation_source", "_rule_fired", "Negative_Keywords"]
+    path = shared_path(spark, "export") + ".csv"
+    result = fx.result(spark, folder).select(*columns)
+    write_csv(result, path)
+    back = read_conversations(spark, path, schema=result.schema)
+    # an empty field and none are the same in CSV
+    return back.withColumns({c: F.coalesce(c, F.lit("")) for c in ("text", "Negative_Keywords")})
+
+
 def _stored(spark, folder):
     """The analysis, written once with its flags, and what was observed of it meanwhile."""
     path = shared_path(spark, "analysis")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from registered import fixtures as fx
 from voxtally.operators.correction import correct_with_model
 from voxtally.operators.lookups import gated_join
-from voxtally.plans.analyze import analyze
+from voxtally.plans.analyze import analyze, texts_to_translate
 from voxtally.sources.positions import PLACE_BITS, assign_row_key, file_order
 from voxtally.sources.readers import load_overrides
 
@@ -130,3 +130,22 @@ def test_tables_without_files_are_written_once(spark):
     assert len({r.row_key for r in keyed.collect()}) == 50
     rows = spark.createDataFrame([(1, "a"), (1, "b")], "ID int, `Actual Sentiment` string").coalesce(1)
     assert load_overrides(rows).first().override_label == "b"
+
+
+def test_translations_by_text_and_by_row_are_the_same(spark):
+    """Reviews repeat: each routed text is asked for once, and gets its translation in every row."""
+    spanish = "el servicio es muy malo y la aplicación no funciona"
+    rows = [(i, spanish if i % 3 else f"la comida {i} es buena y el hotel está limpio") for i in range(30)] + [(30, "all is well here"), (31, None)]
+    df = spark.createDataFrame(rows, "k int, t string")
+    routed = texts_to_translate(df, "t")
+    found = {r.text: (r.lang, r.records) for r in routed.collect()}
+    assert found[spanish] == ("es", 20) and len(found) == 11 and all(lang == "es" for lang, _ in found.values())
+    by_text = routed.select("text", F.concat(F.lit("translated "), "text").alias("translated"))
+    by_row = df.where("k < 30").select(F.col("k").alias("row_key"), F.concat(F.lit("translated "), "t").alias("translated"))
+    outs = []
+    for translations, more in ((by_text, {}), (by_row, {"row_key": "k"})):
+        for max_bytes in (1 << 25, 0):
+            out = analyze(df, fx.REVIEW_PROFILE, "k", "t", scorer=fx.SCORER, translations=translations, max_broadcast_bytes=max_bytes, **more)
+            outs.append({r.k: (r.Translated_Text, r.consumer_score) for r in out.collect()})
+    assert all(out == outs[0] for out in outs)
+    assert outs[0][1][0] == "translated " + spanish and outs[0][30][0] == "" and outs[0][31][0] == ""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from voxtally import analyze
 from voxtally.functions.lexicon import Scorer
 from voxtally.operators.polarity import score_polarity
+from voxtally.rules import PROFILE_NAMES
 from voxtally.sources import readers, sinks
 from voxtally.streaming.incremental import append_results
 
@@ -87,3 +88,15 @@ def test_streaming_gives_the_batch_result(spark, tmp_path):
     want = analyze(spark.createDataFrame(rows, schema), "pipe_or_plain", overrides=labels)
     order = [F.col(c) for c in want.columns]
     assert sorted(map(str, got.select(order).collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("name", PROFILE_NAMES)
+def test_no_helper_column_is_left(spark, name):
+    """Input columns, then the fixed additions and nothing else."""
+    additions = {
+        "_id_norm", "Text_For_Analysis", "consumer_score", "consumer_sentiment", "confidence", "validation_source", "_rule_fired", "_raw_vader",
+        "Negative_Keywords", *{"pipe_chat": ("ConsumerOnly", "Language"), "review": ("Cleaned_Comments", "Translated_Text")}.get(name, ("CustomerOnly",)),
+    }
+    df = spark.createDataFrame([("1", "it is good", "x")], "ID string, Comments string, other string")
+    out = analyze(df, name, "ID", "Comments")
+    assert out.columns[:3] == df.columns and set(out.columns[3:]) == additions and len(out.columns) == 3 + len(additions)

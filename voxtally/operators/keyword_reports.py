@@ -134,15 +134,19 @@ def category_samples(
 ) -> DataFrame:
     """The first texts of every category, shortened and, with a ``mark``, highlighted.
 
-    Keys are ranked without their texts (a group limit keeps ``size`` per task
-    and category before anything is shuffled); the chosen keys, at most ``size``
-    times the number of categories, are then joined back to fetch the texts.
+    One scan: keys carry their shortened text, and a group limit keeps ``size`` per task and
+    category before anything is shuffled.  Redaction looks at whole texts, so redacted samples are ranked
+    by key alone and the chosen ones, at most ``size`` times the number of categories, joined back.
     """
-    keys = by_category(df, dictionary, text, F.col(row_key))
     rank = F.row_number().over(Window.partitionBy("category").orderBy(row_key))
-    chosen = keys.withColumn("rank", rank).where(F.col("rank") <= size)
-    shown = sample_text(text_or_empty(F.col(text)), redacted)
-    joined = df.select(row_key, text).join(F.broadcast(chosen), row_key)
+    if redacted:
+        chosen = by_category(df, dictionary, text, F.col(row_key)).withColumn("rank", rank).where(F.col("rank") <= size)
+        shown = sample_text(text_or_empty(F.col(text)), redacted)
+        joined = df.select(row_key, text).join(F.broadcast(chosen), row_key)
+    else:
+        short = sample_text(text_or_empty(F.col(text))).alias("_short")
+        joined = by_category(df, dictionary, text, F.col(row_key), short).withColumn("rank", rank).where(F.col("rank") <= size)
+        shown = F.col("_short")
     if mark:
         marked = F.lit(None).cast("string")
         for category, phrases in dictionary.categories.items():
