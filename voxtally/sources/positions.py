@@ -7,6 +7,8 @@ anything is joined or grouped.  No row is copied or moved for them.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,5 +76,30 @@ def assign_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
     return keyed.withColumn(name, key).select(*df.columns, name)
 
 
+def number_rows(df: DataFrame, name: str = "row_number") -> DataFrame:
+    """``df`` with the place of each row in the whole table: 0, 1, 2 and so on, files by their path and rows as they stand in them.
+
+    One narrow job counts the rows of each file, or of each block of a text file, whose sums are where the others
+    begin.  A table that was not read from files is numbered in the order of its tasks, from a checkpoint.
+    """
+    known = _known(df)
+    if "file_path" not in known:
+        df = cut_lineage(df)
+        path, block, row, first = F.lit(""), F.spark_partition_id().cast("long"), F.monotonically_increasing_id(), F.min("_row")
+    elif "row_index" in known:
+        # the index counts from the beginning of its file, so a file is one block
+        path, block, row, first = F.col("_metadata.file_path"), F.lit(0).cast("long"), F.col("_metadata.row_index"), F.lit(0).cast("long")
+    else:
+        path, block, row, first = F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id(), F.min("_row")
+    places = [path.alias("_file"), block.alias("_block"), row.alias("_row")]
+    counted = df.select(*places).groupBy("_file", "_block").agg(first.alias("_first"), F.count(F.lit(1)).alias("_n"))
+    found = sorted(tuple(r) for r in counted.collect())  # a row for each piece of the scan, which the driver listed
+    before = accumulate((n for _, _, _, n in found), initial=0)
+    starts = [(file, block, offset - first) for (file, block, first, _), offset in zip(found, before, strict=False)]
+    offsets = df.sparkSession.createDataFrame(starts, "_file string, _block bigint, _offset bigint")
+    numbered = df.select("*", *places).join(_sized(offsets), ["_file", "_block"])
+    return numbered.withColumn(name, F.col("_row") + F.col("_offset")).select(*df.columns, name)
+
+
 def _sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if measured_bytes(table) <= BROADCAST_BYTES else table
