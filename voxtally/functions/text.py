@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -120,27 +121,45 @@ def clean_review(column: Column, full_unicode: bool = True) -> Column:
     return strip_markup(text)
 
 
+def _spaced(token: str) -> str:
+    """``token`` with any separators around and between its characters."""
+    gap = f"(?:{fixed.MEANINGLESS_SEPARATORS})*+"
+    return gap + "".join(re.escape(char) + gap for char in token)
+
+
+# What holds a word in Latin letters, and two such words that differ, the first being the text's first
+_WORD = r"\b[a-zA-Z]+\b"
+_OTHER_WORD = r"(?Us)\A(?>.*?\b([a-zA-Z]+)\b).*?\b(?!\1\b)[a-zA-Z]+\b"
+
+
 def meaningless_reason(column: Column) -> Column:
-    """Why a text says nothing: the first of eight checks, or ``ok``."""
-    text = text_or_empty(column)
-    lowered = F.lower(strip(text))
-    bare = F.regexp_replace(lowered, fixed.MEANINGLESS_SEPARATORS, "")
-    chars = F.length(text)
-    digits = chars - F.length(F.regexp_replace(text, r"\p{Nd}", ""))
-    words = F.regexp_extract_all(text, F.lit(r"(?U)\b[a-zA-Z]+\b"), F.lit(0))
-
-    reason = F.when(lowered == "", F.lit("empty"))
-    reason = reason.when(bare.isin(fixed.MEANINGLESS_TOKENS), F.concat(F.lit("normalised="), bare))
-    for pattern in fixed.MEANINGLESS_PATTERNS:
-        reason = reason.when(lowered.rlike("(?iUd)" + pattern), F.lit("pattern=" + pattern))
-    return (
-        reason.when((chars == 1) & ~F.lower(text).isin("i", "a"), F.lit("single_char"))
-        .when(~text.rlike(r"[\p{L}\p{N}]"), F.lit("no_alnum"))
-        .when(~text.rlike(r"(?U)\b[a-zA-Z]+\b"), F.lit("no_words"))
-        .when((F.size(words) > 1) & (F.size(F.array_distinct(words)) == 1), F.lit("repeated_word"))
-        .when(digits / chars > 0.5, F.lit("mostly_numbers"))
-        .otherwise(F.lit("ok"))
-    )
+    """Why a text says nothing: the first of eight checks, or ``ok``.
+
+    A text that says something is found to after a few characters, not by parts of all of it: it differs from the
+    tokens at its beginning, and its second word from its first.
+    """
+    tokens = r"\A(?:" + "|".join(_spaced(token) for token in fixed.MEANINGLESS_TOKENS) + r")\z"
+
+    def reason_of(text: Column, lowered: Column) -> Column:
+        bare = F.regexp_replace(lowered, fixed.MEANINGLESS_SEPARATORS, "")
+        chars = F.length(text)
+        digits = chars - F.length(F.regexp_replace(text, r"\p{Nd}", ""))
+        words = F.regexp_extract_all(text, F.lit("(?U)" + _WORD), F.lit(0))
+
+        reason = F.when(lowered == "", F.lit("empty"))
+        reason = reason.when(lowered.rlike(tokens), F.concat(F.lit("normalised="), bare))
+        for pattern in fixed.MEANINGLESS_PATTERNS:
+            reason = reason.when(lowered.rlike("(?iUd)" + pattern), F.lit("pattern=" + pattern))
+        return (
+            reason.when((chars == 1) & ~F.lower(text).isin("i", "a"), F.lit("single_char"))
+            .when(~text.rlike(r"[\p{L}\p{N}]"), F.lit("no_alnum"))
+            .when(~text.rlike("(?U)" + _WORD), F.lit("no_words"))
+            .when(~text.rlike(_OTHER_WORD) & (F.size(words) > 1), F.lit("repeated_word"))
+            .when(digits / chars > 0.5, F.lit("mostly_numbers"))
+            .otherwise(F.lit("ok"))
+        )
+
+    return let(text_or_empty(column), lambda text: let(F.lower(strip(text)), lambda lowered: reason_of(text, lowered)))
 
 
 def is_meaningless(column: Column) -> Column:

@@ -69,7 +69,12 @@ def _forms() -> dict[str, str]:
 def _odd() -> str:
     """The class of characters that may have a form or combine: all but familiar ones that do neither."""
     harmless = {p for p in FAMILIAR if chr(p) not in _combining() and chr(p) not in _forms()}
-    return f"[^{_class(harmless)}]"
+    return _above(next(p for p in FAMILIAR if p not in harmless), f"^{_class(harmless)}")
+
+
+def _above(least: int, inside: str) -> str:
+    """A class of characters from ``least`` on: the many ranges are tried only for characters that pass this one comparison."""
+    return f"[\\x{{{least:x}}}-\\x{{10ffff}}&&[{inside}]]"
 
 
 @lru_cache(1)
@@ -114,5 +119,10 @@ def native_form(column: Column) -> Column:
 def needs_python(column: Column) -> Column:
     """Whether a text holds what only the whole algorithm resolves: combining characters, or entities that are not known."""
     known = phrase_regex((name[1:] for name in _entities()), exact=True)
-    unknown = F.contains(column, F.lit("&")) & column.rlike(f"&(?!{known})" + ENTITY[1:])
-    return unknown | (column.rlike(_odd()) & column.rlike(f"[{_class(map(ord, _combining()))}]"))
+    combining = _above(min(map(ord, _combining())), _class(map(ord, _combining())))
+
+    def asks(text: Column) -> Column:
+        unknown = F.contains(text, F.lit("&")) & text.rlike(f"&(?!{known})" + ENTITY[1:])
+        return unknown | (text.rlike(_odd()) & text.rlike(combining))
+
+    return let(column, asks)
