@@ -104,3 +104,17 @@ def test_group_counts_and_scores(spark):
     plain = rows_of(spark).select("k", keyword_group_score(F.col("t"), lowered, weights).alias("keyword"))
     assert scored.columns == ["k", "t", "keyword"]
     assert {r.k: r.keyword for r in scored.collect()} == {r.k: r.keyword for r in plain.collect()}
+
+
+def test_few_phrases_need_no_join(spark):
+    for few, plan_joins in ((PHRASES, False), ([*PHRASES, *(f"phrase {i}" for i in range(phrase_tables.FEW_PHRASES))], True)):
+        out = phrase_tables.with_phrases(rows_of(spark), "k", "t", table_of(spark, few))
+        assert ("Join" in out._jdf.queryExecution().executedPlan().toString()) == plan_joins
+        assert {r.k: r.phrases for r in out.collect()} == {k: contained(t, few) for k, t in enumerate(TEXTS)}
+
+
+def test_broadcast_counts_what_a_row_takes_in_memory(spark):
+    """Many short phrases are more memory than text, on the driver too."""
+    phrases = spark.range(3000).select(F.concat(F.lit("p"), F.col("id")).alias("phrase"))
+    out = phrase_tables.with_phrases(rows_of(spark), "k", "t", phrases, max_bytes=3000 * 60)
+    assert "strategy=broadcast" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -8,7 +8,7 @@ meets a phrase with which it does not share a run, and nothing is compared pair
 
 Runs of a text are sent without the text; candidates come back as one array per text, which holds no
 more than what its own runs are filed under.  The index is broadcast where its measured
-size allows.  A frequent run is a hot key of the join, which adaptive execution splits.
+size allows, and a table of few phrases becomes part of the plan.  A frequent run is a hot key of the join, which adaptive execution splits.
 
 Phrases are searched as substrings, ignoring case, as everywhere else.  Null and empty phrases match
 nothing, of phrases that differ in case only one remains (in lower case), and a null text contains nothing.
@@ -22,14 +22,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxtally.fixed_values import POSITIVE_OVERRIDES, REVIEW_GROUP_WEIGHTS
-from voxtally.functions.common import let, strip, text_or_empty
+from voxtally.functions.common import and_all, let, string_array, strip, text_or_empty
 from voxtally.functions.hybrid import group_mean
-from voxtally.functions.keywords import distinct_spellings
+from voxtally.functions.keywords import any_of, distinct_spellings
 from voxtally.operators.lookups import BROADCAST_BYTES, measured_bytes
+from voxtally.operators.polarity import LITERAL_BYTES
 from voxtally.session import cut_lineage
 
 #: Characters of a run; shorter phrases are filed under themselves.
 GRAM = 4
+#: Bytes that a row of a broadcast index takes beside its text: its fields, its place in the hash table and the table's spare places.
+ROW_BYTES = 96
+#: Phrases of a table that go into the plan as literals; a text is then searched where it is.
+FEW_PHRASES = 256
 #: Characters of a long text that are cut into runs at a time, as finding a place in a text takes time in proportion to the place.
 SLAB = 4096
 
@@ -39,9 +44,25 @@ def _runs(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
+def _known(phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
+    """Each distinct phrase in lower case."""
+    return phrases.select(F.lower(F.col(phrase).cast("string")).alias("phrase")).where(F.octet_length("phrase") > 0).distinct()
+
+
+def _few(phrases: DataFrame, max_bytes: int) -> list[str] | None:
+    """The phrases of a table of at most ``FEW_PHRASES``, ascending; none of a larger one, or where nothing may be broadcast."""
+    if max_bytes <= 0:
+        return None
+    rows = _known(phrases).limit(FEW_PHRASES + 1).select("phrase", F.octet_length("phrase").alias("size"))
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    if facts["n"] > FEW_PHRASES or facts["bytes"] > min(max_bytes, LITERAL_BYTES):
+        return None
+    return [row.phrase for row in _known(phrases).sort("phrase").collect()]
+
+
 def phrase_index(phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
     """``(gram, phrase)``: each distinct phrase in lower case, under the run that fewest phrases share."""
-    known = phrases.select(F.lower(F.col(phrase).cast("string")).alias("phrase")).where(F.octet_length("phrase") > 0).distinct()
+    known = _known(phrases, phrase)
     own = F.when(F.length("phrase") < GRAM, F.array("phrase")).otherwise(F.array_distinct(_runs(F.col("phrase"), GRAM)))
     filed = known.select("phrase", F.explode(own).alias("gram"))
     shared = filed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
@@ -69,12 +90,17 @@ def with_phrases(
     ``row_key`` names the columns that identify a row; ``phrases`` has a column ``phrase``.
     """
     keys = [row_key] if isinstance(row_key, str) else list(row_key)
+    empty = F.array().cast("array<string>")
+    few = _few(phrases, max_bytes)
+    if few is not None:
+        own = let(F.lower(text_or_empty(F.col(text))), lambda low: F.filter(string_array(few), lambda phrase: F.contains(low, phrase)))
+        # as in a join, a row without a key finds nothing
+        return df.withColumn(name, F.when(and_all([F.col(key).isNotNull() for key in keys]), own).otherwise(empty))
     index = cut_lineage(phrase_index(phrases))  # measured, then joined
     # sizes of the runs (GRAM at most) and bytes of the index, in one job
-    size = F.octet_length("gram") + F.octet_length("phrase") + 16
+    size = F.octet_length("gram") + F.octet_length("phrase") + ROW_BYTES
     facts = index.agg(F.collect_set(F.length("gram")).alias("sizes"), F.sum(size.cast("long")).alias("bytes")).first()
     sizes = sorted(facts["sizes"])
-    empty = F.array().cast("array<string>")
     if not sizes:
         return df.withColumn(name, empty)
     if facts["bytes"] <= max_bytes:
@@ -97,13 +123,8 @@ def keywords_by_table(
     The pattern of a row holds the phrases that its own text contains, longest first.
     """
 
-    def pattern(own: Column) -> Column:
-        ordered = F.array_sort(F.transform(own, lambda p: F.struct((-F.length(p)).alias("size"), p.alias("phrase"))))
-        quoted = F.transform(ordered, lambda p: F.concat(F.lit(r"\Q"), F.replace(p["phrase"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
-        return F.concat(F.lit("(?iU)"), F.array_join(quoted, "|"))
-
     matched = with_phrases(df, row_key, text, phrases, "_phrases", max_bytes)
-    hits = F.regexp_extract_all(text_or_empty(F.col(text)), pattern(F.col("_phrases")), F.lit(0))
+    hits = F.regexp_extract_all(text_or_empty(F.col(text)), any_of(F.col("_phrases")), F.lit(0))
     found = F.when(F.size("_phrases") > 0, let(hits, distinct_spellings))
     return matched.withColumn(name, F.coalesce(found, F.array().cast("array<string>"))).drop("_phrases")
 
