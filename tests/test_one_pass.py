@@ -54,3 +54,9 @@ def test_texts_send_only_words_that_a_small_lexicon_holds(spark):
     assert "filter(array_distinct" in hits._jdf.queryExecution().optimizedPlan().toString()
     inside = polarity.score_polarity(df, "k", "t", lexicon, Scorer()).select("k", "polarity").collect()
     assert sorted(inside) == sorted(polarity.polarity_by_join(df, "k", "t", lexicon, Scorer()).select("k", "polarity").collect())
+
+
+def test_repeated_keys_of_texts(spark):
+    df = spark.createDataFrame([(1, "good"), (1, "good")], "k int, t string")
+    lexicon = spark.createDataFrame([("good", 19)], "token string, valence_tenths int")
+    assert polarity.polarity_by_join(df, "k", "t", lexicon, Scorer()).count() == 2

@@ -25,14 +25,18 @@ def _unique(lexicon: DataFrame) -> DataFrame:
 def _known_words(df: DataFrame, row_key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """``(row_key, _hits)``: the valences of a text's own words, a map never larger than the text.
 
-    Each text sends its distinct words once.  Frequent words are hot keys of that join, which adaptive
-    execution splits.
+    Each text sends its distinct words once, and where the tokens fit into the plan only those that the lexicon
+    holds.  Frequent words are hot keys of that join, which adaptive execution splits.
     """
-    words = df.select(
-        row_key, F.explode_outer(F.array_distinct(F.transform(words_of(text_or_empty(F.col(text))), F.lower))).alias("token")
-    ).where(F.col("token").isNotNull())
-    found = words.join(_unique(lexicon), "token").groupBy(row_key)
-    return found.agg(F.map_from_entries(F.collect_list(F.struct("token", "valence_tenths"))).alias("_hits"))
+    own, unique = F.array_distinct(F.transform(words_of(text_or_empty(F.col(text))), F.lower)), _unique(lexicon)
+    size = measured_bytes(unique)
+    if size <= LITERAL_BYTES:
+        tokens = dict.fromkeys((r.token for r in unique.select("token").collect()), 0)  # LITERAL_BYTES
+        known = word_lookup(Scorer(tokens, (), (), ()))
+        own = F.filter(own, lambda word: known(word).isNotNull())
+    words = df.select(row_key, F.explode(own).alias("token"))
+    found = words.join(F.broadcast(unique) if size <= BROADCAST_BYTES // 4 else unique, "token").groupBy(row_key)
+    return found.agg(F.map_from_entries(F.collect_set(F.struct("token", "valence_tenths"))).alias("_hits"))
 
 
 def _joined_lookup(scorer: Scorer) -> Callable[[Column], Column]:
