@@ -49,17 +49,6 @@ def _known(phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
     return phrases.select(F.lower(F.col(phrase).cast("string")).alias("phrase")).where(F.octet_length("phrase") > 0).distinct()
 
 
-def _few(phrases: DataFrame, max_bytes: int) -> list[str] | None:
-    """The phrases of a table of at most ``FEW_PHRASES``, ascending; none of a larger one, or where nothing may be broadcast."""
-    if max_bytes <= 0:
-        return None
-    rows = _known(phrases).limit(FEW_PHRASES + 1).select("phrase", F.octet_length("phrase").alias("size"))
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    if facts["n"] > FEW_PHRASES or facts["bytes"] > min(max_bytes, LITERAL_BYTES):
-        return None
-    return [row.phrase for row in _known(phrases).sort("phrase").collect()]
-
-
 def phrase_index(phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
     """``(gram, phrase)``: each distinct phrase in lower case, under the run that fewest phrases share."""
     known = _known(phrases, phrase)
@@ -91,18 +80,18 @@ def with_phrases(
     """
     keys = [row_key] if isinstance(row_key, str) else list(row_key)
     empty = F.array().cast("array<string>")
-    few = _few(phrases, max_bytes)
-    if few is not None:
-        own = let(F.lower(text_or_empty(F.col(text))), lambda low: F.filter(string_array(few), lambda phrase: F.contains(low, phrase)))
-        # as in a join, a row without a key finds nothing
-        return df.withColumn(name, F.when(and_all([F.col(key).isNotNull() for key in keys]), own).otherwise(empty))
     index = cut_lineage(phrase_index(phrases))  # measured, then joined
-    # sizes of the runs (GRAM at most) and bytes of the index, in one job
+    # sizes of the runs (GRAM at most), number of phrases and bytes of the index, in one job
     size = F.octet_length("gram") + F.octet_length("phrase") + ROW_BYTES
-    facts = index.agg(F.collect_set(F.length("gram")).alias("sizes"), F.sum(size.cast("long")).alias("bytes")).first()
+    facts = index.agg(F.collect_set(F.length("gram")).alias("sizes"), F.count(F.lit(1)).alias("n"), F.sum(size.cast("long")).alias("bytes")).first()
     sizes = sorted(facts["sizes"])
     if not sizes:
         return df.withColumn(name, empty)
+    if facts["n"] <= FEW_PHRASES and facts["bytes"] <= min(max_bytes, LITERAL_BYTES):
+        few = [row.phrase for row in index.select("phrase").sort("phrase").collect()]
+        own = let(F.lower(text_or_empty(F.col(text))), lambda low: F.filter(string_array(few), lambda phrase: F.contains(low, phrase)))
+        # as in a join, a row without a key finds nothing
+        return df.withColumn(name, F.when(and_all([F.col(key).isNotNull() for key in keys]), own).otherwise(empty))
     if facts["bytes"] <= max_bytes:
         index = F.broadcast(index)
     found = _text_runs(df, keys, text, sizes).join(index, "gram")
