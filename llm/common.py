@@ -35,6 +35,12 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table or folder that was written by ``stored`` and that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)  # the file system that Spark wrote with
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI or absolute path, and the path in it."""
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)

@@ -30,7 +30,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import arrow_strings, blocks, ragged, shared_folder, stored
+from llm.common import arrow_strings, blocks, discard, ragged, shared_folder, stored
 from llm.pretokens import hashed, mixed
 from llm.slots import has, slot_maps, slot_bits, slots_of
 from llm.words import word_hashes, word_spans
@@ -138,16 +138,17 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             yield pa.RecordBatch.from_arrays([*columns, pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(found.view(np.int64))], ["id", "tie", "place", "size", "h"])
 
     kind = source.schema["id"].dataType.simpleString()
-    spans = stored(source.mapInArrow(send, f"id {kind}, tie bigint, place int, size int, h bigint"), folder, "spans")
+    spans = stored(source.mapInArrow(send, f"id {kind}, tie bigint, place int, size int, h bigint"), f"{folder}/work", "spans")
     known.destroy()
     at = F.struct(F.col("id").isNotNull().alias("named"), "id", "tie", "place")
     first = spans.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("NOT (first <=> last)").select("h", "first")
     # stored, so that the rows of one frequent hash are not bound to one task of the join
-    first = stored(first, folder, "first")
+    first = stored(first, f"{folder}/work", "first")
     later = spans.join(first, "h").where(~at.eqNullSafe(F.col("first"))).select("id", "tie", F.explode(F.sequence("place", F.col("place") + F.col("size") - 1)).alias("unit"))
     # a document's own units at most
     drop = later.groupBy("id", "tie").agg(F.collect_set("unit").alias("units"))
     drop = stored(drop.withColumnsRenamed({"id": "drop_id", "tie": "drop_tie"}), folder, "drop")
+    discard(spark, f"{folder}/work")
     names = docs.columns
     held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     which, what = names.index(id_column), names.index(text_column)

@@ -29,7 +29,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import arrow_strings, blocks, shared_folder, stored
+from llm.common import arrow_strings, blocks, discard, shared_folder, stored
 from llm.components import components
 from llm.pretokens import mixed
 from llm.slots import has, slot_bits, slot_maps, slots_of
@@ -210,19 +210,23 @@ def _links_apart(posted: DataFrame, sets: DataFrame, named: DataFrame, apart: Da
 
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5) -> DataFrame:
     """``id_column, n_shingles, component_id`` of each row: its set's size and the smallest id reachable by links."""
-    folder = shared_folder(docs.sparkSession, "jaccard")
+    spark = docs.sparkSession
+    shared = shared_folder(spark, "jaccard")
+    folder = f"{shared}/work"  # gone when the labels are known
     texts = docs.select(F.col(f"`{id_column}`").alias("row_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     bits = slot_bits(texts)
-    maps = docs.sparkSession.sparkContext.broadcast(slot_maps(texts, bits, lambda data, offsets: shingle_sets(data, offsets, size)[0]))
+    maps = spark.sparkContext.broadcast(slot_maps(texts, bits, lambda data, offsets: shingle_sets(data, offsets, size)[0]))
     rows = stored(prefixes(texts, maps, bits, size), folder, "rows")
     maps.destroy()
     # one row for each set that may meet another
     sets = rows.where("held IS NOT NULL").select("node", "n", "grp", "tokens", "held", "sketch", "rare").dropDuplicates(["node"])
     sets = stored(sets, folder, "sets")
+    ids = stored(rows.select("row_id", "n", "node"), shared, "ids")
+    discard(spark, f"{folder}/rows.parquet")  # the sets a second time
     nodes = sets.select("node", "grp", "n", "rare")
     groups = sets.dropDuplicates(["grp"]).select("grp", F.explode("tokens").alias("token"))
-    shared = groups.groupBy("token").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least < most").select("token")
-    posted = stored(groups.join(shared, "token").select("token", "grp"), folder, "tokens")
+    several = groups.groupBy("token").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least < most").select("token")
+    posted = stored(groups.join(several, "token").select("token", "grp"), folder, "tokens")
     links = None
     labels = nodes.select("node", F.col("node").alias("label")).limit(0)
     for turn in range(ROUNDS + 1):
@@ -246,7 +250,9 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
         found = verified(stored(pairs, folder, f"pairs-{turn}"), sets, folder, f"links-{turn}")
         links = found if links is None else links.union(found)
         labels = stored(components(links, folder, f"stars-{turn}"), folder, f"labels-{turn}")
-    known = rows.select("row_id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labels = stored(labels, shared, "labels")
+    discard(spark, folder)
+    known = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = known.where("label IS NOT NULL").groupBy("label").agg(F.min("row_id").alias("least"))
     out = known.join(least, "label", "left")
     return out.select(F.col("row_id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("least", "row_id").alias("component_id"))

@@ -98,6 +98,20 @@ def test_similar_documents(spark, docs, texts, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows) == plain_components([*texts, *chain])
 
 
+def held_in(folder):
+    return sorted(str(f.relative_to(folder)).split("/")[0] for f in folder.rglob("*.parquet") if f.is_dir())
+
+
+def test_sets_and_spans_do_not_stay_on_disk(docs, tmp_path, monkeypatch):
+    """Sets of shingles and rows of spans are about as large as the texts; what is left is read by the result."""
+    monkeypatch.setattr(op8_jaccard_join, "shared_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    monkeypatch.setattr(op5_sentence_spans, "shared_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    similar, passages = op8_jaccard_join.similar_documents(docs), op5_sentence_spans.without_repeats(docs)
+    assert held_in(tmp_path / "jaccard") == ["ids.parquet", "labels.parquet"]
+    assert held_in(tmp_path / "spans") == ["drop.parquet"]
+    assert similar.count() == passages.count() == docs.count()
+
+
 def test_similar_documents_of_an_empty_table(no_docs):
     assert op8_jaccard_join.similar_documents(no_docs).count() == 0
 
