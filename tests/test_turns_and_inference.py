@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from voxtally.operators import inference, turns
 
@@ -66,6 +67,22 @@ def test_evenly_spaced_over_repeated_keys(spark, monkeypatch):
     assert len({r["t"] for r in got}) == len(got) == 8
 
 
+def test_texts_to_sample_are_computed_once_and_for_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(inference, "SMALL_BUCKET", 50)
+    monkeypatch.setattr(inference, "BUCKETS", 16)
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(k):
+        calls.add(1)
+        return None if k % 2 else f"text {k}"
+
+    df = spark.range(2000).repartition(4).select(F.col("id").alias("k"), told("id").alias("t"))
+    got = inference.evenly_spaced(df, "k", among=F.col("t").isNotNull()).collect()
+    assert {r["sample_position"]: (r["k"], r["t"]) for r in got} == {i: (2 * (i * 999 // 7), f"text {2 * (i * 999 // 7)}") for i in range(8)}
+    assert calls.value <= 2 * 2000  # twice in the pass for the keys at most, and for the rows found
+
+
 def test_text_and_id_columns(spark):
     rows = [(i, i % 3, f"some longer text number {i}", "x") for i in range(10)]
     df = spark.createDataFrame(rows, "a int, b int, words string, s string")

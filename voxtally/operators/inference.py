@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from voxtally import fixed_values as fixed
+from voxtally.session import shared_path
 
 APPROXIMATION = 0.02
 BUCKETS = 4096
@@ -71,14 +72,19 @@ def infer_id_column(df: DataFrame, text_column: str, names: Sequence[str] = fixe
     return None
 
 
-def evenly_spaced(df: DataFrame, order: str, size: int = 8) -> DataFrame:
-    """At most ``size`` rows at even distances in the order of a whole-number key.
+def evenly_spaced(df: DataFrame, order: str, size: int = 8, among: Column | None = None) -> DataFrame:
+    """At most ``size`` rows at even distances in the order of a whole-number key, of those ``among`` holds for.
 
-    The rows are found by counting keys in buckets and looking closer only into
+    The keys are stored once, so that ``among`` is not computed for each count.
+    Wanted keys are found by counting them in buckets and looking closer only into
     the buckets that hold a wanted position: no global sort and no single-task
-    window over the table.  Adds ``sample_position`` from 0.
+    window over the table.  One more scan fetches their rows, by key
+    before anything else is computed of them.  Adds ``sample_position`` from 0.
     """
-    keys = df.select(F.col(order).cast("long").alias("_k")).where(F.col("_k").isNotNull())
+    path = shared_path(df.sparkSession, "sample-keys")
+    among = F.lit(True) if among is None else among
+    df.where(among).select(F.col(order).cast("long").alias("_k")).where(F.col("_k").isNotNull()).write.parquet(path)
+    keys = df.sparkSession.read.schema("_k long").parquet(path)
     bounds = keys.agg(F.count("*").alias("n"), F.min("_k").alias("lo"), F.max("_k").alias("hi")).first()
     if not bounds["n"]:
         return df.withColumn("sample_position", F.lit(None).cast("int")).limit(0)
@@ -91,39 +97,47 @@ def evenly_spaced(df: DataFrame, order: str, size: int = 8) -> DataFrame:
         ranges = _closer(keys, ranges)
 
     # rows of one key are alike in order: any of them will do, and no task needs to see them all
-    parts = [_any_rows(df, order, lo, [wanted.index(t) for t in targets]) for lo, hi, _, _, targets in ranges if lo == hi]
-    narrow = [r for r in ranges if r[0] < r[1]]
+    hot = [r for r in ranges if r[3] > SMALL_BUCKET]
+    parts = [_any_rows(df, order, lo, among, [wanted.index(t) for t in targets]) for lo, _, _, _, targets in hot]
+    narrow = [r for r in ranges if r[3] <= SMALL_BUCKET]
     if narrow:
-        parts.append(_ranked_rows(df, order, narrow, wanted))
+        parts.append(_rows_of_keys(df, order, among, _ranked_keys(keys, narrow, wanted)))
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
     return out
 
 
-def _any_rows(df: DataFrame, order: str, key: int, positions: list[int]) -> DataFrame:
+def _any_rows(df: DataFrame, order: str, key: int, among: Column, positions: list[int]) -> DataFrame:
     """As many rows of this key as there are positions."""
-    few = df.where(F.col(order) == key).limit(len(positions))
+    few = df.where(F.col(order) == key).where(among).limit(len(positions))
     place = F.row_number().over(Window.partitionBy().orderBy(order))
     return few.withColumn("sample_position", F.element_at(F.array(*[F.lit(p) for p in positions]), place))
 
 
-def _ranked_rows(df: DataFrame, order: str, ranges: list, wanted: list[int]) -> DataFrame:
-    """The rows at the wanted positions of ranges of at most ``SMALL_BUCKET`` rows, ranked within each range."""
+def _ranked_keys(keys: DataFrame, ranges: list, wanted: list[int]) -> dict[int, list[int]]:
+    """The keys at the wanted positions of ranges of at most ``SMALL_BUCKET`` rows, ranked within each range, with their positions."""
     bucket, start = F.lit(None).cast("int"), F.lit(None).cast("long")
     for i, (lo, hi, before, _, _) in enumerate(ranges):
-        within = F.col(order).between(lo, hi)
+        within = F.col("_k").between(lo, hi)
         bucket, start = F.when(within, F.lit(i)).otherwise(bucket), F.when(within, F.lit(before)).otherwise(start)
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(order)) - 1 + F.col("_start")
-    position = F.array_position(F.array(*[F.lit(w).cast("long") for w in wanted]), F.col("_rank").cast("long")) - 1
-    return (
-        df.withColumns({"_bucket": bucket, "_start": start})
-        .where(F.col("_bucket").isNotNull())
-        .withColumn("_rank", rank)
-        .withColumn("sample_position", position.cast("int"))
-        .where(F.col("sample_position") >= 0)
-        .drop("_bucket", "_start", "_rank")
-    )
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_k")) - 1 + F.col("_start")
+    ranked = keys.withColumns({"_bucket": bucket, "_start": start}).where(F.col("_bucket").isNotNull()).withColumn("_rank", rank)
+    found: dict[int, list[int]] = {}
+    for row in ranked.where(F.col("_rank").isin(wanted)).orderBy("_rank").collect():  # a row for each wanted position
+        found.setdefault(row["_k"], []).append(wanted.index(row["_rank"]))
+    return found
+
+
+def _rows_of_keys(df: DataFrame, order: str, among: Column, found: dict[int, list[int]]) -> DataFrame:
+    """As many rows of each key as it has positions."""
+    key = F.col(order).cast("long")
+    place = F.row_number().over(Window.partitionBy(order).orderBy(order))
+    position = F.lit(None).cast("int")
+    for k, positions in found.items():
+        position = F.when(key == k, F.get(F.array(*[F.lit(p) for p in positions]), F.col("_place") - 1)).otherwise(position)
+    few = df.where(key.isin(list(found))).where(among).withColumn("_place", place).where(F.col("_place") <= max(map(len, found.values())))
+    return few.withColumn("sample_position", position).where(F.col("sample_position").isNotNull()).drop("_place")
 
 
 def _closer(keys: DataFrame, ranges: list) -> list:
@@ -172,8 +186,8 @@ def format_of(sample: Column) -> Column:
 
 def detect_format(df: DataFrame, text_column: str, order: str) -> DataFrame:
     """One row ``(profile)`` from at most eight evenly spaced texts."""
-    present = df.where(F.col(text_column).isNotNull()).select(order, F.col(text_column).alias("_t"))
-    sample = evenly_spaced(present, order).agg(
+    texts = df.select(order, F.col(text_column).alias("_t"))
+    sample = evenly_spaced(texts, order, among=F.col("_t").isNotNull()).agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("sample_position", "_t"))), lambda s: s["_t"]
