@@ -8,10 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxtally import fixed_values as fixed
-from voxtally.functions.common import WHITE_SPACE_RUN, let, string_array, strip, text_or_empty
+from voxtally.functions.common import WHITE_SPACE_RUN, and_all, let, or_all, string_array, strip, text_or_empty
 from voxtally.rules import phrase_regex
 
 
+#: Fixed value: more words than these make a long text.
+LONG_TEXT = 20
+
+
 def in_one_line(steps: Sequence[Sequence[str]]) -> str:
     """A pattern for a word of each step, one after the other, in one line.
 
@@ -45,7 +49,9 @@ def group_mean(
     """``struct<kw_score, kw_total>`` from the number of phrases found of each weighted group and the overrides of the text."""
     override = F.lit(False)
     for steps in overrides:
-        override = override | lowered.rlike(in_one_line(steps))
+        # plain searches for a word of each step, in any order, rule most texts out before the pattern runs
+        held = and_all([or_all([F.contains(lowered, F.lit(w.lower())) for w in words]) for words in steps])
+        override = override | (held & lowered.rlike(in_one_line(steps)))
     values = [*weights.values(), fixed.POSITIVE_OVERRIDE_WEIGHT]
 
     def mean(c: Column) -> Column:
@@ -70,7 +76,8 @@ def hybrid_score(text: Column, parts: Column, keyword: Column) -> Column:
     ``keyword_group_score``.  Two of the four scorers are half the lexicon score,
     which is what they are when no further scorer is at hand.
     """
-    words = F.size(F.filter(F.split(text, WHITE_SPACE_RUN), lambda w: w != ""))
+    # only as many words as tell a short text from a long one, the first and the last piece being empty perhaps
+    words = F.size(F.filter(F.split(text, WHITE_SPACE_RUN, LONG_TEXT + 3), lambda w: w != ""))
 
     # Base weights and their adjustments, (lexicon, second, third, keywords)
     base = (0.40, 0.20, 0.20, 0.20)
@@ -92,7 +99,7 @@ def hybrid_score(text: Column, parts: Column, keyword: Column) -> Column:
                 .when(f["kw_total"] >= 1, F.lit(some_keywords[i]))
                 .otherwise(F.lit(0.0))
                 + part(f["words"] <= 5, short_text)
-                + part(f["words"] > 20, long_text)
+                + part(f["words"] > LONG_TEXT, long_text)
             )
 
         lexicon = f["compound"] * 10.0

@@ -156,18 +156,24 @@ def sentence_chunks(column: Column, size: int = CHUNK_SIZE) -> Column:
 
 def words_of(chunk: Column) -> Column:
     """Words split at white space; marks around a word of more than two characters go."""
-    raw = F.filter(F.split(chunk, WHITE_SPACE_RUN), lambda w: w != "")
+    raw = F.array_remove(F.split(chunk, WHITE_SPACE_RUN), "")
 
-    def bare(words: Column) -> Column:
-        trimmed = F.transform(words, lambda w: F.btrim(w, F.lit(PUNCTUATION)))
-        return F.zip_with(words, trimmed, lambda w, s: F.when(F.length(s) <= 2, w).otherwise(s))
+    def bare(word: Column) -> Column:
+        trimmed = F.btrim(word, F.lit(PUNCTUATION))
+        # trimming costs more than everything else about a word, so the ends are looked at first
+        marked = _starts_with_mark(word) | _starts_with_mark(F.substring(word, -1, 1))
+        return F.when(marked & (F.length(trimmed) > 2), trimmed).otherwise(word)
 
-    return let(raw, bare)
+    return F.transform(raw, bare)
+
+
+def _starts_with_mark(word: Column) -> Column:
+    return F.ascii(word).isin([ord(mark) for mark in PUNCTUATION])
 
 
 def _emphasis(chunk: Column) -> Column:
     def count(mark: str) -> Column:
-        return F.length(chunk) - F.length(F.replace(chunk, F.lit(mark), F.lit("")))
+        return F.octet_length(chunk) - F.octet_length(F.replace(chunk, F.lit(mark), F.lit("")))
 
     def for_questions(n: Column) -> Column:
         return F.when(n <= 1, F.lit(0.0)).when(n <= 3, n * QUESTION).otherwise(F.lit(MANY_QUESTIONS))
@@ -175,72 +181,65 @@ def _emphasis(chunk: Column) -> Column:
     return F.least(count("!"), F.lit(4)) * EXCLAMATION + let(count("?"), for_questions)
 
 
-def _valences(words: Column, scorer: Scorer, lookup) -> Column:
-    """The valence of each word after its neighbours have had their say."""
+def _is_capital(word: Column) -> Column:
+    small = F.ascii(word).between(ord("a"), ord("z"))
+    return ~small & (F.lower(word) != word) & (F.upper(word) == word)
 
-    def profile(word: Column) -> Column:
-        return let(
-            F.lower(word),
-            lambda low: F.struct(
-                lookup(low).alias("known"),
-                F.contains(low, F.lit("n't")).alias("contracted"),
-                ((low != word) & (F.upper(word) == word)).alias("capital"),
-                (low == scorer.contrast).alias("contrast"),
-            ),
-        )
 
-    def scored(facts: Column) -> Column:
-        capitals = F.size(F.filter(facts, lambda f: f["capital"]))
+def _valences(words: Column, scorer: Scorer, lookup) -> Column:
+    """The valences, in order, of those words that have one, after their neighbours have had their say.
 
+    All other words count as 0.  They are looked up and left alone: what a step makes of a word is
+    copied, so nothing but the word itself and what is known of it is kept for each of them.
+    """
+
+    def of_known(words: Column, lowered: Column, known: Column) -> Column:
         def with_setting(setting: Column) -> Column:
-            def one(fact: Column, position: Column) -> Column:
+            def loudness(position: Column, negative: Column) -> Column:
+                capital = setting["mixed"] & _is_capital(F.get(words, position))
+                return F.when(capital, F.when(negative, F.lit(-CAPITALS)).otherwise(F.lit(CAPITALS))).otherwise(F.lit(0.0))
+
+            def one(position: Column) -> Column:
                 def step(valence: Column, back: Column) -> Column:
-                    def apply(before: Column) -> Column:
-                        sign = F.when(valence < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-                        loud = F.when(
-                            before["capital"] & setting["mixed"],
-                            F.when(valence > 0, F.lit(CAPITALS)).otherwise(F.lit(-CAPITALS)),
-                        ).otherwise(F.lit(0.0))
-                        damping = (
-                            F.when(back == 1, F.lit(DAMPING[0]))
-                            .when(back == 2, F.lit(DAMPING[1]))
-                            .otherwise(F.lit(DAMPING[2]))
-                        )
-                        boosted = valence + F.coalesce((before["known"]["boost"] * sign + loud) * damping, F.lit(0.0))
-                        negates = before["contracted"] | F.coalesce(before["known"]["negates"], F.lit(False))
-                        return F.when(negates, boosted * NEGATION).otherwise(boosted)
-
-                    before = F.get(facts, position - back)
-                    return F.when(before.isNull() | before["known"]["tenths"].isNotNull(), valence).otherwise(
-                        let(before, apply)
+                    place = position - back
+                    before, word = F.get(known, place), F.get(lowered, place)
+                    damping = (
+                        F.when(back == 1, F.lit(DAMPING[0])).when(back == 2, F.lit(DAMPING[1])).otherwise(F.lit(DAMPING[2]))
+                    )
+                    sign = F.when(valence < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+                    boosted = valence + (before["boost"] * sign + loudness(place, valence <= 0)) * damping
+                    negates = F.contains(word, F.lit("n't")) | F.coalesce(before["negates"], F.lit(False))
+                    return (
+                        F.when((place < 0) | before["tenths"].isNotNull(), valence)
+                        .when(before["boost"].isNotNull(), F.when(negates, boosted * NEGATION).otherwise(boosted))
+                        .when(negates, valence * NEGATION)
+                        .otherwise(valence)
                     )
 
-                plain = fact["known"]["tenths"] / 10.0
-                loud = F.when(
-                    fact["capital"] & setting["mixed"],
-                    F.when(plain > 0, plain + CAPITALS).otherwise(plain - CAPITALS),
-                ).otherwise(plain)
-                silent = fact["known"]["tenths"].isNull() | fact["known"]["boost"].isNotNull()
-                value = F.when(silent, F.lit(0.0)).otherwise(
-                    F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), loud, step)
-                )
+                plain = F.get(known, position)["tenths"] / 10.0
+                loud = plain + loudness(position, plain <= 0)
                 turn = (
                     F.when(setting["turn"] == 0, F.lit(1.0))
                     .when(position + 1 < setting["turn"], F.lit(BEFORE_CONTRAST))
                     .when(position + 1 > setting["turn"], F.lit(AFTER_CONTRAST))
                     .otherwise(F.lit(1.0))
                 )
-                return value * turn
+                return F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), loud, step) * turn
 
-            return F.transform(facts, one)
+            return F.transform(setting["places"], one)
 
+        own = F.transform(known, lambda k, i: F.when(k["tenths"].isNotNull() & k["boost"].isNull(), i))
         setting = F.struct(
-            ((capitals > 0) & (capitals < F.size(facts))).alias("mixed"),
-            F.array_position(F.transform(facts, lambda f: f["contrast"]), F.lit(True)).alias("turn"),
+            (F.exists(words, _is_capital) & F.exists(words, lambda w: ~_is_capital(w))).alias("mixed"),
+            F.array_position(lowered, F.lit(scorer.contrast)).alias("turn"),
+            F.array_compact(own).alias("places"),
         )
         return let(setting, with_setting)
 
-    return let(F.transform(words, profile), scored)
+    def of_words(own: Column) -> Column:
+        return let(F.transform(own, F.lower), lambda low: let(F.transform(low, lookup), lambda known: of_known(own, low, known)))
+
+    return let(words, of_words)
 
 
 def _plus(a: Column, b: Column) -> Column:
@@ -282,7 +281,7 @@ def polarity_parts(column: Column, scorer: Scorer, lookup=None) -> Column:
     lookup = lookup or word_lookup(scorer)
     text = text_or_empty(column)
 
-    def parts(valences: Column) -> Column:
+    def parts(words: Column, valences: Column) -> Column:
         def side(keep, value) -> Column:
             return F.aggregate(F.transform(F.filter(valences, keep), value), F.lit(0.0), _plus)
 
@@ -290,7 +289,7 @@ def polarity_parts(column: Column, scorer: Scorer, lookup=None) -> Column:
             F.aggregate(valences, F.lit(0.0), _plus).alias("total"),
             side(lambda v: v > 0, lambda v: v + 1.0).alias("pos"),
             side(lambda v: v < 0, lambda v: 1.0 - v).alias("neg"),
-            F.size(F.filter(valences, lambda v: v == 0)).cast("double").alias("neu"),
+            (F.size(words) - F.size(F.filter(valences, lambda v: v != 0))).cast("double").alias("neu"),
             _emphasis(text).alias("emphasis"),
         )
 
@@ -305,4 +304,6 @@ def polarity_parts(column: Column, scorer: Scorer, lookup=None) -> Column:
         return let(sums, shares)
 
     nothing = F.struct(F.lit(0.0).alias("compound"), F.lit(0.0).alias("strongest"))
-    return F.when(strip(text) == "", nothing).otherwise(let(_valences(words_of(text), scorer, lookup), parts))
+    return F.when(strip(text) == "", nothing).otherwise(
+        let(words_of(text), lambda words: let(_valences(words, scorer, lookup), lambda valences: parts(words, valences)))
+    )
