@@ -15,6 +15,8 @@ WHITE_SPACE = (
 )
 # the same characters as a pattern; the class of Unicode white space is much faster than a list
 WHITE_SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+# the same runs but for single spaces
+UNEVEN_SPACE = r"(?U) [\s\x1c-\x1f]+|[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -36,7 +38,7 @@ def strip(column: Column) -> Column:
 
 def squeeze(column: Column) -> Column:
     """Runs of white space become one space; none is left at the ends."""
-    return strip(F.regexp_replace(column, WHITE_SPACE_RUN, " "))
+    return strip(F.regexp_replace(column, UNEVEN_SPACE, " "))
 
 
 def is_blank(column: Column) -> Column:

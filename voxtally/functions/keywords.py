@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxtally.functions.common import let, text_or_empty
-from voxtally.rules import Dictionary, phrase_regex
+from voxtally.rules import Dictionary, any_case
 
 
 #: Letters that a pattern without case takes for an ASCII letter: dotted capital i, dotless i, long s, Kelvin sign.
@@ -60,7 +60,7 @@ def _folded(phrase: str) -> str:
 
 def _starts(text: Column, phrases: Sequence[str]) -> Column:
     """The longest phrase that starts at each position, overlapping or not: each once, folded."""
-    pattern = "(?iU)(?=(" + phrase_regex(phrases) + "))"
+    pattern = "(?iU)(?=(" + any_case(phrases) + "))"
     starts = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     # characters that match an ASCII letter in any case, but are not lowered to it
     return F.array_distinct(F.transform(starts, lambda p: F.lower(F.translate(p, *LETTERS_LIKE_ASCII))))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from voxtally import fixed_values as fixed
 from voxtally.functions.common import let, squeeze, strip, text_or_empty
 from voxtally.functions.unicode import native_form, needs_python
-from voxtally.rules import phrase_regex
+from voxtally.rules import any_case
 
 
 def normalise_id(column: Column) -> Column:
@@ -27,7 +27,7 @@ def clean_boilerplate(column: Column, phrases: Sequence[str] = fixed.AGENT_REQUE
     """Remove requests for an agent; what is left counts from 5 characters and 2 words."""
     text = text_or_empty(column)
     if phrases:
-        text = F.regexp_replace(text, "(?iU)" + phrase_regex(phrases), "")
+        text = F.regexp_replace(text, "(?iU)" + any_case(phrases), "")
 
 
     def long_enough(squeezed: Column) -> Column:
@@ -40,7 +40,7 @@ def strip_names(column: Column, names: Sequence[str]) -> Column:
     """Delete names wherever they occur, the longest first."""
     text = text_or_empty(column)
     if names:
-        text = F.regexp_replace(text, "(?iU)" + phrase_regex(names), "")
+        text = F.regexp_replace(text, "(?iU)" + any_case(names), "")
     return squeeze(text)
 
 
@@ -204,4 +204,4 @@ def shorten(column: Column, limit: int) -> Column:
 def highlight(column: Column, phrases: Sequence[str], mark: str = "**") -> Column:
     if not phrases:
         return column
-    return F.regexp_replace(column, "(?iU)" + phrase_regex(phrases), f"{mark}$0{mark}")
+    return F.regexp_replace(column, "(?iU)" + any_case(phrases), f"{mark}$0{mark}")

@@ -19,6 +19,10 @@ from voxtally import fixed_values as fixed
 MAX_RULE_ROWS = 20_000
 #: Branches of a pattern that stand behind one look-ahead; six were fastest, as measured.
 GROUP = 6
+#: Characters of a phrase that are looked at before its pattern is tried.
+GUARDED = 2
+#: Characters outside ASCII that match an ASCII letter in any case: dotted capital i, dotless i, long s, Kelvin sign.
+LETTERS_OF_ASCII = {"\u0130", "\u0131", "\u017f", "\u212a"}
 _SPECIAL = set("\\.^$|?*+()[]{}-/#&~ ")
 
 
@@ -59,6 +63,31 @@ def phrase_regex(phrases: Iterable[str], exact: bool = False) -> str:
     return render(tree)
 
 
+def _guard(phrases: Iterable[str]) -> str:
+    """A look-ahead that lets pass every place where a phrase can begin, whatever the case, and few others.
+
+    It holds the first characters against plain classes, a look into a table each, where letters of any
+    case are folded one by one.  A character outside ASCII always passes: some are ASCII letters in another case.
+    """
+    lowered = [p.lower() for p in phrases]
+    if len({p[:1] for p in lowered}) >= 2 * GROUP:
+        return ""  # nearly every place would pass, and the tree has look-aheads of its own
+    classes = []
+    for place in range(min((len(p) for p in lowered), default=0)):
+        held = {p[place] for p in lowered}
+        if place == GUARDED or held & LETTERS_OF_ASCII:
+            break
+        both = sorted({v for c in held if c.isascii() for v in (c, c.upper())})
+        classes.append("[" + "".join(_escape(c) for c in both) + r"\x{80}-\x{10FFFF}]")
+    return f"(?-i:(?={''.join(classes)}))" if classes else ""
+
+
+def any_case(phrases: Iterable[str]) -> str:
+    """``phrase_regex`` behind a look-ahead for its first characters, for a pattern under ``(?iU)``."""
+    listed = list(phrases)
+    return _guard(listed) + phrase_regex(listed)
+
+
 @dataclass(frozen=True)
 class Phrases:
     """A set of phrases searched as substrings, and of words searched whole."""
@@ -79,7 +108,7 @@ class Phrases:
     def regex(self) -> str:
         parts = []
         if self.phrases:
-            parts.append(phrase_regex(self.phrases))
+            parts.append(any_case(self.phrases))
         if self.words:
             parts.append(r"\b" + f"(?:{phrase_regex(self.words)})" + r"\b")
         return "(?iU)" + "|".join(parts)
@@ -178,7 +207,7 @@ class Dictionary:
 
     @property
     def regex(self) -> str:
-        return "(?iU)" + phrase_regex(self.phrases)
+        return "(?iU)" + any_case(self.phrases)
 
 
 @dataclass(frozen=True)
