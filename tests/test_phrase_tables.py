@@ -118,3 +118,18 @@ def test_broadcast_counts_what_a_row_takes_in_memory(spark):
     phrases = spark.range(3000).select(F.concat(F.lit("p"), F.col("id")).alias("phrase"))
     out = phrase_tables.with_phrases(rows_of(spark), "k", "t", phrases, max_bytes=3000 * 60)
     assert "strategy=broadcast" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_tables_are_cut_down_before_they_are_filed(spark):
+    """Of many phrases only those go on whose runs lie in the texts; long and short ones, and letters of several bytes, are found."""
+    long = "the same beginning of more than thirty two bytes, then "
+    texts = ["Ein Übermaß ist da", f"x {long}A", f"{long}B y", "ab", None, "", "c"]
+    real = ["übermaß ist", "maß", "ß", "ist da", "ab", "c", f"{long}a", f"{long}b", long, "ein übermaß ist da"]
+    phrases = [*real, f"{long}q", *(f"absent {i:05d} phrase" for i in range(20_000)), *real]
+    known = phrase_tables._filed(rows_of(spark, texts), table_of(spark, phrases), "t")
+    kept = [r.phrase for r in known.collect()]
+    assert set(real) <= set(kept) and len(kept) == len(set(kept)) < 100
+    assert {r.size for r in known.collect()} <= set(range(1, 33))
+    for max_bytes in (0, 1 << 20):
+        out = phrase_tables.with_phrases(rows_of(spark, texts), "k", "t", table_of(spark, phrases), max_bytes=max_bytes)
+        assert {r.k: r.phrases for r in out.collect()} == {k: contained(t, phrases) for k, t in enumerate(texts)}

@@ -1,11 +1,14 @@
 """Phrase tables of any size: which phrases does a text contain?
 
 A rule set of some hundred phrases is a pattern inside the plan.  A table of many is an inverted
-index: each phrase is filed under the rarest of its runs of ``GRAM`` characters, rarest
-among the phrases of the table.  Texts send their distinct runs, one join on the run finds
+index: each phrase is filed under the rarest of its runs of ``GRAM`` characters (``SHORT_GRAM`` in shorter
+phrases), rarest among the phrases of the table.  Texts send their distinct runs, one join on the run finds
 the candidates, and each text tests only its own candidates with ``contains``.  No text
 meets a phrase with which it does not share a run, and nothing is compared pair by pair.
 
+Of a large table only those phrases are kept of which all runs lie in some text.  Beyond the size of a broadcast they are filed
+under the hash of the whole phrase, and texts send only pieces that are filed: maps tell both where rows are read (see ``run_maps``).
+
 Runs of a text are sent without the text; candidates come back as one array per text, which holds no
 more than what its own runs are filed under.  The index is broadcast where its measured
 size allows, and a table of few phrases becomes part of the plan.  A frequent run is a hot key of the join, which adaptive execution splits.
@@ -25,12 +28,13 @@ from voxtally.fixed_values import POSITIVE_OVERRIDES, REVIEW_GROUP_WEIGHTS
 from voxtally.functions.common import and_all, let, string_array, strip, text_or_empty
 from voxtally.functions.hybrid import group_mean
 from voxtally.functions.keywords import any_of, distinct_spellings
+from voxtally.operators import run_maps
 from voxtally.operators.lookups import BROADCAST_BYTES, measured_bytes
 from voxtally.operators.polarity import LITERAL_BYTES
-from voxtally.session import cut_lineage
+from voxtally.session import cut_lineage, shared_path
 
-#: Characters of a run; shorter phrases are filed under themselves.
-GRAM = 4
+#: Characters of a run, and of one in phrases that are shorter; still shorter ones are filed under themselves.
+GRAM, SHORT_GRAM = 8, 4
 #: Bytes that a row of a broadcast index takes beside its text: its fields, its place in the hash table and the table's spare places.
 ROW_BYTES = 96
 #: Phrases of a table that go into the plan as literals; a text is then searched where it is.
@@ -52,7 +56,9 @@ def _known(phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
 def phrase_index(phrases: DataFrame, phrase: str = "phrase") -> DataFrame:
     """``(gram, phrase)``: each distinct phrase in lower case, under the run that fewest phrases share."""
     known = _known(phrases, phrase)
-    own = F.when(F.length("phrase") < GRAM, F.array("phrase")).otherwise(F.array_distinct(_runs(F.col("phrase"), GRAM)))
+    own = F.when(F.length("phrase") < SHORT_GRAM, F.array("phrase"))
+    own = own.when(F.length("phrase") < GRAM, F.array_distinct(_runs(F.col("phrase"), SHORT_GRAM)))
+    own = own.otherwise(F.array_distinct(_runs(F.col("phrase"), GRAM)))
     filed = known.select("phrase", F.explode(own).alias("gram"))
     shared = filed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = F.min(F.struct("n", "gram"))
@@ -71,6 +77,40 @@ def _text_runs(df: DataFrame, row_key: Sequence[str], text: str, sizes: Sequence
     return cut.select(*row_key, F.explode(runs).alias("gram"))
 
 
+def _is_large(phrases: DataFrame, limit: int) -> bool:
+    """Whether a table seems to take more than ``limit`` bytes, by the plan's estimate, else by a look at its first rows."""
+    size = int(phrases._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 60:
+        return size > limit
+    # the estimate of a table that Spark knows nothing about is the largest number
+    rows = limit // ROW_BYTES
+    return phrases.select(F.lit(1)).limit(rows + 1).count() > rows
+
+
+def _filed(df: DataFrame, phrases: DataFrame, text: str) -> DataFrame:
+    """``(head, size, phrase)``: the distinct phrases, in lower case, that may lie in some text of ``df``, stored."""
+    spark = df.sparkSession
+    texts = df.select(F.lower(text_or_empty(F.col(text))).alias("text"))
+    bits = run_maps.bits_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    marks = spark.sparkContext.broadcast(run_maps.runs_of_texts(texts, "text", bits))
+    lowered = phrases.select(F.lower(F.col("phrase").cast("string")).alias("phrase")).where(F.octet_length("phrase") > 0)
+    path = shared_path(spark, "phrases")
+    known = run_maps.filed(lowered, "phrase", marks, bits).select("phrase").distinct()  # hashes are as long as phrases and do not compress
+    run_maps.filed(known, "phrase", marks, bits).write.option("compression", "zstd").parquet(path)
+    marks.destroy()
+    return spark.read.schema("head bigint, size int, phrase string").parquet(path)
+
+
+def _pieces_met(df: DataFrame, keys: list[str], text: str, known: DataFrame, n: int, sizes: list[int]) -> DataFrame:
+    """``(keys, phrase)``: phrases of ``known``, ``n`` in number and filed under pieces of these sizes, that a text seems to contain."""
+    bits = run_maps.bits_for(4 * n)
+    marks = df.sparkSession.sparkContext.broadcast(run_maps.heads_of(known, bits))
+    lowered = df.select(*keys, F.lower(text_or_empty(F.col(text))).alias("_text"))
+    found = run_maps.marked_pieces(lowered, keys, "_text", sizes, marks, bits).join(known.select("head", "phrase"), "head")
+    # dealt by key before sets are made: a set of one takes several times the row
+    return found.select(*keys, "phrase").repartition(*keys)
+
+
 def with_phrases(
     df: DataFrame, row_key: str | Sequence[str], text: str, phrases: DataFrame, name: str = "phrases", max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -80,9 +120,16 @@ def with_phrases(
     """
     keys = [row_key] if isinstance(row_key, str) else list(row_key)
     empty = F.array().cast("array<string>")
+    size = F.octet_length("phrase") + ROW_BYTES
+    if _is_large(phrases, min(max_bytes, LITERAL_BYTES)):
+        known = _filed(df, phrases, text)
+        facts = known.agg(F.collect_set("size").alias("sizes"), F.count(F.lit(1)).alias("n"), F.sum((size + GRAM).cast("long")).alias("bytes")).first()
+        if facts["n"] and facts["bytes"] > max_bytes:
+            return _with_found(df, keys, text, _pieces_met(df, keys, text, known, facts["n"], sorted(facts["sizes"])), name)
+        phrases = known
     index = cut_lineage(phrase_index(phrases))  # measured, then joined
     # sizes of the runs (GRAM at most), number of phrases and bytes of the index, in one job
-    size = F.octet_length("gram") + F.octet_length("phrase") + ROW_BYTES
+    size = F.octet_length("gram") + size
     facts = index.agg(F.collect_set(F.length("gram")).alias("sizes"), F.count(F.lit(1)).alias("n"), F.sum(size.cast("long")).alias("bytes")).first()
     sizes = sorted(facts["sizes"])
     if not sizes:
@@ -94,13 +141,18 @@ def with_phrases(
         return df.withColumn(name, F.when(and_all([F.col(key).isNotNull() for key in keys]), own).otherwise(empty))
     if facts["bytes"] <= max_bytes:
         index = F.broadcast(index)
-    found = _text_runs(df, keys, text, sizes).join(index, "gram")
+    return _with_found(df, keys, text, _text_runs(df, keys, text, sizes).join(index, "gram"), name)
+
+
+def _with_found(df: DataFrame, keys: list[str], text: str, found: DataFrame, name: str) -> DataFrame:
+    """``df`` with those of the candidates ``(keys, phrase)`` of each text that it contains."""
     candidates = found.groupBy(*keys).agg(F.collect_set("phrase").alias("_candidates"))
     contained = let(
         F.lower(text_or_empty(F.col(text))),
         lambda low: F.array_sort(F.filter("_candidates", lambda phrase: F.contains(low, phrase))),
     )
     joined = df.join(candidates, keys, "left")
+    empty = F.array().cast("array<string>")
     return joined.withColumn(name, F.coalesce(F.when(F.col("_candidates").isNotNull(), contained), empty)).drop("_candidates")
 
 

@@ -19,18 +19,19 @@ TASKS_PER_CORE = 4
 FEW_PIECES = 256
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, per_core: int = TASKS_PER_CORE) -> DataFrame:
     """Give every core a share of a table that was scanned in too few pieces.
 
     Scoring costs far more than moving the raw text once, and a small file is
     one piece however many cores there are.  A scan with a piece for every core
-    is left alone, unless it is small altogether.
+    is left alone, unless it is small altogether.  ``per_core`` is 1 where moving the text costs as
+    much as the work on it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     pieces = df.rdd.getNumPartitions()
-    if pieces >= TASKS_PER_CORE * cores or pieces >= max(cores, FEW_PIECES):
+    if pieces >= per_core * cores or pieces >= max(cores, FEW_PIECES):
         return df
-    return df.repartition(TASKS_PER_CORE * cores)
+    return df.repartition(per_core * cores)
 
 
 def read_conversations(
