@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -41,6 +42,12 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of ended queries, which stay until the driver happens to collect its garbage."""
+    gc.collect()  # data frames that Python still holds hold theirs
+    spark._jvm.System.gc()
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI or absolute path, and the path in it."""
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)

@@ -14,8 +14,8 @@ component go on, each of them verified.  No pair is dropped: a pair that is not
 has both ends in one component already.
 
 How often tokens occur is counted over the whole corpus in slots of their hashes (see
-``llm.slots``) and broadcast as two bit maps of at most 32 MB each.  Tokens that share a
-slot make the order coarser, never a result wrong.
+``llm.slots``) and broadcast as two bit maps of at most 32 MB each; of larger corpora the maps have more slots and lie in
+the shared folder.  Tokens that share a slot make the order coarser, never a result wrong.
 
 Contract: null text and text without words is empty, has size 0 and is linked with nothing.
 Ids may be null or repeat: rows stand for themselves, the smallest id names the component.
@@ -29,10 +29,10 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import arrow_strings, blocks, discard, shared_folder, stored
+from llm.common import arrow_strings, blocks, discard, released, shared_folder, stored
 from llm.components import components
 from llm.pretokens import mixed
-from llm.slots import has, slot_bits, slot_maps, slots_of
+from llm.slots import AT_ONCE, FILED_BITS, MOST_BITS, FiledMaps, filed_maps, has, slot_bits, slot_maps, slots_of
 from llm.words import shingle_sets
 
 #: Rounds of leaders before all pairs that are still apart are tested.
@@ -87,19 +87,37 @@ def by_buckets(sketches: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def prefixes(texts: DataFrame, maps: Broadcast, bits: int, size: int) -> DataFrame:
+def prefixes(texts: DataFrame, maps: Broadcast | FiledMaps, bits: int, size: int) -> DataFrame:
     """``row_id, n, node, grp, tokens, held, sketch, rare`` of each text, in one pass.
 
     ``node`` stands for the set, ``grp`` for prefix and size.  ``tokens`` are the repeated tokens of the
     prefix under the slot ``maps``; the set itself (``held``) and its sketch are kept only where there are any, and ``rare``,
     the share of its tokens that occur once.
     """
-    def run(batches):
-        repeated, frequent = maps.value
+    def kinds_of(tokens):
+        if isinstance(maps, FiledMaps):
+            return maps.kinds(tokens)
+        slots = slots_of(tokens, bits)
+        return has(maps.value[0], slots) + has(maps.value[1], slots)
+
+    def gathered(batches):
+        """Blocks with their sets and the kinds of their tokens; maps in pieces are read once for many blocks."""
+        waiting, least = [], AT_ONCE if isinstance(maps, FiledMaps) else 0
         for table in blocks(batches, BLOCK):
-            tokens, bounds = shingle_sets(*arrow_strings(table.column("text")), size)
-            slots = slots_of(tokens, bits)
-            kind = has(repeated, slots) + has(frequent, slots)
+            waiting.append((table.column("row_id"), *shingle_sets(*arrow_strings(table.column("text")), size)))
+            if sum(len(tokens) for _, tokens, _ in waiting) >= least:
+                yield waiting
+                waiting = []
+        if waiting:
+            yield waiting
+
+    def with_kinds(batches):
+        for some in gathered(batches):
+            kinds = np.split(kinds_of(np.concatenate([tokens for _, tokens, _ in some])), np.cumsum([len(tokens) for _, tokens, _ in some])[:-1])
+            yield from ((*one, kind) for one, kind in zip(some, kinds, strict=True))
+
+    def run(batches):
+        for ids, tokens, bounds, kind in with_kinds(batches):
             rows = []
             for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 count = end - start
@@ -117,7 +135,7 @@ def prefixes(texts: DataFrame, maps: Broadcast, bits: int, size: int) -> DataFra
                 rows.append((count, node, group, sent.view(np.int64), own.tobytes() if any_ else None, sketch(own) if any_ else None, float((kinds == 0).mean())))
             kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.float64())
             columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([table.column("row_id").combine_chunks(), *columns], ["row_id", "n", "node", "grp", "tokens", "held", "sketch", "rare"])
+            yield pa.RecordBatch.from_arrays([ids.combine_chunks(), *columns], ["row_id", "n", "node", "grp", "tokens", "held", "sketch", "rare"])
 
     kind = texts.schema["row_id"].dataType.simpleString()
     return texts.mapInArrow(run, f"row_id {kind}, n bigint, node binary, grp binary, tokens array<bigint>, held binary, sketch binary, rare double")
@@ -208,21 +226,36 @@ def _links_apart(posted: DataFrame, sets: DataFrame, named: DataFrame, apart: Da
     return rows.groupBy("area", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
-def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5) -> DataFrame:
-    """``id_column, n_shingles, component_id`` of each row: its set's size and the smallest id reachable by links."""
+def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, held_bits: int = MOST_BITS) -> DataFrame:
+    """``id_column, n_shingles, component_id`` of each row: its set's size and the smallest id reachable by links.
+
+    Maps of more than ``2**held_bits`` slots are not broadcast.
+    """
     spark = docs.sparkSession
     shared = shared_folder(spark, "jaccard")
     folder = f"{shared}/work"  # gone when the labels are known
     texts = docs.select(F.col(f"`{id_column}`").alias("row_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    bits = slot_bits(texts)
-    maps = spark.sparkContext.broadcast(slot_maps(texts, bits, lambda data, offsets: shingle_sets(data, offsets, size)[0]))
+    bits = slot_bits(texts, FILED_BITS)
+
+    def tokens_of(data, offsets):
+        return shingle_sets(data, offsets, size)[0]
+
+    if bits > held_bits:
+        maps = filed_maps(texts, bits, tokens_of, f"{folder}/maps")
+    else:
+        maps = spark.sparkContext.broadcast(slot_maps(texts, bits, tokens_of))
+    released(spark)
     rows = stored(prefixes(texts, maps, bits, size), folder, "rows")
-    maps.destroy()
+    if isinstance(maps, FiledMaps):
+        discard(spark, maps.folder)
+    else:
+        maps.destroy()
     # one row for each set that may meet another
     sets = rows.where("held IS NOT NULL").select("node", "n", "grp", "tokens", "held", "sketch", "rare").dropDuplicates(["node"])
     sets = stored(sets, folder, "sets")
     ids = stored(rows.select("row_id", "n", "node"), shared, "ids")
     discard(spark, f"{folder}/rows.parquet")  # the sets a second time
+    released(spark)
     nodes = sets.select("node", "grp", "n", "rare")
     groups = sets.dropDuplicates(["grp"]).select("grp", F.explode("tokens").alias("token"))
     several = groups.groupBy("token").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least < most").select("token")
@@ -250,6 +283,7 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
         found = verified(stored(pairs, folder, f"pairs-{turn}"), sets, folder, f"links-{turn}")
         links = found if links is None else links.union(found)
         labels = stored(components(links, folder, f"stars-{turn}"), folder, f"labels-{turn}")
+        released(spark)
     labels = stored(labels, shared, "labels")
     discard(spark, folder)
     known = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -15,10 +16,10 @@ from llm_rows import docs, no_docs, texts  # noqa: F401
 from oracle import connect, difference
 from pyspark.sql import functions as F
 
-from llm import op1_toxicity, op3_warc, op4_quality_rules, op5_sentence_spans, op8_jaccard_join, op10_metric_search
-from llm.common import arrow_strings, shared_folder
+from llm import op1_toxicity, op3_warc, op4_quality_rules, op5_sentence_spans, op8_jaccard_join, op10_metric_search, slots
+from llm.common import arrow_strings, released, shared_folder
 from llm.pretokens import mixed
-from llm.words import word_hashes, word_spans
+from llm.words import shingle_sets, word_hashes, word_spans
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -112,6 +113,40 @@ def test_sets_and_spans_do_not_stay_on_disk(docs, tmp_path, monkeypatch):
     assert similar.count() == passages.count() == docs.count()
 
 
+def test_maps_in_pieces_of_the_shared_folder(spark, docs, tmp_path):
+    """Corpora with more tokens than slots of a broadcast: the maps lie in pieces, and the groups stay the same."""
+    texts_ = docs.select(F.col("text").cast("string").alias("text"))
+
+    def tokens_of(data, offsets):
+        return shingle_sets(data, offsets, 5)[0]
+
+    held = slots.slot_maps(texts_, 16, tokens_of)
+    filed = slots.filed_maps(texts_, 16, tokens_of, f"file://{tmp_path}/maps")
+    every = np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)
+    known = np.unpackbits(held[0]) + np.unpackbits(held[1])
+    there = np.isin(np.arange(1 << 16) >> filed.width, [int(x.name.split("-")[1]) for x in (tmp_path / "maps").glob("piece-*")])
+    assert known.any() and (filed.kinds(every[there]) == known[there]).all() and not known[~there].any()
+    rows = [Counter(op8_jaccard_join.similar_documents(docs, held_bits=bits).collect()) for bits in (28, 15)]
+    assert rows[0] == rows[1]
+
+
+def test_shuffle_files_are_released(spark):
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(blocks.size()) if (name := blocks.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    spark.range(10_000).repartition(7, "id").write.format("noop").mode("overwrite").save()
+    mine = shuffled() - before
+    assert mine
+    for _ in range(50):
+        released(spark)
+        if not mine & shuffled():
+            break
+        time.sleep(0.2)
+    assert not mine & shuffled()
+
+
 def test_similar_documents_of_an_empty_table(no_docs):
     assert op8_jaccard_join.similar_documents(no_docs).count() == 0
 
