@@ -149,3 +149,13 @@ def test_translations_by_text_and_by_row_are_the_same(spark):
             outs.append({r.k: (r.Translated_Text, r.consumer_score) for r in out.collect()})
     assert all(out == outs[0] for out in outs)
     assert outs[0][1][0] == "translated " + spanish and outs[0][30][0] == "" and outs[0][31][0] == ""
+
+
+def test_rows_that_ask_are_cleaned_once(spark):
+    """A filter over cleaned reviews does not repeat the cleaning for each mention of them."""
+    from voxtally.plans.analyze import texts_to_translate
+
+    rows = spark.createDataFrame([(1, "la casa de la niña"), (2, "the house"), (3, None), (4, "la casa de la niña")], "doc_id int, text string")
+    routed = texts_to_translate(rows, "text")
+    assert routed._jdf.queryExecution().optimizedPlan().toString().count("https?") == 1
+    assert [(r.text, r.lang, r.records) for r in routed.collect()] == [("la casa de la niña", "es", 2)]
